@@ -38,8 +38,16 @@ def items(c: ColumnLike) -> Column:
 
 
 def strings(values: Iterable[str]) -> Column:
-    """Array literal; folded to a constant by the optimizer."""
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    """Constant array: one text literal that the optimizer splits once, however long the list is."""
+    values = list(values)
+    if not values:
+        return F.array().cast("array<string>")
+    return F.split(F.lit("\x1f".join(values)), "\x1f")
+
+
+def is_one_of(c: Column, values: Iterable[str]) -> Column:
+    """Membership in a long constant list."""
+    return F.array_contains(strings(values), c)
 
 
 def lookup(key: Column, pairs: Iterable[tuple[str, str]]) -> Column:
@@ -60,7 +68,7 @@ def first_contained(c: Column, pairs: Iterable[tuple[str, str]]) -> Column:
 
 def any_word(phrases: Iterable[str]) -> str:
     """Pattern of whole-word alternatives (phrases are patterns themselves)."""
-    return r"\b(?:" + "|".join(phrases) + r")\b"
+    return r"(?U)\b(?:" + "|".join(phrases) + r")\b"
 
 
 def quoted(phrases: Iterable[str]) -> list[str]:

@@ -63,13 +63,14 @@ def grid_cell(c: ColumnLike, degrees: float) -> Column:
 
 
 def lon_cells(degrees: float) -> int:
-    """Number of grid columns around the globe."""
-    return int(math.ceil(360.0 / degrees))
+    """Number of grid columns around the globe, each at least ``degrees`` wide and all equal."""
+    return max(int(360.0 / degrees), 1)
 
 
 def wrapped_lon_cell(lon: ColumnLike, degrees: float) -> Column:
     """Grid column counted from the antimeridian, so that both sides of it meet."""
-    return F.pmod(F.floor((col(lon) + 180.0) / F.lit(float(degrees))), F.lit(lon_cells(degrees)))
+    n = lon_cells(degrees)
+    return F.pmod(F.floor((col(lon) + 180.0) / F.lit(360.0 / n)), F.lit(n))
 
 
 def neighbour_cells(lon: ColumnLike, lat: ColumnLike, radius_m: float, degrees: float) -> Column:
@@ -80,14 +81,15 @@ def neighbour_cells(lon: ColumnLike, lat: ColumnLike, radius_m: float, degrees:
     """
     lon, lat = col(lon), col(lat)
     n = lon_cells(degrees)
+    width = 360.0 / n
     dlat = math.degrees(radius_m / EARTH_M) * 1.000001 + 1e-9
     low, high = F.greatest(lat - dlat, F.lit(-90.0)), F.least(lat + dlat, F.lit(90.0))
     # half width of the circle's bounding box in longitude: asin(sin(r) / cos(lat))
     ratio = F.lit(math.sin(min(math.radians(dlat), math.pi / 2))) / F.cos(F.radians(lat))
     polar = (F.abs(lat) + dlat >= 90.0) | (ratio >= 1.0)
     dlon = F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) * 1.000001 + 1e-9
-    first = F.floor((lon - dlon + 180.0) / degrees)
-    last = F.floor((lon + dlon + 180.0) / degrees)
+    first = F.floor((lon - dlon + 180.0) / width)
+    last = F.floor((lon + dlon + 180.0) / width)
     ring = F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
     span = F.when(polar | (last - first + 1 >= n), ring).otherwise(F.sequence(first, last))
     columns = F.array_distinct(F.transform(span, lambda x: F.pmod(x, F.lit(n))))

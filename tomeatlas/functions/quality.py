@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomeatlas import vocab
-from tomeatlas.functions.expr import ColumnLike, col, contains_any, items, strip, text
+from tomeatlas.functions.expr import ColumnLike, col, contains_any, is_one_of, items, let, strip, text
 from tomeatlas.functions.text import is_composite, norm_text
 from tomeatlas.schema import ensure
 
@@ -27,10 +27,13 @@ TIER_SCORES = {"gold": 1.0, "silver": 0.75, "stub": 0.35}
 
 def place_granularity(place: ColumnLike = "place_name", vague: Sequence[str] = vocab.VAGUE_PLACES) -> Column:
     """"region" for empty, vague and composite labels, else "city"."""
-    p = norm_text(place)
-    vague_words = p.rlike(r"\b(?:empire|continent|subcontinent|hemisphere)\b")
-    region = (p == "") | p.isin(*vague) | vague_words | is_composite(p)
-    return F.when(region, F.lit("region")).otherwise(F.lit("city"))
+    vague_words = r"(?U)\b(?:empire|continent|subcontinent|hemisphere)\b"
+
+    def grain(p: Column) -> Column:
+        region = (p == "") | is_one_of(p, vague) | p.rlike(vague_words) | is_composite(p)
+        return F.when(region, F.lit("region")).otherwise(F.lit("city"))
+
+    return let(norm_text(place), grain)
 
 
 def with_geolocation_fields(df: DataFrame, vague: Sequence[str] = vocab.VAGUE_PLACES) -> DataFrame:
@@ -115,29 +118,40 @@ def _few_decimals(c: Column) -> Column:
     )
 
 
-def _risks() -> dict[str, Column]:
-    granularity = F.lower(strip(F.coalesce("place_granularity", F.lit("city"))))
-    place = F.lower(strip("place_name"))
-    coarse = F.coalesce(_few_decimals(F.col("lon")) | _few_decimals(F.col("lat")), F.lit(True))
-    return {
-        "composite_place_label": is_composite("place_name"),
-        "broad_or_region_place": (granularity == "region") | contains_any(place, vocab.BROAD_PLACE_HINTS),
-        "uncertain_place_label": contains_any(place, vocab.UNCERTAIN_LABEL_HINTS),
-        "coarse_coordinate_precision": coarse,
-        "low_coordinate_confidence": F.coalesce("coordinate_confidence", F.lit(0.0)) <= 0.35,
-        "low_spatial_precision": F.coalesce("coordinate_precision_km", F.lit(0.0)) >= 100,
-    }
+def geo_quality() -> Column:
+    """``struct(flags, score)``: the risks of a row, and 1 less the penalty of each, at least 0."""
+
+    def rate(x: Column) -> Column:
+        coarse = F.coalesce(_few_decimals(F.col("lon")) | _few_decimals(F.col("lat")), F.lit(True))
+        risks = {
+            "composite_place_label": is_composite("place_name"),
+            "broad_or_region_place": (x["grain"] == "region") | contains_any(x["place"], vocab.BROAD_PLACE_HINTS),
+            "uncertain_place_label": contains_any(x["place"], vocab.UNCERTAIN_LABEL_HINTS),
+            "coarse_coordinate_precision": coarse,
+            "low_coordinate_confidence": F.coalesce("coordinate_confidence", F.lit(0.0)) <= 0.35,
+            "low_spatial_precision": F.coalesce("coordinate_precision_km", F.lit(0.0)) >= 100,
+        }
+        return F.array_compact(
+            F.array(
+                *[F.when(c, F.struct(F.lit(n).alias("flag"), F.lit(PENALTIES[n]).alias("penalty"))) for n, c in risks.items()]
+            )
+        )
+
+    def score(found: Column) -> Column:
+        rest = F.aggregate(found, F.lit(1.0), lambda left, r: left - r["penalty"])
+        return F.struct(
+            F.transform(found, lambda r: r["flag"]).alias("flags"), F.greatest(F.lit(0.0), rest).alias("score")
+        )
+
+    grain = F.lower(strip(F.coalesce("place_granularity", F.lit("city"))))
+    return let(let(F.struct(grain.alias("grain"), F.lower(strip("place_name")).alias("place")), rate), score)
 
 
 def with_geo_quality(df: DataFrame) -> DataFrame:
-    """Risk flags and ``geo_quality`` = 1 less the penalty of every flag, at least 0."""
+    """Risk flags and ``geo_quality`` of every row."""
     df = ensure(df, "place_granularity", "coordinate_confidence", "coordinate_precision_km")
-    flags = F.array_compact(F.array(*[F.when(risk, F.lit(name)) for name, risk in _risks().items()]))
-    df = df.withColumn("geo_risk_flags", flags)
-    score = F.lit(1.0)
-    for name, penalty in PENALTIES.items():
-        score = score - F.when(F.array_contains("geo_risk_flags", name), F.lit(penalty)).otherwise(F.lit(0.0))
-    return df.withColumn("geo_quality", F.greatest(F.lit(0.0), score))
+    rated = df.withColumn("_geo", geo_quality())
+    return rated.withColumns({"geo_risk_flags": F.col("_geo.flags"), "geo_quality": F.col("_geo.score")}).drop("_geo")
 
 
 def has_core_metadata() -> Column:
@@ -186,16 +200,32 @@ def quality_gate(
     reject: bool = False,
 ) -> DataFrame:
     """Tier, geospatial quality, overall score and verdict per row; optionally only passing rows."""
-    df = with_geo_quality(ensure(df, "passage_type")).withColumn("quality_tier", tier_strict())
-    tier_score = F.element_at(
-        F.create_map(*[F.lit(x) for kv in TIER_SCORES.items() for x in kv]), F.col("quality_tier")
+    df = ensure(df, "passage_type", "place_granularity", "coordinate_confidence", "coordinate_precision_km")
+    tier_score = F.create_map(*[F.lit(x) for kv in TIER_SCORES.items() for x in kv])
+
+    def overall(x: Column) -> Column:
+        score = F.element_at(tier_score, x["tier"]) * 0.7 + x["geo"]["score"] * 0.3
+        return F.struct(x["tier"].alias("tier"), x["geo"].alias("geo"), F.round(score, 3).alias("score"))
+
+    def verdict(x: Column) -> Column:
+        passed = (x["score"] >= threshold) & (x["geo"]["score"] >= geo_threshold)
+        if not allow_composite:
+            passed = passed & ~F.array_contains(x["geo"]["flags"], "composite_place_label")
+        return F.struct(x["tier"].alias("tier"), x["geo"].alias("geo"), x["score"].alias("score"), passed.alias("passed"))
+
+    # one expression per row: a filter on the verdict then repeats it once, not once per column used
+    inputs = F.struct(tier_strict().alias("tier"), geo_quality().alias("geo"))
+    gated = df.withColumn("_gate", let(let(inputs, overall), verdict)).withColumns(
+        {
+            "quality_tier": F.col("_gate.tier"),
+            "geo_quality": F.col("_gate.geo.score"),
+            "geo_risk_flags": F.col("_gate.geo.flags"),
+            "quality_score": F.col("_gate.score"),
+            "quality_passed": F.col("_gate.passed"),
+        }
     )
-    df = df.withColumn("quality_score", F.round(tier_score * 0.7 + F.col("geo_quality") * 0.3, 3))
-    passed = (F.col("quality_score") >= threshold) & (F.col("geo_quality") >= geo_threshold)
-    if not allow_composite:
-        passed = passed & ~F.array_contains("geo_risk_flags", "composite_place_label")
-    df = df.withColumn("quality_passed", passed)
-    return df.filter("quality_passed") if reject else df
+    gated = gated.drop("_gate")
+    return gated.filter("quality_passed") if reject else gated
 
 
 def sentiment_bucket(polarity: ColumnLike = "polarity", inclusive: bool = True) -> Column:

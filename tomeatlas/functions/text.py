@@ -21,7 +21,7 @@ from tomeatlas.functions.expr import (
     text,
 )
 
-COMPOSITE = r"(?i)\s*(?:;|/|\||&|\band\b)\s*"
+COMPOSITE = r"(?iU)\s*(?:;|/|\||&|\band\b)\s*"
 NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 
 

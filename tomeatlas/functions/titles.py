@@ -43,7 +43,7 @@ def nonfiction_reason(
     reason = F.when(keep, F.lit(None).cast("string"))
     for word in vocab.REPORT_TITLE_WORDS:
         pattern = rf"\b{word}\b"
-        reason = reason.when(t.rlike(pattern), F.lit(f"title matches: {pattern}"))
+        reason = reason.when(t.rlike("(?U)" + pattern), F.lit(f"title matches: {pattern}"))
     for pattern in vocab.REPORT_TEXT_PATTERNS:
         reason = reason.when(p.rlike(pattern), F.lit(f"description matches: {pattern}"))
     factual = ["biography", "memoir", "social realism", "essay"]
@@ -113,4 +113,4 @@ def title_geo_mismatch(title: ColumnLike = "book_title", place: ColumnLike = "pl
 
 def mentions_city(c: ColumnLike, cities: list[str] = vocab.FULLTEXT_CITIES) -> Column:
     """First city named in the text as it is spelt there, empty when none is."""
-    return F.regexp_extract(col(c), "(?i)" + any_word(quoted(cities)).replace("(?:", "(", 1), 1)
+    return F.regexp_extract(col(c), r"(?iU)\b(" + "|".join(quoted(cities)) + r")\b", 1)

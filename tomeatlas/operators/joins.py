@@ -143,8 +143,8 @@ def geocode(df: DataFrame, gazetteer: DataFrame, column: str = "city") -> DataFr
     lengths = gaz.agg(F.collect_set(F.length("_name"))).scalar()
     parts = (
         cells.join(exact, "_cell", "left_anti")
-        .withColumn("_low", F.lower(strip("_cell")))
-        .select("_cell", F.explode(_substrings(F.col("_low"), lengths)).alias("_part"))
+        .withColumns({"_low": F.lower(strip("_cell")), "_lengths": lengths})
+        .select("_cell", F.explode(_substrings(F.col("_low"), F.col("_lengths"))).alias("_part"))
     )
     inside = (
         parts.join(gaz.withColumn("_part", F.lower("_name")), "_part")

@@ -34,28 +34,33 @@ def city_profile(df: DataFrame, city: str | None = None, min_books: int = 3, the
     df = df.withColumn("city", F.lower(text("place_name")))
     if city is not None:
         df = df.filter(F.col("city") == city.lower())
-    books = df.groupBy("city").agg(F.count("*").alias("book_count")).filter(F.col("book_count") >= min_books)
-    counts = (
-        df.select("city", F.explode(items("themes")).alias("theme")).groupBy("city", "theme").agg(F.count("*").alias("n"))
-    )
-    ranked = top_k_per_group(counts, ["city"], [F.col("n").desc(), F.col("theme")], themes)
-    top = ranked.groupBy("city").agg(
-        F.array_sort(F.collect_list(F.struct("rank", F.col("theme").alias("name"), F.col("n").alias("book_count")))).alias("t"),
-        F.max("n").alias("top"),
+    none = F.nullif(text("language"), F.lit(""))
+    books = (
+        df.groupBy("city")
+        .agg(F.count("*").alias("book_count"), F.array_sort(F.collect_set(none)).alias("languages"))
+        .filter(F.col("book_count") >= min_books)
     )
-    by_author = df.select("city", text("author").alias("author")).distinct()
-    first_authors = top_k_per_group(by_author, ["city"], ["author"], authors).groupBy("city").agg(
-        F.array_sort(F.collect_list("author")).alias("top_authors")
+
+    def entry(kind: str, label: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), label.alias("label"))
+
+    # themes, authors and languages are counted and ranked together; authors go by name
+    labels = F.concat(
+        F.array(entry("author", text("author")), entry("language", text("language"))),
+        F.transform(items("themes"), lambda t: entry("theme", t)),
     )
-    languages = (
-        df.select("city", text("language").alias("language"))
-        .groupBy("city", "language")
-        .agg(F.count("*").alias("n"))
-        .groupBy("city")
-        .agg(
-            F.array_sort(F.collect_list(F.nullif("language", F.lit("")))).alias("languages"),
-            F.min_by("language", F.struct(-F.col("n"), "language")).alias("dominant_language"),
-        )
+    counts = df.select("city", F.inline(labels)).groupBy("city", "kind", "label").agg(F.count("*").alias("n"))
+    weight = F.when(F.col("kind") == "author", F.lit(0)).otherwise(-F.col("n"))
+    ranked = top_k_per_group(counts, ["city", "kind"], [weight, F.col("label")], max(themes, authors))
+
+    def listed(kind: str, most: int, value: Column) -> Column:
+        return F.array_sort(F.collect_list(F.when((F.col("kind") == kind) & (F.col("rank") <= most), value)))
+
+    top = ranked.groupBy("city").agg(
+        listed("theme", themes, F.struct("rank", F.col("label").alias("name"), F.col("n").alias("book_count"))).alias("t"),
+        listed("author", authors, F.col("label")).alias("top_authors"),
+        F.max(F.when(F.col("kind") == "theme", F.col("n"))).alias("top"),
+        F.max(F.when((F.col("kind") == "language") & (F.col("rank") == 1), F.col("label"))).alias("dominant_language"),
     )
     weighted = F.transform(
         "t",
@@ -64,9 +69,7 @@ def city_profile(df: DataFrame, city: str | None = None, min_books: int = 3, the
         ),
     )
     return (
-        books.join(top, "city")
-        .join(first_authors, "city")
-        .join(languages, "city")
+        books.join(top.filter(F.size("t") > 0), "city")
         .select("city", "book_count", weighted.alias("themes"), "top_authors", "dominant_language", "languages")
     )
 
@@ -263,9 +266,12 @@ def author_connections(df: DataFrame, bucket: int = 256) -> DataFrame:
         all_buckets, lambda o: F.struct(F.least("b", o).alias("x"), F.greatest("b", o).alias("y"))
     )
     met = dealt.select("author", "lon", "lat", "place_name", "ord", "b", F.inline(meetings))
-    left = met.select("author", "x", "y", *[F.col(c).alias(f"source_{c}") for c in ("lon", "lat", "place_name", "ord")])
-    right = met.select("author", "x", "y", *[F.col(c).alias(f"target_{c}") for c in ("lon", "lat", "place_name", "ord")])
-    pairs = left.join(right, ["author", "x", "y"]).filter(F.col("source_ord") < F.col("target_ord"))
+    fields = ("lon", "lat", "place_name", "ord", "b")
+    left = met.select("author", "x", "y", *[F.col(c).alias(f"source_{c}") for c in fields])
+    right = met.select("author", "x", "y", *[F.col(c).alias(f"target_{c}") for c in fields])
+    # places of one bucket pair up where the bucket meets itself, and only there
+    own = (F.col("x") == F.col("y")) | (F.col("source_b") != F.col("target_b"))
+    pairs = left.join(right, ["author", "x", "y"]).filter((F.col("source_ord") < F.col("target_ord")) & own)
     return pairs.join(totals, "author").select(
         "author",
         F.col("source_place_name").alias("source_city"), F.col("target_place_name").alias("target_city"),

@@ -106,7 +106,7 @@ def region_quotas(df: DataFrame, limit: int) -> DataFrame:
         quota = allocate(pdf.set_index("region")["rows"], limit)
         return pdf.assign(quota=pdf["region"].map(quota))
 
-    return counts.groupBy(F.lit(1)).applyInPandas(adjust, "region string, rows bigint, quota bigint")
+    return counts.groupBy().applyInPandas(adjust, "region string, rows bigint, quota bigint")
 
 
 # ---- diverse selection ----
@@ -162,6 +162,6 @@ def select_diverse(scored: DataFrame, limit: int) -> DataFrame:
         "pick int, ord bigint, row_key string, id string, region string, country string, place_name string, "
         "base_score double, final_score double"
     )
-    return heads.groupBy(F.lit(1)).applyInPandas(choose, schema)
+    return heads.groupBy().applyInPandas(choose, schema)
 
 

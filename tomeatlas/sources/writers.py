@@ -70,7 +70,8 @@ def to_export_csv(df: DataFrame) -> DataFrame:
 
 
 def write_export_csv(df: DataFrame, path: str) -> None:
-    to_export_csv(df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    exact = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    to_export_csv(df).write.mode("overwrite").options(**exact).csv(path)
 
 
 def slim_index(df: DataFrame) -> DataFrame:

@@ -7,6 +7,11 @@ def _load() -> None:
     from workload import (  # noqa: F401
         expressions,
         filters,
+        aggregates,
+        joins,
+        io,
+        text,
+        flows,
     )
 
 
