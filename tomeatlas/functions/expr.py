@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterable
 from functools import reduce
@@ -52,8 +53,13 @@ def is_one_of(c: Column, values: Iterable[str]) -> Column:
 
 def lookup(key: Column, pairs: Iterable[tuple[str, str]]) -> Column:
     """Value of ``key`` in a small constant map, null when absent."""
-    flat = [F.lit(x) for kv in dict(pairs).items() for x in kv]
-    return F.element_at(F.create_map(*flat), key)
+    entries = "\x1f".join(f"{k}\x1e{v}" for k, v in dict(pairs).items())
+    return F.element_at(F.str_to_map(F.lit(entries), F.lit("\x1f"), F.lit("\x1e")), key)
+
+
+def records(rows: list[dict], schema: str) -> Column:
+    """Constant array of structs, read once from one literal."""
+    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")
 
 
 def contains_any(c: Column, parts: Iterable[str]) -> Column:

@@ -16,6 +16,7 @@ from tomeatlas.functions.expr import (
     items,
     let,
     lookup,
+    records,
     strings,
     strip,
     text,
@@ -138,7 +139,7 @@ def subject_genres(
     ignored: Sequence[str] = vocab.IGNORED_SUBJECTS,
 ) -> Column:
     """Genre of each subject (first key it contains), distinct, in subject order."""
-    table = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("genre")) for k, v in pairs])
+    table = records([{"key": k, "genre": v} for k, v in pairs], "key:string,genre:string")
 
     def classify(subject: Column) -> Column:
         low = F.lower(strip(subject))

@@ -16,7 +16,8 @@ from tomeatlas.functions.titles import mentions_city
 from tomeatlas.operators.dedup import dedup_first, top_k_per_group
 from tomeatlas.operators.joins import geocode_names
 
-_EDGE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+# punctuation taken off both ends of a word
+EDGE_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" + "\u00a1\u00ab\u00bb\u00bf\u2013\u2014\u2018\u2019\u201c\u201d\u201e\u2026"
 
 # ---- mentions ----
 
@@ -45,7 +46,7 @@ def extract_mentions(docs: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """
     names = _names(gazetteer)
     longest = names.agg(F.coalesce(F.max("_n"), F.lit(1))).scalar()
-    words = F.transform(F.split(text("text"), WHITESPACE_RUN), lambda w: F.regexp_replace(w, _EDGE, ""))
+    words = F.transform(F.split(text("text"), WHITESPACE_RUN), lambda w: F.btrim(w, F.lit(EDGE_MARKS)))
     tokens = docs.select("doc_id", words.alias("_words")).withColumn("_longest", longest)
     starts = F.transform(
         F.sequence(F.lit(1), F.size("_words")),
@@ -268,16 +269,13 @@ def infer(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            error = None
             for _ in range(retries + 1):
                 try:
-                    yield batch.assign(result=list(fn(batch)), _error=None)
-                    error = None
+                    result, error = list(fn(batch)), None
                     break
                 except Exception as exc:  # noqa: BLE001 - any failure becomes a reason
-                    error = f"exception: {exc}"
-            if error is not None:
-                yield batch.assign(result=None, _error=error)
+                    result, error = None, f"exception: {exc}"
+            yield batch.assign(result=result, _error=error)
 
     schema = T.StructType([*df.schema.fields, T.StructField("result", T.StringType()), T.StructField("_error", T.StringType())])
     checked = df.mapInPandas(run, schema).withColumn("reason", F.coalesce("_error", validation_reason("result", mode)))

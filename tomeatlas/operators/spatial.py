@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomeatlas import vocab
-from tomeatlas.functions.expr import let, text
+from tomeatlas.functions.expr import let, records, text
 from tomeatlas.functions.geo import (
     EARTH_KM,
     EARTH_M,
@@ -40,22 +40,15 @@ def nearest_seed_city(
     """
     lon = F.col(lon) if isinstance(lon, str) else lon
     lat = F.col(lat) if isinstance(lat, str) else lat
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(float(row[1])).alias("lon"),
-                F.lit(float(row[2])).alias("lat"),
-                F.lit(math.cos(math.radians(float(row[2])))).alias("cos"),
-                F.lit(i).alias("i"),
-            )
-            for i, row in enumerate(seeds)
-        ]
+    table = records(
+        [
+            {"lon": float(r[1]), "lat": float(r[2]), "cos": math.cos(math.radians(float(r[2]))), "i": i}
+            for i, r in enumerate(seeds)
+        ],
+        "lon:double,lat:double,cos:double,i:int",
     )
-    names = F.array(
-        *[
-            F.struct(*[F.lit(row[j]).alias(n) for j, n in ((0, "city"), (3, "region"), (4, "country"))])
-            for row in seeds
-        ]
+    names = records(
+        [{"city": r[0], "region": r[3], "country": r[4]} for r in seeds], "city:string,region:string,country:string"
     )
 
     def best(point: Column) -> Column:

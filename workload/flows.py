@@ -127,7 +127,7 @@ _CITY_SQL = "(values ('Bombay', 0, 1, 'Mumbai'), ('Mumbai', 0, 0, 'Mumbai'), ('L
 def _(spark, d):
     names = ingest.search_names(spark, ingest.seed_cities(spark))
     # several answers per name: the position runs over all of them
-    books = parsers.parse_catalogue_docs(catalogue_answers(spark, d))
+    books = parsers.parse_catalogue_docs(catalogue_answers(spark, d), keep=("ord", "search_name"))
     books = books.withColumn("position", F.col("position") * 10_000_000 + F.col("ord")).drop("ord")
     return ingest.run_catalogue_ingest(books, names)["data"].select("id", "book_title", "author", "place_name", "narrative_era", "language")
 

@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 
 from tomeatlas import vocab
 from tomeatlas.functions import themes
+from tomeatlas.functions.expr import WHITESPACE_RUN
 from tomeatlas.operators import extract
 from workload.registry import query
 from workload.tables import _BLANKS as _BLANKS_SQL
 from workload.tables import has_any, joined, places, sql_list, table
 
-_EDGE = r"'^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$'"
+_MARKS = extract.EDGE_MARKS.replace("'", "''")
 
 
 def _sql_tokens(x: str) -> str:
-    return f"[regexp_replace(w, {_EDGE}, '', 'g') for w in regexp_split_to_array({x}, '{_BLANKS_SQL}')]"
+    return f"[trim(w, '{_MARKS}') for w in regexp_split_to_array({x}, '{_BLANKS_SQL}')]"
 
 
 _BENCH_TOKENS = _sql_tokens("text")
@@ -27,11 +28,20 @@ GAZETTEER_SQL = f"""bt as (select {_BENCH_TOKENS} as w from benchmark),
   union select distinct lower(w[1] || ' ' || w[2]) from bt where length(w[1]) > 0 and length(w[2]) > 0)"""
 
 
+def _tokens():
+    return F.transform(F.split("text", WHITESPACE_RUN), lambda w: F.btrim(w, F.lit(extract.EDGE_MARKS)))
+
+
+def documents(spark, d):
+    """Documents over all cores, as the table may be a single file."""
+    docs = table(spark, d, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
+
+
 def gazetteer(spark, d):
     """Capitalised words of the benchmark texts and their first two words, with made-up points."""
-    tokens = F.transform(
-        F.split("text", r"(?U)[\s\x1c-\x1f]+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    )
+    tokens = _tokens()
     bench = table(spark, d, "benchmark").select(tokens.alias("w"))
     words = bench.select(F.explode("w").alias("x")).filter((F.length("x") >= 4) & (F.lower(F.left("x", F.lit(1))) != F.left("x", F.lit(1))))
     first, second = F.get("w", F.lit(0)), F.get("w", F.lit(1))
@@ -56,7 +66,7 @@ MENTIONS_SQL = f"""{GAZETTEER_SQL}, dt as (select doc_id, {_sql_tokens('text')}
     f"""with {MENTIONS_SQL} select doc_id, name_key, mention, first_word, frequency, round(0.8::double + case when lower(mention[1]) <> mention[1] then 0.1 else 0 end + case when contains(name_key, ' ') then 0.05 else 0 end, 2) as confidence from mentions""",
 )
 def _(spark, d):
-    found = extract.extract_mentions(table(spark, d, "documents"), gazetteer(spark, d))
+    found = extract.extract_mentions(documents(spark, d), gazetteer(spark, d))
     return found.select("doc_id", "name_key", "mention", "first_word", "frequency", "confidence")
 
 
@@ -68,13 +78,10 @@ def _(spark, d):
      coalesce(a.frequency, 1) as frequency from a full join b using (doc_id, name_key)""",
 )
 def _(spark, d):
-    docs, names = table(spark, d, "documents"), gazetteer(spark, d)
+    docs, names = documents(spark, d), gazetteer(spark, d)
     first = extract.extract_mentions(docs, names).filter("frequency > 1").withColumn("confidence", F.lit(0.8))
     # the second extractor reports every occurrence
-    words = F.transform(
-        F.split("text", r"(?U)[\s\x1c-\x1f]+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    )
-    tokens = docs.select("doc_id", words.alias("w"))
+    tokens = docs.select("doc_id", _tokens().alias("w"))
     n = F.size("w")
     spans = F.transform(
         F.sequence(F.lit(1), n),
@@ -92,12 +99,12 @@ def _(spark, d):
 
 @query("k3_chunk_text")
 def _(spark, d):
-    return extract.chunk_text(table(spark, d, "documents"))
+    return extract.chunk_text(documents(spark, d))
 
 
 @query("k4_context_windows")
 def _(spark, d):
-    docs = table(spark, d, "documents")
+    docs = documents(spark, d)
     mentions = extract.extract_mentions(docs, gazetteer(spark, d)).filter("frequency > 1")
     return extract.context_windows(docs, mentions)
 
@@ -128,13 +135,13 @@ def _(spark, d):
     f"with {MENTIONS_SQL} select doc_id, name_key, case when frequency >= 5 then 'primary' when frequency >= 2 then 'secondary' else 'mentioned' end as setting from mentions",
 )
 def _(spark, d):
-    found = extract.extract_mentions(table(spark, d, "documents"), gazetteer(spark, d))
+    found = extract.extract_mentions(documents(spark, d), gazetteer(spark, d))
     return found.select("doc_id", "name_key", themes.setting_type("frequency").alias("setting"))
 
 
 @query("k8_extract_places")
 def _(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text", F.col("source").alias("author"), F.col("lang").alias("language"))
+    docs = documents(spark, d).select("doc_id", "text", F.col("source").alias("author"), F.col("lang").alias("language"))
     return extract.extract_places(docs, gazetteer(spark, d))
 
 
@@ -151,7 +158,7 @@ _ANY = r"(?:^|[^\p{L}\p{N}_])(" + "|".join(_WORDS) + r")(?:$|[^\p{L}\p{N}_])"
 def _(spark, d):
     kind = F.when(F.col("doc_id") % 3 == 0, F.lit("Short Stories")).otherwise(F.lit("Essays"))
     title = F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
-    books = table(spark, d, "documents").select(F.col("doc_id").alias("book_id"), title.alias("title"), F.array("lang", kind).alias("subjects"))
+    books = documents(spark, d).select(F.col("doc_id").alias("book_id"), title.alias("title"), F.array("lang", kind).alias("subjects"))
     return extract.fulltext_matches(books, _WORDS).select("book_id", "matched_city")
 
 
@@ -163,7 +170,7 @@ def _(spark, d):
     select book_id, paragraph, rank, city, p[1:500] as passage from n where rank <= 5""",
 )
 def _(spark, d):
-    texts = table(spark, d, "documents").select(F.col("doc_id").alias("book_id"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    texts = documents(spark, d).select(F.col("doc_id").alias("book_id"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
     return extract.fulltext_passages(texts, _WORDS)
 
 
