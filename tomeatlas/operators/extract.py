@@ -15,6 +15,7 @@ from tomeatlas.functions.themes import lexicon_sentiment, setting_type, validati
 from tomeatlas.functions.titles import mentions_city
 from tomeatlas.operators.dedup import dedup_first, top_k_per_group
 from tomeatlas.operators.joins import geocode_names
+from tomeatlas.plans.scratch import materialise
 
 # punctuation taken off both ends of a word
 EDGE_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" + "\u00a1\u00ab\u00bb\u00bf\u2013\u2014\u2018\u2019\u201c\u201d\u201e\u2026"
@@ -59,11 +60,12 @@ def extract_mentions(docs: DataFrame, gazetteer: DataFrame) -> DataFrame:
         .withColumn("surface", F.array_join(F.slice("w", F.lit(1), F.col("_n")), " "))
         .filter(F.lower("surface") == F.col("name_key"))
     )
-    found = hits.groupBy("doc_id", "name_key").agg(
-        F.min_by("surface", "word").alias("mention"),
-        F.min("word").alias("first_word"),
-        F.count("*").alias("frequency"),
-        F.first("label").alias("label"),
+    # spellings are counted first, with fixed-size state, before one of them is chosen per name
+    spellings = hits.groupBy("doc_id", "name_key", "surface", "label").agg(
+        F.min("word").alias("word"), F.count("*").alias("n")
+    )
+    found = spellings.groupBy("doc_id", "name_key", "label").agg(
+        F.min_by("surface", "word").alias("mention"), F.min("word").alias("first_word"), F.sum("n").alias("frequency")
     )
     capital = F.left("mention", F.lit(1)) != F.lower(F.left("mention", F.lit(1)))
     confidence = (
@@ -110,6 +112,8 @@ def summarise_entities(entities: DataFrame) -> DataFrame:
 
 # ---- chunks ----
 
+_FLUSH_CHARS = 4_000_000  # text held back before a batch of chunks is passed on
+
 
 def _chunk_bounds(s: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
     """Overlapping stretches that end at a paragraph, line or sentence where one is near the end."""
@@ -130,17 +134,20 @@ def _chunk_bounds(s: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
 def chunk_text(docs: DataFrame, size: int = 2000, overlap: int = 200) -> DataFrame:
     """(doc_id, chunk, start_char, end_char, text) of documents (doc_id, text)."""
 
+    columns = ["doc_id", "chunk", "start_char", "end_char", "text"]
+
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
         for batch in batches:
             for doc_id, s in zip(batch["doc_id"], batch["text"]):
-                spans = list(_chunk_bounds(s or "", size, overlap))
-                yield pd.DataFrame(
-                    {
-                        "doc_id": [doc_id] * len(spans), "chunk": range(len(spans)),
-                        "start_char": [a for a, _ in spans], "end_char": [b for _, b in spans],
-                        "text": [s[a:b] for a, b in spans],
-                    }
-                )
+                spans = _chunk_bounds(s or "", size, overlap)
+                rows += [(doc_id, i, a, b, s[a:b]) for i, (a, b) in enumerate(spans)]
+                held += len(s or "")
+                if held > _FLUSH_CHARS:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
 
     dtype = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {dtype}, chunk int, start_char int, end_char int, text string"
@@ -156,9 +163,10 @@ def dedup_spans(entities: DataFrame) -> DataFrame:
 # ---- context windows ----
 
 
-def _windows(s: str, name: str, width: int, most: int) -> list[str]:
+def _windows(s: str, low: str, name: str, width: int, most: int) -> list[str]:
+    """Passages around the first mentions in a text, given its lower-case form as well."""
     out: list[str] = []
-    low, key, start = s.lower(), name.lower(), 0
+    key, start = name.lower(), 0
     stops = ".!?\n"
     while key and len(out) < most:
         at = low.find(key, start)
@@ -181,26 +189,36 @@ def _windows(s: str, name: str, width: int, most: int) -> list[str]:
 
 
 def context_windows(docs: DataFrame, mentions: DataFrame, width: int = 150, most: int = 3) -> DataFrame:
-    """(doc_id, name_key, mention, passage_no, passage): text around the first mentions of each name.
+    """Text around the first mentions of each name: columns of the document and of the mention,
+    passage_no and passage.
 
-    Names are packed per document first, so each text is read once.
+    Names are packed per document first, so each text is read once, and whatever else documents and
+    mentions carry goes along instead of being joined again.
     """
-    packed = mentions.groupBy("doc_id").agg(F.collect_list(F.struct("name_key", "mention")).alias("names"))
-    joined = docs.select("doc_id", "text").join(packed, "doc_id")
+    carried = [c for c in docs.columns if c not in ("doc_id", "text")]
+    fields = [c for c in mentions.columns if c != "doc_id"]
+    packed = mentions.groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias("_names"))
+    joined = docs.join(packed, "doc_id")
+    columns = ["doc_id", *carried, *fields, "passage_no", "passage"]
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["doc_id", "name_key", "mention", "passage_no", "passage"]
         for batch in batches:
+            heads = batch[["doc_id", *carried]].itertuples(index=False, name=None)
+            texts = batch["text"].fillna("")
             rows = [
-                (doc_id, m["name_key"], m["mention"], i, p)
-                for doc_id, s, names in zip(batch["doc_id"], batch["text"], batch["names"])
+                (*head, *[m[f] for f in fields], i, p)
+                for head, s, low, names in zip(heads, texts, texts.str.lower(), batch["_names"])
                 for m in names
-                for i, p in enumerate(_windows(s or "", m["mention"], width, most), start=1)
+                for i, p in enumerate(_windows(s, low, m["mention"], width, most), start=1)
             ]
-            yield pd.DataFrame(rows, columns=columns)
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
-    dtype = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {dtype}, name_key string, mention string, passage_no int, passage string"
+    schema = T.StructType(
+        [docs.schema[c] for c in ("doc_id", *carried)] + [mentions.schema[f] for f in fields]
+        + [T.StructField("passage_no", T.IntegerType()), T.StructField("passage", T.StringType())]
+    )
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
     return joined.mapInPandas(windows, schema)
 
 
@@ -209,23 +227,24 @@ def context_windows(docs: DataFrame, mentions: DataFrame, width: int = 150, most
 
 def extract_places(docs: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Entries from documents (doc_id, text, optional title, author, language): mentions, geocoded
-    against the gazetteer (name, lon, lat, country, ord), with context windows and sentiment."""
-    mentions = extract_mentions(docs.select("doc_id", "text"), gazetteer)
+    against the gazetteer (name, lon, lat, country, ord), with context windows and sentiment.
+
+    Mentions are written to the shared folder: they feed the geocoding and the windows, and the
+    texts are not taken apart twice.
+    """
+    mentions = materialise(extract_mentions(docs.select("doc_id", "text"), gazetteer), "mentions")
     names = mentions.select(F.col("mention").alias("name")).distinct()
     located = geocode_names(names, gazetteer, "name").withColumnRenamed("name", "mention")
-    kept = mentions.join(located, "mention")
-    windows = context_windows(docs, kept)
-    sentiment = windows.withColumn("_s", lexicon_sentiment("passage")).join(
-        kept.drop("mention"), ["doc_id", "name_key"]
+    kept = mentions.join(located, "mention").select(
+        "doc_id", "mention", "lon", "lat", "country", "frequency", "confidence"
     )
-    meta = docs.select(
-        "doc_id",
-        *[
-            (F.coalesce(F.col(c), F.lit(d)) if c in docs.columns else F.lit(d)).alias(out)
-            for c, out, d in (("title", "book_title", "Unknown"), ("author", "author", "Unknown"), ("language", "language", "en"))
-        ],
+    meta = (("title", "book_title", "Unknown"), ("author", "author", "Unknown"), ("language", "language", "en"))
+    described = docs.select(
+        "doc_id", "text",
+        *[(F.coalesce(F.col(c), F.lit(v)) if c in docs.columns else F.lit(v)).alias(out) for c, out, v in meta],
     )
-    return sentiment.join(meta, "doc_id").select(
+    windows = context_windows(described, kept).withColumn("_s", lexicon_sentiment("passage"))
+    return windows.select(
         "doc_id", "passage_no", "book_title", "author", F.lit(0).alias("publish_year"),
         F.col("mention").alias("place_name"), "lon", "lat", F.lit("real").alias("place_type"),
         setting_type("frequency").alias("setting_type"), "passage",

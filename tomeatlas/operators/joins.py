@@ -332,13 +332,17 @@ def explode_composites(
     The removed side also has one row for every source row that lost a part, as the manifest
     counts both.
     """
-    split = split_composites(df, vague)
+    return separate_splits(split_composites(df, vague), drop_unresolved)
+
+
+def separate_splits(split: DataFrame, drop_unresolved: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(kept, removed) of rows tagged by ``split_composites``."""
+    tags = ("split_status", "source_id")
     if not drop_unresolved:
-        return split.drop("split_status", "source_id"), split.filter(F.lit(False)).drop("split_status", "source_id")
-    kept = split.filter(F.col("split_status") != "unresolved").drop("split_status", "source_id")
+        return split.drop(*tags), split.filter(F.lit(False)).drop(*tags)
+    kept = split.filter(F.col("split_status") != "unresolved").drop(*tags)
     lost = split.filter(F.col("split_status") == "unresolved")
     sources = lost.dropDuplicates(["ord"]).withColumns(
         {"id": F.col("source_id"), "place_name": F.col("composite_source_place_name")}
     )
-    removed = lost.unionByName(sources).drop("split_status", "source_id")
-    return kept, removed
+    return kept, lost.unionByName(sources).drop(*tags)

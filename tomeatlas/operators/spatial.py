@@ -376,7 +376,8 @@ def _tours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [
             (centre, *leg) for centre, stops in zip(batch["centre_id"], batch["stops"]) for leg in _walk(list(stops))
         ]
-        yield pd.DataFrame(rows, columns=columns)
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
 
 
 def walking_tours(near: DataFrame, reach_m: float = 5_000, stops: int = 8) -> DataFrame:

@@ -18,7 +18,8 @@ from tomeatlas.functions.quality import (
 from tomeatlas.functions.text import clean_language
 from tomeatlas.functions.titles import is_ambiguous_title, is_nonfiction_title, is_title_city_mismatch
 from tomeatlas.operators.dedup import dedup_best
-from tomeatlas.operators.joins import explode_composites
+from tomeatlas.operators.joins import separate_splits, split_composites
+from tomeatlas.plans.scratch import materialise
 from tomeatlas.schema import ensure
 
 _MANIFEST = ("id", "book_title", "author", "place_name")
@@ -44,13 +45,19 @@ def with_provenance(df: DataFrame, vague: Sequence[str] = vocab.VAGUE_PLACES) ->
 def run_cleanup(
     places: DataFrame, drop_unresolved: bool = True, vague: Sequence[str] = vocab.VAGUE_PLACES
 ) -> dict[str, DataFrame]:
-    """Cleaned rows (``data``), removed rows with reasons (``removed``) and stage counts (``report``)."""
+    """Cleaned rows (``data``), removed rows with reasons (``removed``) and stage counts (``report``).
+
+    Tagged and split rows are written to the shared folder once; what is kept, removed and counted
+    is read from there.
+    """
     tagged = places.withColumns(
         {"place_granularity": place_granularity("place_name", vague), "reason": removal_reason()}
     )
     dropped = tagged.filter(F.col("reason").isNotNull())
-    remaining = tagged.filter(F.col("reason").isNull()).drop("reason")
-    atomic, unresolved = explode_composites(remaining, drop_unresolved, vague)
+    split = split_composites(tagged.filter(F.col("reason").isNull()), vague)
+    stage = materialise(split.unionByName(dropped, allowMissingColumns=True), "cleanup")
+    dropped = stage.filter(F.col("reason").isNotNull())
+    atomic, unresolved = separate_splits(stage.filter(F.col("reason").isNull()).drop("reason"), drop_unresolved)
     best, displaced = dedup_best(atomic, ["ord", "composite_split_part"])
     removed = cleanup_manifest(
         dropped,

@@ -9,11 +9,33 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+
+def _admit(times: np.ndarray, recent: deque, limit: int, window: int) -> np.ndarray:
+    """Decide sorted times; ``recent`` holds accepted times that may still count and is carried on.
+
+    Work grows with accepted events only: a full window rejects everything up to the moment its
+    oldest event expires, and that moment is found by bisection.
+    """
+    accepted = np.zeros(len(times), dtype=bool)
+    i = 0
+    while i < len(times) and limit > 0:
+        while recent and times[i] - recent[0] > window:
+            recent.popleft()
+        if len(recent) < limit:
+            accepted[i] = True
+            recent.append(times[i])
+            i += 1
+        else:
+            i += int(np.searchsorted(times[i:], recent[0] + window, side="right"))
+    return accepted
+
+
 # ---- recorded events ----
 
 
@@ -63,17 +85,12 @@ def rate_limit(events: DataFrame, key: str, ts: str, limit: int, window_s: int =
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         here, recent = None, deque()
         for batch in batches:
-            verdicts = []
-            for k, s, t, warm in zip(batch[key], batch["s"], batch["_t"], batch["warm"]):
-                if (k, s) != here:
-                    here, recent = (k, s), deque()
-                while recent and t - recent[0] > limit_us:
-                    recent.popleft()
-                accepted = len(recent) < limit
-                if accepted:
-                    recent.append(t)
-                verdicts.append(accepted)
-            out = pd.DataFrame({key: batch[key], "_o": batch["_o"], "accepted": verdicts})
+            accepted = np.zeros(len(batch), dtype=bool)
+            for stretch, at in batch.groupby([key, "s"], sort=False, dropna=False).indices.items():
+                if stretch != here:
+                    here, recent = stretch, deque()
+                accepted[at] = _admit(batch["_t"].to_numpy()[at], recent, limit, limit_us)
+            out = pd.DataFrame({key: batch[key], "_o": batch["_o"], "accepted": accepted})
             yield out[~batch["warm"].to_numpy()]
 
     decided = (

@@ -11,7 +11,7 @@ from tomeatlas.plans import cleanup, enrich, ingest, release, serving
 from tomeatlas.plans.scratch import scratch_path
 from tomeatlas.sources import parsers
 from tomeatlas.streaming import intake, limiter
-from workload.aggregates import STATUS_SQL, editions, graph_rows, known_part
+from workload.aggregates import GRAPH_SQL, STATUS_SQL, editions, graph_rows, known_part
 from workload.expressions import GATED_SQL, PASSED_SQL, gated, prepared
 from workload.filters import (
     AMBIGUOUS_SQL,
@@ -132,6 +132,19 @@ def _(spark, d):
     return ingest.run_catalogue_ingest(books, names)["data"].select("id", "book_title", "author", "place_name", "narrative_era", "language")
 
 
+@query(
+    "c1_catalogue_to_entries",
+    f"""with {CATALOGUE_SQL} select 'ol-' || split_part(work_key, '/', 3) || '-new-york' as id, title as book_title, coalesce(year, 0) as publish_year, title as passage,
+     case when year is null then '' else year || 's' end as narrative_era, 'French' as language, cover_id <> 0 as has_cover from a""",
+)
+def _(spark, d):
+    books = parsers.parse_catalogue_docs(catalogue_answers(spark, d)).withColumns(
+        {"city": F.lit("New York"), "lon": F.lit(-74.006), "lat": F.lit(40.7128), "region": F.lit("North America"), "description": F.col("title")}
+    )
+    entries = ingest.catalogue_to_entries(books)
+    return entries.select("id", "book_title", "publish_year", "passage", "narrative_era", "language", F.col("cover_url").isNotNull().alias("has_cover"))
+
+
 # ---- P4: graph ----
 
 _REGIONS = sql_map(country_regions())
@@ -153,6 +166,18 @@ def _(spark, d):
     return out["new"].select(*fields, joined("qa_flags").alias("qa_flags"))
 
 
+@query(
+    "c2_narrative_to_entries",
+    f"""with g as ({GRAPH_SQL}), n as (select * from g where not (abs(latitude) < 0.01 and abs(longitude) < 0.01)),
+    x as (select ord, i, city, {_sql_distance('longitude', 'latitude', 'clon', 'clat', '6371.0')} as km from n, {_SEEDS}),
+    near as (select *, row_number() over (partition by ord order by km, i) as rank from x)
+    select ord, 'wd-' || book_qid || '-' || place_qid as id, coalesce({_REGIONS}[country_label], sregion) as region, city as nearest_known_city, km > 500 as far from n join near using (ord) join {_SEED_INFO} using (i) where rank = 1""",
+)
+def _(spark, d):
+    e = ingest.narrative_to_entries(graph_rows(spark, d), ingest.country_region_table(spark))
+    return e.select("ord", "id", "region", "nearest_known_city", F.array_contains("qa_flags", "far_from_known_city").alias("far"))
+
+
 @query("p4_graph_from_bindings")
 def _(spark, d):
     rows = parsers.parse_narrative_bindings(bindings(spark, d))

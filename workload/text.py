@@ -106,7 +106,7 @@ def _(spark, d):
 def _(spark, d):
     docs = documents(spark, d)
     mentions = extract.extract_mentions(docs, gazetteer(spark, d)).filter("frequency > 1")
-    return extract.context_windows(docs, mentions)
+    return extract.context_windows(docs.select("doc_id", "text"), mentions.select("doc_id", "name_key", "mention"))
 
 
 _LEXICON = {name: words.split("|") for name, words in vocab.EMOTION_WORDS}
