@@ -75,25 +75,24 @@ def passage_source(source: ColumnLike = "source", url: ColumnLike = "open_librar
 
 def passage_type(passage: ColumnLike = "passage", source: ColumnLike = "passage_source") -> Column:
     """Kind of text, from its length, its source and whether it holds dialogue."""
-    p = strip(passage)
-    n = F.length(p)
-    quotes = n - F.length(F.replace(p, F.lit('"'), F.lit("")))
-    dialogue = (quotes >= 2) | F.contains(p, F.lit("'"))
-    opening = F.lower(F.left(p, F.lit(5)))
-    article = (
-        opening.startswith("this ") | opening.startswith("a ") | opening.startswith("an ")
-        | opening.startswith("the ")
-    )
     src = col(source)
-    return (
-        F.when(n == 0, F.lit("none"))
-        .when(n < 60, F.lit("short_stub"))
-        .when((src == "wikidata") & (n < 320), F.lit("wikidata_stub"))
-        .when(src == "openlibrary", F.lit("ol_description"))
-        .when(src == "wikipedia", F.lit("wikipedia_summary"))
-        .when((n >= 400) & dialogue & ~article, F.lit("literary_excerpt"))
-        .otherwise(F.lit("other"))
-    )
+
+    def kind(p: Column) -> Column:
+        n = F.length(p)
+        quotes = n - F.length(F.replace(p, F.lit('"'), F.lit("")))
+        dialogue = (quotes >= 2) | F.contains(p, F.lit("'"))
+        article = F.lower(F.left(p, F.lit(5))).rlike("^(?:this|a|an|the) ")
+        return (
+            F.when(n == 0, F.lit("none"))
+            .when(n < 60, F.lit("short_stub"))
+            .when((src == "wikidata") & (n < 320), F.lit("wikidata_stub"))
+            .when(src == "openlibrary", F.lit("ol_description"))
+            .when(src == "wikipedia", F.lit("wikipedia_summary"))
+            .when((n >= 400) & dialogue & ~article, F.lit("literary_excerpt"))
+            .otherwise(F.lit("other"))
+        )
+
+    return let(strip(passage), kind)
 
 
 def enrichment_method(

@@ -139,7 +139,10 @@ class _Limiter(StatefulProcessor):
 def rate_limit_stream(
     events: DataFrame, key: str, ts: str, limit: int, window_s: int = 60, order: str = "event_id"
 ) -> DataFrame:
-    """Stream of events with ``accepted``; events of a key are expected in time order across batches."""
+    """Stream of events with ``accepted``; events of a key are expected in time order across batches.
+
+    The session's state store provider has to be RocksDB.
+    """
     schema = ", ".join(f"{name} {dtype}" for name, dtype in events.dtypes) + ", accepted boolean"
     return events.groupBy(key).transformWithStateInPandas(
         statefulProcessor=_Limiter(ts, order, limit, window_s),

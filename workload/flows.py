@@ -321,6 +321,11 @@ def _(spark, d):
 def _(spark, d):
     rows = timed_events(spark, d)
     root = scratch_path(spark, "limiter")
+    # list state needs the RocksDB store; it is a session setting
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
     # one file, as events of a key have to arrive in time order
     stream = _as_stream(spark, rows.orderBy("ts", "event_id"), "requests", 1)
     out = limiter.rate_limit_stream(stream, "user_id", "ts", 3)
