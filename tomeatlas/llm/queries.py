@@ -107,3 +107,23 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
     dealt = byte_shards(table(spark, folder, "documents"), 8)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op2_quality_classifier")
+def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    from tomeatlas.llm.labelled import fold
+    from tomeatlas.llm.quality import quality_scores
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = quality_scores(docs, table(spark, folder, "labels"), fold("doc_id", 3) != 1)
+    return scored.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from tomeatlas.llm.labelled import fold
+    from tomeatlas.llm.toxicity import toxicity_scores
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = toxicity_scores(docs, table(spark, folder, "labels"), fold("doc_id", 4) != 2)
+    return scored.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -54,6 +54,8 @@ class Words:
     start: np.ndarray  # in data
     end: np.ndarray
     data: np.ndarray  # lower-cased bytes
+    raw: np.ndarray  # bytes as they were
+    offsets: np.ndarray  # of the texts in data
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -93,7 +95,7 @@ def words_of(texts: pa.Array, in_word: np.ndarray) -> Iterator[Words]:
         doc = np.searchsorted(off, start, side="right") - 1
         count = np.bincount(doc, minlength=last - first)
         pos = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-        yield Words(first, count, doc + first, pos, word_hashes(run, start, end), start, end, run)
+        yield Words(first, count, doc + first, pos, word_hashes(run, start, end), start, end, run, data[at[first] : at[last]], off)
         first = last
 
 
