@@ -127,3 +127,10 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     scored = toxicity_scores(docs, table(spark, folder, "labels"), fold("doc_id", 4) != 2)
     return scored.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op7_ngram_jaccard_join")
+def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    from tomeatlas.llm.jaccard_join import similar_documents
+
+    return similar_documents(table(spark, folder, "documents"))
