@@ -134,3 +134,14 @@ def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     from tomeatlas.llm.jaccard_join import similar_documents
 
     return similar_documents(table(spark, folder, "documents"))
+
+
+@query("op6_lm_scoring")
+def op6_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    from tomeatlas.llm.labelled import fold
+    from tomeatlas.llm.language_model import language_scores
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = F.coalesce(fold("doc_id", 7) == 2, F.lit(False))
+    scored = language_scores(docs, fold("doc_id", 7) != 2)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
