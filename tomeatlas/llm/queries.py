@@ -145,3 +145,11 @@ def op6_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.coalesce(fold("doc_id", 7) == 2, F.lit(False))
     scored = language_scores(docs, fold("doc_id", 7) != 2)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op8_line_dedup")
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from tomeatlas.llm.line_dedup import without_repeated_lines
+
+    cleaned = without_repeated_lines(table(spark, folder, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_kept", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
