@@ -1,3 +1,71 @@
-STAGES=[]
-ORACLE_SQL=None
-def run(spark, sf_dir): raise NotImplementedError
+"""From raw documents to packed training sequences, in five stages."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tomeatlas.llm.jaccard_join import similar_documents
+from tomeatlas.llm.packing import pack
+from tomeatlas.llm.quality import quality_scores
+from tomeatlas.llm.queries import table, vocabulary
+from tomeatlas.llm.radix_dedup import exact_duplicates
+from tomeatlas.llm.stored import Stored
+from tomeatlas.llm.winnowing import contamination
+
+#: Rows that score less are rejected.
+LEAST_QUALITY = 0.5
+
+#: SQL cannot say what a fitted classifier and a tokenizer give.
+ORACLE_SQL = None
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    scored = quality_scores(docs, table(spark, sf_dir, "labels"), column="__quality")
+    return scored.where(F.col("__quality") >= LEAST_QUALITY).select(*docs.columns)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact_duplicates(docs, carry=docs.columns).where("dup_kept").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of similar texts; documents without doc_id stay."""
+    groups = similar_documents(docs)
+    leave = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__leaves")).distinct()
+    return docs.join(leave, F.col("doc_id") == F.col("__leaves"), "left_anti")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    found = contamination(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0")
+    found = found.select(F.col("doc_id").alias("__leaves")).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__leaves")), "left_anti")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens."""
+    return pack(docs, vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("exact dedup", exact_dedup),
+    ("n-gram Jaccard join", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("best-fit packing", packing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each but the last is written and read again."""
+    stored = Stored(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        done = stored.save(stage(spark, docs, sf_dir), "stage")
+        if id(docs) in stored.paths:
+            stored.drop(docs)
+        docs = done
+    return STAGES[-1][1](spark, docs, sf_dir)
