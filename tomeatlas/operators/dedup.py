@@ -1,7 +1,6 @@
 """First-wins and best-wins de-duplication, top rows per group, set operations on datasets.
 
-Groups are never gathered whole: ranks up to a small k are pruned on the map side before the
-shuffle, larger ones are pruned in salted sub-groups first.
+Groups are never gathered whole: rows are ranked in salted sub-groups first, so a hot group is spread.
 """
 
 from __future__ import annotations
@@ -15,26 +14,27 @@ from tomeatlas.functions.expr import items, strip, text
 from tomeatlas.functions.text import norm_text
 from tomeatlas.schema import ensure
 
-# Spark prunes ranks up to spark.sql.optimizer.windowGroupLimitThreshold (1000) before the shuffle
-_PRUNED_RANK = 1000
-
 
 def top_k_per_group(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int, rank: str = "rank", salts: int = 64
 ) -> DataFrame:
-    """The first ``k`` rows of each group with their rank."""
+    """The first ``k`` rows of each group with their rank.
+
+    For every ``k`` the rows of a group are dealt to ``salts`` sub-groups by where the scan met them, and cut to ``k``
+    there; the last ranking sees at most ``salts * k`` rows of a group. Ties are broken by the order alone.
+    """
     order = list(order)
-    if k > _PRUNED_RANK:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
-        within = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        df = salted.withColumn("_r", F.row_number().over(within)).filter(F.col("_r") <= k).drop("_r", "_salt")
+    salted = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+    within = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    df = salted.withColumn("_r", F.row_number().over(within)).filter(F.col("_r") <= k).drop("_r", "_salt")
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 
 
 def dedup_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str] = ("ord",)) -> DataFrame:
-    """The first row of each key in list order."""
-    return top_k_per_group(df, keys, order, 1, rank="_first").drop("_first")
+    """The first row of each key in list order; Spark cuts the ranks before the shuffle."""
+    window = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_first", F.row_number().over(window)).filter(F.col("_first") == 1).drop("_first")
 
 
 def with_book_key(df: DataFrame) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -115,20 +118,26 @@ def summarise_entities(entities: DataFrame) -> DataFrame:
 _FLUSH_CHARS = 4_000_000  # text held back before a batch of chunks is passed on
 
 
-def _chunk_bounds(s: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
-    """Overlapping stretches that end at a paragraph, line or sentence where one is near the end."""
-    start, n = 0, len(s)
-    while start < n:
-        end = min(start + size, n)
-        if end < n and n > size:
-            for mark in ("\n\n", "\n", ". ", "? ", "! "):
-                at = s.rfind(mark, start + size - overlap, end)
-                if at > start:
-                    end = at + len(mark)
-                    break
-        yield start, end
-        # always move on, also where the overlap is as long as the stretch
-        start = max(end - overlap, start + 1) if end < n else n
+#: Ends of a chunk, best first; every place counts, also within a run of line ends.
+_CHUNK_ENDS = ["\n\n", "\n", ". ", "? ", "! "]
+
+
+def _chunk_bounds(s: str, size: int, overlap: int) -> list[tuple[int, int]]:
+    """Overlapping stretches. One that does not reach the end of the text stops after the best kind of end that lies
+    in its last ``overlap`` characters, at the last such place; the next one starts ``overlap`` characters before that."""
+    n = len(s)
+    ends = [np.array([m.start() + len(e) for m in re.finditer(f"(?={re.escape(e)})", s)], dtype=int) for e in _CHUNK_ENDS] if n > size else []
+    bounds, start = [], 0
+    while start + size < n:
+        end = start + size
+        for e, kind in zip(ends, _CHUNK_ENDS):
+            last = np.searchsorted(e, end, side="right") - 1
+            if last >= 0 and e[last] - len(kind) >= max(end - overlap, start + 1):
+                end = int(e[last])
+                break
+        bounds.append((start, end))
+        start = max(end - overlap, start + 1)  # moves on even where the overlap is as long as the stretch
+    return bounds + [(start, n)] if start < n else bounds
 
 
 def chunk_text(docs: DataFrame, size: int = 2000, overlap: int = 200) -> DataFrame:
@@ -163,29 +172,30 @@ def dedup_spans(entities: DataFrame) -> DataFrame:
 # ---- context windows ----
 
 
-def _windows(s: str, low: str, name: str, width: int, most: int) -> list[str]:
-    """Passages around the first mentions in a text, given its lower-case form as well."""
-    out: list[str] = []
-    key, start = name.lower(), 0
-    stops = ".!?\n"
-    while key and len(out) < most:
-        at = low.find(key, start)
-        if at < 0:
-            break
-        left, right = max(0, at - width), min(len(s), at + len(name) + width)
-        while left > 0 and s[left] not in stops:
-            left -= 1
-        if left > 0:
-            left += 2
-        while right < len(s) and s[right] not in stops:
-            right += 1
-        if right < len(s):
-            right += 1
-        passage = s[left:right].strip()
-        if len(passage) > 20:
-            out.append(passage)
-        start = at + len(name)
-    return out
+_STOP = re.compile(r"[.!?\n]")
+
+
+def _stops(s: str) -> np.ndarray:
+    """Places of the marks that end a sentence or line."""
+    return np.array([m.start() for m in _STOP.finditer(s)], dtype=int)
+
+
+def _windows(s: str, low: str, stops: np.ndarray, name: str, width: int, most: int) -> list[str]:
+    """Passages around the first mentions: ``width`` characters on either side, then on to the nearest stop mark.
+
+    The mark before and the blank after it are left out, the mark behind is kept; short passages do not count.
+    """
+    found = re.finditer(re.escape(name.lower()), low) if name else ()
+    passages = (_around(s, stops, m.start(), m.start() + len(name), width) for m in found)
+    return list(islice((p for p in passages if len(p) > 20), most))
+
+
+def _around(s: str, stops: np.ndarray, start: int, end: int, width: int) -> str:
+    before = np.searchsorted(stops, max(0, start - width), side="right") - 1
+    behind = np.searchsorted(stops, min(len(s), end + width), side="left")
+    left = int(stops[before]) if before >= 0 else 0
+    right = int(stops[behind]) + 1 if behind < len(stops) else len(s)
+    return s[left + 2 if left else 0 : right].strip()
 
 
 def context_windows(docs: DataFrame, mentions: DataFrame, width: int = 150, most: int = 3) -> DataFrame:
@@ -207,9 +217,9 @@ def context_windows(docs: DataFrame, mentions: DataFrame, width: int = 150, most
             texts = batch["text"].fillna("")
             rows = [
                 (*head, *[m[f] for f in fields], i, p)
-                for head, s, low, names in zip(heads, texts, texts.str.lower(), batch["_names"])
+                for head, s, low, stops, names in zip(heads, texts, texts.str.lower(), map(_stops, texts), batch["_names"])
                 for m in names
-                for i, p in enumerate(_windows(s, low, m["mention"], width, most), start=1)
+                for i, p in enumerate(_windows(s, low, stops, m["mention"], width, most), start=1)
             ]
             if rows:
                 yield pd.DataFrame(rows, columns=columns)
@@ -281,20 +291,28 @@ def infer(
 ) -> DataFrame:
     """Run a batch function over the rows; it returns one JSON text per row.
 
-    Output has ``result``, ``status`` (ok or failed) and ``reason``. Failed rows stay in the output;
-    a batch that raises is tried again and then reported row by row.
+    Output has ``result``, ``status`` (ok or failed) and ``reason``. Failed rows stay in the output. A batch whose call
+    raises, or returns another number of results, is tried again and then halved, down to the single row at fault.
     """
     columns = df.columns
 
+    def answered(batch: pd.DataFrame) -> pd.DataFrame:
+        for _ in range(retries + 1):
+            try:
+                result = list(fn(batch))
+                if len(result) != len(batch):
+                    raise ValueError(f"{len(result)} results for {len(batch)} rows")
+                return batch.assign(result=result, _error=None)
+            except Exception as exc:  # noqa: BLE001 - any failure becomes a reason
+                fault = f"exception: {exc}"
+        if len(batch) <= 1:
+            return batch.assign(result=None, _error=fault)
+        half = len(batch) // 2
+        return pd.concat([answered(batch.iloc[:half]), answered(batch.iloc[half:])])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for _ in range(retries + 1):
-                try:
-                    result, error = list(fn(batch)), None
-                    break
-                except Exception as exc:  # noqa: BLE001 - any failure becomes a reason
-                    result, error = None, f"exception: {exc}"
-            yield batch.assign(result=result, _error=error)
+            yield answered(batch)
 
     schema = T.StructType([*df.schema.fields, T.StructField("result", T.StringType()), T.StructField("_error", T.StringType())])
     checked = df.mapInPandas(run, schema).withColumn("reason", F.coalesce("_error", validation_reason("result", mode)))

@@ -195,6 +195,7 @@ def resolve_labels(df: DataFrame, labels: DataFrame, drop: bool = False) -> Data
         open_title, F.coalesce(F.nullif(strip("wikidata_book_qid"), F.lit("")), strip("book_title"))
     )
     table = labels.select(F.col("qid").alias("_qid"), F.nullif("label", F.lit("")).alias("_label"))
+    table = table.groupBy("_qid").agg(F.max("_label").alias("_label"))  # one label for a repeated identifier
     out = df.withColumn("_want", qid).join(table, F.col("_want") == F.col("_qid"), "left")
     out = out.withColumn("book_title", F.coalesce("_label", "book_title")).select(*df.columns)
     return out.filter(~open_title) if drop else out
@@ -202,11 +203,8 @@ def resolve_labels(df: DataFrame, labels: DataFrame, drop: bool = False) -> Data
 
 def merge_genres(df: DataFrame, subjects: DataFrame) -> DataFrame:
     """Add genres found in the (open_library_key, subjects) table; at most 8, with 20 raw subjects."""
-    found = subjects.filter(F.size("subjects") > 0).select(
-        F.col("open_library_key").alias("_key"),
-        F.slice("subjects", 1, 20).alias("_subjects"),
-        subject_genres("subjects").alias("_genres"),
-    )
+    one_each = subjects.filter(F.size("subjects") > 0).groupBy(F.col("open_library_key").alias("_key")).agg(F.max("subjects").alias("subjects"))
+    found = one_each.select("_key", F.slice("subjects", 1, 20).alias("_subjects"), subject_genres("subjects").alias("_genres"))
     df = ensure(df, "open_library_subjects")
     known = F.transform(items("genres"), lambda g: F.lower(g))
     added = F.filter(F.col("_genres"), lambda g: ~F.array_contains(known, F.lower(g)))

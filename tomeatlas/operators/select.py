@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tomeatlas.functions.expr import strip, text
 from tomeatlas.operators.dedup import top_k_per_group, with_book_key, with_row_key
+from tomeatlas.plans.scratch import materialise
 from tomeatlas.schema import ensure
 
 # Weights of the scores, smallest quota, size of the inspected head of a pool.
@@ -23,11 +24,14 @@ def unenriched(df: DataFrame) -> DataFrame:
     return df.filter(F.coalesce(F.nullif("enrichment_method", F.lit("")), F.lit("none")) == "none")
 
 
-def minmax(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Column scaled to 0..1 over the dataset, 0 when it does not vary."""
-    span = df.agg(F.struct(F.min(column).alias("lo"), F.max(column).alias("hi"))).scalar()
-    scaled = (F.col(column) - F.col("_span.lo")) / F.nullif(F.col("_span.hi") - F.col("_span.lo"), F.lit(0))
-    return df.withColumn("_span", span).withColumn(out, F.coalesce(scaled.cast("double"), F.lit(0.0))).drop("_span")
+def minmax(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Each column scaled to 0..1 over the dataset under its new name, 0 when it does not vary; one pass for all spans."""
+    spans = df.agg(F.struct(*[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(out) for c, out in columns.items()])).scalar()
+    scaled = df.withColumn("_span", spans)
+    for c, out in columns.items():
+        lo, hi = F.col(f"_span.{out}.lo"), F.col(f"_span.{out}.hi")
+        scaled = scaled.withColumn(out, F.coalesce(((F.col(c) - lo) / F.nullif(hi - lo, F.lit(0))).cast("double"), F.lit(0.0)))
+    return scaled.drop("_span")
 
 
 def enrichment_score(df: DataFrame, editions: DataFrame) -> DataFrame:
@@ -39,7 +43,7 @@ def enrichment_score(df: DataFrame, editions: DataFrame) -> DataFrame:
     canon = F.log1p("_rows") * 0.6 + F.log1p("_titles") * 0.4
     scored = (
         df.join(authors.select("author_key", canon.alias("canon_raw")), "author_key")
-        .join(editions.select("title_key", "author_key", "edition_count"), ["title_key", "author_key"], "left")
+        .join(editions.groupBy("title_key", "author_key").agg(F.max("edition_count").alias("edition_count")), ["title_key", "author_key"], "left")
         .withColumns(
             {
                 "edition_count": F.coalesce("edition_count", F.lit(0)),
@@ -49,7 +53,8 @@ def enrichment_score(df: DataFrame, editions: DataFrame) -> DataFrame:
             }
         )
     )
-    scored = minmax(minmax(scored, "edition_count", "edition_score"), "canon_raw", "canon_score")
+    scored = materialise(scored, "scored")  # the spans and the rows share one computation of the joins
+    scored = minmax(scored, {"edition_count": "edition_score", "canon_raw": "canon_score"})
     base = F.col("edition_score") * 0.72 + F.col("canon_score") * 0.28 + F.col("passage_bonus")
     return scored.withColumn("base_score", base).drop("title_key", "author_key")
 

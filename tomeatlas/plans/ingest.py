@@ -86,12 +86,12 @@ def run_catalogue_ingest(books: DataFrame, names: DataFrame, works: DataFrame |
     found = books.filter(F.col("work_key") != "").join(names, "search_name")
     first = dedup_first(found, ["work_key"], order)
     if works is not None:
-        first = first.join(works.select("work_key", "description"), "work_key", "left")
+        described = works.groupBy("work_key").agg(F.max("description").alias("description"))
+        first = first.join(described, "work_key", "left")
     named = ~F.lower(text("title")).isin("untitled", "")
     kept = first.filter(named & is_likely_fiction())
-    # list order: city, name, position; ids of positions fit well below the factors
-    position = F.col("city_ord") * 10_000_000 + F.col("name_ord") * 100_000 + F.col("position")
-    return {"data": catalogue_to_entries(kept.withColumn("ord", position)), "removed": first.filter(~(named & is_likely_fiction()))}
+    # list order: city, name, position
+    return {"data": catalogue_to_entries(kept.withColumn("ord", F.struct(*order))), "removed": first.filter(~(named & is_likely_fiction()))}
 
 
 def narrative_to_entries(df: DataFrame, regions: DataFrame) -> DataFrame:

@@ -141,7 +141,7 @@ def cut_release(
     is written. The manifest is read from what was written.
     """
     if report is not None:
-        ratio = float(passing_ratio(report).first()["passing_ratio"])
+        ratio = float(passing_ratio(report).first()["passing_ratio"])  # one number, also written below
         if ratio < min_ratio:
             raise ReleaseRefused(f"passing ratio {ratio:.3f} is below the minimum {min_ratio:.3f}")
     path = f"{root.rstrip('/')}/release={version}"
@@ -150,8 +150,7 @@ def cut_release(
     written = df.sparkSession.read.schema(rows.schema).parquet(path)
     manifest = release_manifest(written, version)
     if report is not None:
-        ratio_of = passing_ratio(report).select("passing_ratio").scalar()
-        manifest = manifest.withColumn("passing_ratio", F.round(ratio_of, 4))
+        manifest = manifest.withColumn("passing_ratio", F.round(F.lit(ratio), 4))
     return manifest
 
 

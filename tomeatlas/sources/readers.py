@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,11 +80,14 @@ def latest_release(df: DataFrame) -> DataFrame:
 def read_release(spark: SparkSession, root: str, version: str | None = None) -> DataFrame:
     """Pinned or latest release of a dataset partitioned by ``release``.
 
-    Releases are listed from the directory names, so the others are not touched.
+    The latest one is chosen by the folder names, so the files of others are not touched.
     """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if version is None:
+        found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+        version = max(s.getPath().getName().removeprefix("release=") for s in found if s.getPath().getName().startswith("release="))
     schema = T.StructType([*PLACE.fields, T.StructField("release", T.StringType())])
-    df = spark.read.schema(schema).parquet(root)
-    return df.filter(F.col("release") == version) if version else latest_release(df)
+    return spark.read.schema(schema).option("basePath", root).parquet(f"{root.rstrip('/')}/release={version}")
 
 
 def read_jdbc_partitioned(
@@ -122,8 +125,24 @@ def accepted_results(results: DataFrame) -> DataFrame:
     )
 
 
+def one_line(c: str) -> Column:
+    """A field without line ends: backslashes are doubled, line ends written as \\n and \\r."""
+    out = F.replace(F.col(c), F.lit("\\"), F.lit("\\\\"))
+    return F.replace(F.replace(out, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+
+
+def unfolded(c: str) -> Column:
+    """The field that ``one_line`` wrote."""
+    out = F.replace(F.col(c), F.lit("\\\\"), F.lit("\x00"))
+    out = F.replace(F.replace(out, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
+    return F.replace(out, F.lit("\x00"), F.lit("\\"))
+
+
 def read_batch_csv(spark: SparkSession, path: str, start: int = 0, limit: int = 0) -> DataFrame:
-    """Batch input with a header and an ``ord`` column; ``start`` and ``limit`` cut a slice of it."""
+    """Batch input with a header and an ``ord`` column; ``start`` and ``limit`` cut a slice of it.
+
+    A record is one line, with line ends in fields written as \\n (see ``one_line``), so large files are split.
+    """
     schema = T.StructType(
         [T.StructField("ord", T.LongType())]
         + [
@@ -134,7 +153,8 @@ def read_batch_csv(spark: SparkSession, path: str, start: int = 0, limit: int =
             )
         ]
     )
-    df = spark.read.csv(path, schema=schema, header=True, multiLine=True, escape='"')
+    df = spark.read.csv(path, schema=schema, header=True, escape='"')
+    df = df.withColumns({c: unfolded(c) for c, kind in df.dtypes if kind == "string"})
     if start > 0:
         df = df.filter(F.col("ord") >= start)
     if limit > 0:

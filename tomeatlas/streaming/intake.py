@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -54,6 +54,14 @@ def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
 
 
+def _written(spark: SparkSession, path: str, columns: str, batch_id: int) -> DataFrame:
+    """Key columns of what batches other than this one have written; nothing yet if there is no folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], columns)
+    return spark.read.schema(f"{columns}, batch bigint").parquet(path).filter(F.col("batch") != batch_id)
+
+
 def contribution_stream(source: DataFrame, accepted: str, dead_letter: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Queue valid contributions, put the others aside with their fault."""
 
@@ -76,12 +84,14 @@ def enrichment_stream(
 ) -> StreamingQuery:
     """Run the batch function over new rows (row_key, ...) and append results with their status.
 
-    A row that arrives twice is processed once per micro-batch; readers take the first result of a
-    row key by batch, see ``read_stream_results``.
+    A row that arrives twice is processed once: repeats in a micro-batch are dropped, and so are rows that an earlier
+    one has written. A batch that runs again after a failure does not count its own output as earlier.
     """
+    key_type = dict(source.dtypes)["row_key"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        unique = dedup_first(batch, ["row_key"], ["ord"])
+        done = _written(batch.sparkSession, results, f"row_key {key_type}", batch_id)
+        unique = new_rows(done, batch, ["row_key"])
         _write_batch(infer(unique, fn, mode), results, batch_id)
 
     return (
@@ -101,28 +111,23 @@ def append_stream(
     source: DataFrame,
     corpus: str,
     checkpoint: str,
-    event_time: str,
-    delay: str = "1 day",
     columns: tuple[str, ...] = ("book_title", "author"),
     **trigger,
 ) -> StreamingQuery:
     """Append works that the corpus does not have yet, first arrival wins.
 
-    Repeats within the watermark are dropped by the stream's state, older ones by an anti-join with
-    the keys of what was written so far.
+    Repeats are found by an anti-join with the keys of what was written so far, of which only the key columns are read.
+    There is no watermark: a row may arrive however late.
     """
     names = [f"key{i}" for i in range(len(columns))]
     keyed = source.withColumns({n: norm_text(c) for n, c in zip(names, columns)})
-    unique = keyed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(names)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = spark.read.schema(f"{', '.join(n + ' string' for n in names)}, batch bigint").parquet(corpus)
-        known = known.filter(F.col("batch") != batch_id)
+        known = _written(batch.sparkSession, corpus, ", ".join(f"{n} string" for n in names), batch_id)
         _write_batch(new_rows(known, batch, names), corpus, batch_id)
 
     return (
-        unique.writeStream.foreachBatch(write)
+        keyed.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
@@ -63,43 +64,40 @@ def _segments(buckets: DataFrame, limit: int) -> DataFrame:
 
 
 def rate_limit(events: DataFrame, key: str, ts: str, limit: int, window_s: int = 60, order: str = "event_id") -> DataFrame:
-    """Events with ``accepted``.
+    """Events with ``accepted``; a null key is a key of its own.
 
-    Acceptance depends on earlier acceptance, so each independent stretch is decided in time order
-    in one pass over a sorted partition. Busy keys fall apart into many stretches, and a pass keeps
-    at most ``limit`` times, never a whole group.
+    Acceptance depends on earlier acceptance, so each independent stretch is decided in time order in one pass over
+    a sorted partition. Of the events of one key and instant only the first ``limit`` can be accepted; the others are
+    rejected beforehand. Busy keys fall apart into many stretches, and a pass keeps at most ``limit`` times, never a
+    whole group. A stretch in which the key is saturated throughout stays in one pass, which streams through it.
     """
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     rows = events.withColumns({"_t": micros, "_b": F.floor(micros / F.lit(window_s * 1_000_000)).cast("bigint")})
-    buckets = rows.groupBy(F.col(key).alias("key"), F.col("_b").alias("bucket")).agg(F.count("*").alias("n"))
+    same_instant = Window.partitionBy(key, "_t").orderBy(order)
+    ranked = rows.withColumn("_nth", F.row_number().over(same_instant))
+    buckets = ranked.filter(F.col("_nth") <= limit).groupBy(F.col(key).alias("key"), F.col("_b").alias("bucket")).agg(F.count("*").alias("n"))
     segments = _segments(buckets, limit)
-    placed = rows.join(segments, (rows[key] == segments["key"]) & (rows["_b"] == segments["bucket"]))
+    open_rows = ranked.filter(F.col("_nth") <= limit)
+    placed = open_rows.join(segments, open_rows[key].eqNullSafe(segments["key"]) & (open_rows["_b"] == segments["bucket"]))
     own = F.struct(F.col("seg").alias("s"), F.lit(False).alias("warm"))
     next_one = F.when(F.col("next_seg").isNotNull(), F.struct(F.col("next_seg").alias("s"), F.lit(True).alias("warm")))
-    spread = placed.select(
-        key, "_t", F.col(order).alias("_o"), F.inline(F.array_compact(F.array(own, next_one)))
-    )
-    key_type, order_type = dict(events.dtypes)[key], dict(events.dtypes)[order]
-    limit_us = window_s * 1_000_000
+    name = F.coalesce(F.concat(F.lit("key "), placed[key].cast("string")), F.lit("none")).alias("_k")
+    spread = placed.select(*[open_rows[c] for c in events.columns], name, "_t", F.inline(F.array_compact(F.array(own, next_one))))
+    limit_us, names = window_s * 1_000_000, events.columns
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         here, recent = None, deque()
         for batch in batches:
             accepted = np.zeros(len(batch), dtype=bool)
-            for stretch, at in batch.groupby([key, "s"], sort=False, dropna=False).indices.items():
+            for stretch, at in batch.groupby(["_k", "s"], sort=False).indices.items():
                 if stretch != here:
                     here, recent = stretch, deque()
                 accepted[at] = _admit(batch["_t"].to_numpy()[at], recent, limit, limit_us)
-            out = pd.DataFrame({key: batch[key], "_o": batch["_o"], "accepted": accepted})
-            yield out[~batch["warm"].to_numpy()]
+            yield batch[names].assign(accepted=accepted)[~batch["warm"].to_numpy()]
 
-    decided = (
-        spread.repartition(key, "s")
-        .sortWithinPartitions(key, "s", "_t", "_o")
-        .mapInPandas(decide, f"{key} {key_type}, _o {order_type}, accepted boolean")
-    )
-    verdict = decided.withColumnsRenamed({"_o": order})
-    return events.join(verdict, [key, order])
+    schema = T.StructType([*events.schema.fields, T.StructField("accepted", T.BooleanType())])
+    decided = spread.repartition("_k", "s").sortWithinPartitions("_k", "s", "_t", order).mapInPandas(decide, schema)
+    return decided.unionByName(ranked.filter(F.col("_nth") > limit).select(*events.columns, F.lit(False).alias("accepted")))
 
 
 # ---- stream ----
@@ -108,27 +106,22 @@ def rate_limit(events: DataFrame, key: str, ts: str, limit: int, window_s: int =
 class _Limiter(StatefulProcessor):
     """Keeps the accepted times of a key that may still count, at most ``limit`` of them."""
 
-    def __init__(self, ts: str, order: str, limit: int, window_s: int):
-        self.ts, self.order, self.limit, self.window = ts, order, limit, pd.Timedelta(seconds=window_s)
+    def __init__(self, key: str, ts: str, order: str, limit: int, window_s: int):
+        self.key, self.ts, self.order, self.limit, self.window = key, ts, order, limit, window_s * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getListState("accepted", "t timestamp")
+        self.times = handle.getListState("accepted", "t bigint")
 
     def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
-        recent = deque(pd.Timestamp(r[0]) for r in self.times.get()) if self.times.exists() else deque()
-        for pdf in rows:
-            pdf = pdf.sort_values([self.ts, self.order])
-            verdicts = []
-            for t in pdf[self.ts]:
-                while recent and t - recent[0] > self.window:
-                    recent.popleft()
-                accepted = len(recent) < self.limit
-                if accepted:
-                    recent.append(t)
-                verdicts.append(accepted)
-            yield pdf.assign(accepted=verdicts)
+        recent = deque(r[0] for r in self.times.get()) if self.times.exists() else deque()
+        # a key's rows come in several Arrow batches; only their times and places in the order are kept
+        parts = [pdf[[self.ts, self.order]] for pdf in rows]
+        times = pd.concat(parts, ignore_index=True).sort_values([self.ts, self.order], ignore_index=True)
+        micros = times[self.ts].to_numpy().astype("datetime64[us]").astype("int64")
+        accepted = _admit(micros, recent, self.limit, self.window)
+        yield times.assign(**{self.key: key[0], "accepted": accepted})[[self.key, self.ts, self.order, "accepted"]]
         if recent:
-            self.times.put([(t.to_pydatetime(),) for t in recent])
+            self.times.put([(int(t),) for t in recent])
         else:
             self.times.clear()
 
@@ -139,13 +132,16 @@ class _Limiter(StatefulProcessor):
 def rate_limit_stream(
     events: DataFrame, key: str, ts: str, limit: int, window_s: int = 60, order: str = "event_id"
 ) -> DataFrame:
-    """Stream of events with ``accepted``; events of a key are expected in time order across batches.
+    """Stream of verdicts: key, time, order and ``accepted`` of every event.
 
-    The session's state store provider has to be RocksDB.
+    Events of a key are expected in time order across micro-batches, in any order within one. The rows of a key in one
+    micro-batch are decided together; bound them by the source's file or byte limit. The session's state store
+    provider has to be RocksDB.
     """
-    schema = ", ".join(f"{name} {dtype}" for name, dtype in events.dtypes) + ", accepted boolean"
-    return events.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=_Limiter(ts, order, limit, window_s),
+    kinds = dict(events.dtypes)
+    schema = ", ".join(f"{name} {kinds[name]}" for name in (key, ts, order)) + ", accepted boolean"
+    return events.select(key, ts, order).groupBy(key).transformWithStateInPandas(
+        statefulProcessor=_Limiter(key, ts, order, limit, window_s),
         outputStructType=schema,
         outputMode="Append",
         timeMode="None",

@@ -284,18 +284,6 @@ STATUS_SQL = f"""known as (select distinct {norm('book_title')} as t, {norm('aut
   from g left join known k on k.t = g.t and k.a = g.a left join f on f.t = g.t and f.a = g.a)"""
 
 
-@query(
-    "g18_expansion_stats",
-    f"""with {STATUS_SQL} select (select count(*) from places where list_contains(genres, 'crime')) as existing, count(*) as fetched, count(*) filter (where status = 'deduped') as deduped,
-     count(*) filter (where status = 'rejected') as rejected_null_island, count(*) filter (where status = 'new') as new_entries from status""",
-)
-def _(spark, d):
-    known = known_part(spark, d)
-    status = expansion_status(known, graph_rows(spark, d))
-    no_flags = status.select(F.array().cast("array<string>").alias("qa_flags"))
-    return expansion_stats(known, status, no_flags).drop("flagged_far")
-
-
 @query(
     "g19_ledger_summary",
     f"""with g as ({LEDGER_SQL}) select count(*) as total_rows, count(*) filter (where status = 'reviewed') as reviewed_rows, round(count(*) filter (where status = 'reviewed') / count(*), 6) as reviewed_coverage_rate,
@@ -365,7 +353,7 @@ def _(spark, d):
     "select o_orderkey, round((o_totalprice - min(o_totalprice) over ()) / (max(o_totalprice) over () - min(o_totalprice) over ()), 6) as scaled from orders",
 )
 def _(spark, d):
-    return minmax(table(spark, d, "orders"), "o_totalprice", "scaled").select("o_orderkey", F.round("scaled", 6).alias("scaled"))
+    return minmax(table(spark, d, "orders"), {"o_totalprice": "scaled"}).select("o_orderkey", F.round("scaled", 6).alias("scaled"))
 
 
 EDITIONS_SQL = f"select {norm('book_title')} as t, {norm('author')} as a, sum(ord % 17) as edition_count from places group by 1, 2"

@@ -159,14 +159,14 @@ def _(spark, d):
 
 @query(
     "j8_years",
-    """select ord, case when ord % 4 = 3 then null else publish_year end as iso,
-     case when ord % 4 = 3 then null else publish_year end as loose from places where publish_year > 0""",
+    """select ord, case when ord % 4 = 3 or publish_year = 0 then null else publish_year end as iso,
+     case when ord % 4 = 3 then null else publish_year end as loose from places""",
 )
 def _(spark, d):
     m, y = F.col("ord") % 4, F.col("publish_year").cast("string")
     iso = F.when(m == 3, F.concat(F.lit("c."), y)).otherwise(F.concat(y, F.lit("-01-01T00:00:00Z")))
     loose = F.when(m == 3, F.concat(F.lit("c. "), y)).otherwise(F.concat(y, F.lit(".0")))
-    return places(spark, d).filter("publish_year > 0").select(
+    return places(spark, d).select(
         "ord", text.iso_year(iso).alias("iso"), text.loose_year(loose).alias("loose")
     )
 

@@ -485,10 +485,10 @@ def _(spark, d):
 @query(
     "h2_order_results",
     f"""with {GATED_SQL} select ord, tier, publish_year from gated
-    order by case tier when 'gold' then 0 when 'silver' then 1 else 2 end, publish_year desc, ord limit 50""",
+    order by case tier when 'gold' then 0 when 'silver' then 1 else 2 end, publish_year desc, ord""",
 )
 def _(spark, d):
-    return search.order_results(gated(spark, d)).limit(50).select("ord", F.col("quality_tier").alias("tier"), "publish_year")
+    return search.order_results(gated(spark, d)).select("ord", F.col("quality_tier").alias("tier"), "publish_year")
 
 
 @query("h4_top_n", "select region as value, count(*) as entries from places group by 1 order by entries desc, value limit 3")

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from tomeatlas import vocab
 from tomeatlas.operators.joins import country_regions
 from tomeatlas.plans import cleanup, enrich, ingest, release, serving
-from tomeatlas.plans.scratch import scratch_path
+from tomeatlas.plans.scratch import materialise, scratch_path
 from tomeatlas.sources import parsers
 from tomeatlas.streaming import intake, limiter
-from workload.aggregates import GRAPH_SQL, STATUS_SQL, editions, graph_rows, known_part
+from workload.aggregates import GRAPH_SQL, RADAR_SQL, STATUS_SQL, editions, graph_rows, known_part
 from workload.expressions import GATED_SQL, PASSED_SQL, gated, prepared
 from workload.filters import (
     AMBIGUOUS_SQL,
@@ -128,7 +128,7 @@ def _(spark, d):
     names = ingest.search_names(spark, ingest.seed_cities(spark))
     # several answers per name: the position runs over all of them
     books = parsers.parse_catalogue_docs(catalogue_answers(spark, d), keep=("ord", "search_name"))
-    books = books.withColumn("position", F.col("position") * 10_000_000 + F.col("ord")).drop("ord")
+    books = books.withColumn("position", F.struct("position", "ord")).drop("ord")
     return ingest.run_catalogue_ingest(books, names)["data"].select("id", "book_title", "author", "place_name", "narrative_era", "language")
 
 
@@ -178,6 +178,17 @@ def _(spark, d):
     return e.select("ord", "id", "region", "nearest_known_city", F.array_contains("qa_flags", "far_from_known_city").alias("far"))
 
 
+@query(
+    "g18_expansion_stats",
+    f"""with {STATUS_SQL}, n as (select * from status where status = 'new'),
+    x as (select ord, {_sql_distance('longitude', 'latitude', 'clon', 'clat', '6371.0')} as km from n, {_SEEDS}), near as (select ord, min(km) as km from x group by 1)
+    select (select count(*) from places where list_contains(genres, 'crime')) as existing, count(*) as fetched, count(*) filter (where status = 'deduped') as deduped,
+     count(*) filter (where status = 'rejected') as rejected_null_island, count(*) filter (where status = 'new') as new_entries, (select count(*) from near where km > 500) as flagged_far from status""",
+)
+def _(spark, d):
+    return ingest.run_expansion(known_part(spark, d), graph_rows(spark, d), ingest.country_region_table(spark))["report"]
+
+
 @query("p4_graph_from_bindings")
 def _(spark, d):
     rows = parsers.parse_narrative_bindings(bindings(spark, d))
@@ -201,12 +212,12 @@ def _(spark, d):
 
 @query(
     "p6_backfill_report",
-    f"""with src as (select 'doc-' || doc_id as id, length({strip('text[1:500]')}) as n from documents), b as (select p.id, length({strip('passage')}) as old, n from places p join src using (id))
+    f"""with src as (select 'doc-' || doc_id as id, length({strip('text')}) as n from documents), b as (select p.id, length({strip('passage')}) as old, n from places p join src using (id))
     select case when n < 60 then 'kept' when old < 60 then 'new' when n > old then 'upgraded' else 'replaced' end as merge_status, count(*) as entries from b group by 1""",
 )
 def _(spark, d):
     texts = table(spark, d, "documents").select(
-        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), F.left("text", F.lit(500)).alias("passage"), F.col("doc_id").alias("ord")
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("passage"), F.col("doc_id").alias("ord")
     )
     return ingest.run_backfill(places(spark, d), [("openlibrary", texts)])["report"]
 
@@ -223,17 +234,19 @@ def _(spark, d):
 
 @query(
     "p8_serving_counts",
-    f"""with {GATED_SQL}, per as (select lower(place_name) as c, count(*) as n, sum(len(themes)) as k from gated group by 1)
+    f"""with {RADAR_SQL}, perc as (select lower(place_name) as c, count(*) as n, sum(len(themes)) as k from gated group by 1)
     select 'index' as "table", count(*) as entries from gated union all select 'details', count(*) from gated union all select 'hero', least(500, count(*)) from gated
     union all select 'themes', count(*) from (select t from (select unnest(themes) as t from gated) group by 1 having count(*) >= 2) union all select 'corpus', 1
     union all select 'facets', count(distinct region) + count(distinct language) + (select count(distinct g) from (select unnest(genres) as g from gated)) from gated
-    union all select 'city_profiles', count(*) filter (where n >= 3 and k > 0) from per union all select 'city_stats', count(distinct place_name) from gated
-    union all select 'cities', count(*) from (select place_name from gated group by 1 having count(*) >= 3) union all select 'reading_lists', 5""",
+    union all select 'city_profiles', count(*) filter (where n >= 3 and k > 0) from perc union all select 'city_stats', count(distinct place_name) from gated
+    union all select 'city_radar', count(*) from radar union all select 'cities', count(*) from (select place_name from gated group by 1 having count(*) >= 3) union all select 'reading_lists', 5""",
 )
 def _(spark, d):
-    tables = serving.serving_tables(gated(spark, d))
-    tables.pop("city_radar")
-    return serving.serving_counts(tables)
+    root = scratch_path(spark, "serving")
+    rated = materialise(gated(spark, d), "gated")
+    tables = serving.serving_tables(rated)
+    serving.write_serving_tables(tables, root)
+    return serving.serving_counts({name: spark.read.parquet(f"{root}/{name}") for name in tables})
 
 
 @query("p8_similar_table")
@@ -292,7 +305,7 @@ def _(spark, d):
     p = places(spark, d).withColumn("seen_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("ord"))).select("ord", "id", "book_title", "author", "genres", "seen_at")
     intake.seed_corpus(p.filter(F.array_contains("genres", "crime")), f"{root}/corpus")
     stream = _as_stream(spark, p, "arrivals", 3)
-    intake.append_stream(stream, f"{root}/corpus", f"{root}/checkpoint", "seen_at").awaitTermination()
+    intake.append_stream(stream, f"{root}/corpus", f"{root}/checkpoint").awaitTermination()
     corpus = spark.read.parquet(f"{root}/corpus")
     return corpus.select(F.col("key0").alias("title"), F.col("key1").alias("author"))
 
@@ -304,30 +317,31 @@ def timed_events(spark, d):
     return e.select("event_id", "user_id", squeezed)
 
 
-@query(
-    "n4_rate_limit",
-    """with recursive e as (select event_id, user_id, floor(epoch(ts) / 600) as t from events),
+RATE_LIMIT_SQL = """with recursive e as (select event_id, user_id, floor(epoch(ts) / 600) as t from events),
     o as (select *, row_number() over (partition by user_id order by t, event_id) as i from e),
     w as (select user_id, i, event_id, [t] as recent, true as accepted from o where i = 1
      union all select o.user_id, o.i, o.event_id, case when len(list_filter(w.recent, lambda r: o.t - r <= 60)) < 3 then list_append(list_filter(w.recent, lambda r: o.t - r <= 60), o.t) else list_filter(w.recent, lambda r: o.t - r <= 60) end,
       len(list_filter(w.recent, lambda r: o.t - r <= 60)) < 3 from w join o on o.user_id = w.user_id and o.i = w.i + 1)
-    select event_id, user_id, accepted from w""",
-)
+    select event_id, user_id, accepted from w"""
+
+
+@query("n4_rate_limit", RATE_LIMIT_SQL)
 def _(spark, d):
     return limiter.rate_limit(timed_events(spark, d), "user_id", "ts", 3).select("event_id", "user_id", "accepted")
 
 
-@query("n4_rate_limit_stream")
+@query("n4_rate_limit_stream", RATE_LIMIT_SQL)
 def _(spark, d):
     rows = timed_events(spark, d)
     root = scratch_path(spark, "limiter")
-    # list state needs the RocksDB store; it is a session setting
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
-    # one file, as events of a key have to arrive in time order
-    stream = _as_stream(spark, rows.orderBy("ts", "event_id"), "requests", 1)
+    # events arrive in five spans of time, each in four files
+    span = rows.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    step = (span["hi"] - span["lo"]) / 5
+    for i in range(5):
+        since, until = span["lo"] + step * i, span["lo"] + step * (i + 1)
+        part = rows.filter((F.col("ts") >= F.lit(since)) & ((F.col("ts") < F.lit(until)) if i < 4 else F.lit(True)))
+        part.repartition(4).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/in")
     out = limiter.rate_limit_stream(stream, "user_id", "ts", 3)
     sink = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
     sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()

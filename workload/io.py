@@ -157,7 +157,7 @@ def _(spark, d):
     named = F.to_json(F.struct(F.transform("genres", lambda g: F.struct(g.alias("name"))).alias("subjects")))
 
     def inner(c):
-        return F.substring(c, 2, 1_000_000)
+        return F.substr(c, F.lit(2))
 
     head = F.when(o % 3 == 0, text).when(o % 3 == 1, nested).otherwise(F.lit("{}"))
     parts = F.array(head, tail, F.when(o % 2 == 0, plain).otherwise(named))
@@ -264,6 +264,7 @@ def _(spark, d):
         F.array_join(items("genres"), ", ").alias("genres_csv"), F.lit("").alias("narrative_era"), F.col("passage").alias("passage_or_summary"),
     )
     path = scratch_path(spark, "batch")
+    rows = rows.withColumns({c: readers.one_line(c) for c, kind in rows.dtypes if kind == "string"})
     rows.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     got = readers.read_batch_csv(spark, path, 100, 300)
     return got.select("ord", "row_key", "book_title", *[F.coalesce(c, F.lit("")).alias(c) for c in ("genres_csv", "passage_or_summary")])

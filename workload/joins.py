@@ -43,8 +43,8 @@ def _(spark, d):
 
 @query(
     "e2_merge_passages",
-    f"""with src as (select 'doc-' || (doc_id // 2) as id, {strip('text[1:400]')} as text, 'openlibrary' as tag, 0 as src, doc_id as ord from documents
-      union all select 'doc-' || (doc_id // 3), {strip('text[1:200]')}, 'wikipedia', 1, doc_id from documents),
+    f"""with src as (select 'doc-' || (doc_id // 2) as id, {strip('text')} as text, 'openlibrary' as tag, 0 as src, doc_id as ord from documents
+      union all select 'doc-' || (doc_id // 3), {strip('text')}, 'wikipedia', 1, doc_id from documents),
     best as (select *, row_number() over (partition by id order by length(text) desc, src, ord) as rank from src where length(text) >= 60),
     base as (select *, {strip('passage')} as old from places)
     select base.id, coalesce(b.text, case when old <> '' and length(old) < 60 then '' else passage end) as passage, b.tag as passage_source,
@@ -54,13 +54,13 @@ def _(spark, d):
 def _(spark, d):
     docs = table(spark, d, "documents")
 
-    def source(step: int, n: int):
+    def source(step: int):
         return docs.select(
             F.concat(F.lit("doc-"), F.floor(F.col("doc_id") / step).cast("string")).alias("id"),
-            F.left("text", F.lit(n)).alias("passage"), F.col("doc_id").alias("ord"),
+            F.col("text").alias("passage"), F.col("doc_id").alias("ord"),
         )
 
-    sources = [("openlibrary", source(2, 400)), ("wikipedia", source(3, 200))]
+    sources = [("openlibrary", source(2)), ("wikipedia", source(3))]
     merged = joins.merge_passages(places(spark, d), sources)
     return merged.select("id", "passage", "passage_source", "merge_status")
 

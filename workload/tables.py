@@ -52,7 +52,7 @@ def places(spark: SparkSession, folder: str) -> DataFrame:
         F.col("lang").alias("language"),
         ((doc * 7919 % 36000) / F.lit(100.0) - 180).alias("lon"),
         ((doc * 104729 % 17000) / F.lit(100.0) - 85).alias("lat"),
-        F.when(doc % 13 == 0, F.lit("")).otherwise(F.substring("text", 1, 600)).alias("passage"),
+        F.when(doc % 13 == 0, F.lit("")).otherwise(F.col("text")).alias("passage"),
         ((F.coalesce("quality", F.lit(0)) - F.coalesce("toxic", F.lit(0))).cast("double") * 0.5).alias("polarity"),
         _labels(THEMES, 5, 5).alias("themes"),
         _labels(EMOTIONS, 4, 2).alias("emotions"),
@@ -78,7 +78,7 @@ select d.doc_id as ord, 'doc-' || d.doc_id as id,
  case when d.doc_id % 11 = 0 then n.n_name || ' and NATION_' || ((d.doc_id + 7) % 25) else n.n_name end as place_name,
  r.r_name as region, d.lang as language, (d.doc_id * 7919 % 36000) / 100.0::double - 180 as lon,
  (d.doc_id * 104729 % 17000) / 100.0::double - 85 as lat,
- case when d.doc_id % 13 = 0 then '' else substr(d.text, 1, 600) end as passage,
+ case when d.doc_id % 13 = 0 then '' else d.text end as passage,
  cast(coalesce(l.quality, 0) - coalesce(l.toxic, 0) as double) * 0.5 as polarity,
  {_sql_labels(THEMES, 5, 5)} as themes,
  {_sql_labels(EMOTIONS, 4, 2)} as emotions,

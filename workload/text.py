@@ -33,10 +33,7 @@ def _tokens():
 
 
 def documents(spark, d):
-    """Documents over all cores, as the table may be a single file."""
-    docs = table(spark, d, "documents")
-    cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
+    return table(spark, d, "documents")
 
 
 def gazetteer(spark, d):
