@@ -46,12 +46,9 @@ class _Lines:
         return np.where(b > a, (self.sums[b] - self.sums[a]) * self.up[np.maximum(b - 1, 0)], np.uint64(0))
 
     def variants(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Line, place and hash of each line without one character; of equal neighbours only the first is left out."""
+        """Line, place and hash of each line without the character at that place."""
+        at = np.arange(len(self.code))
         line = np.repeat(np.arange(len(self.length)), self.length)
-        first = np.ones(len(self.code), bool)
-        first[1:] = (self.code[1:] != self.code[:-1]) | (line[1:] != line[:-1])
-        at = np.flatnonzero(first)
-        line = line[at]
         s, e = self.start[line], self.end[line]
         rest = (self.sums[at] - self.sums[s]) * self.up[np.maximum(e - 2, 0)] + (self.sums[e] - self.sums[at + 1]) * self.up[np.maximum(e - 1, 0)]
         return line, at - s, np.where(e - s > 1, rest, np.uint64(0))

@@ -122,10 +122,9 @@ def _pair_leaves(g: np.ndarray, h: np.ndarray, penalty: float) -> tuple[float, n
 
 def fit(x: np.ndarray, y: np.ndarray, bins: int = 48, pair_bins: int = 8, n_pairs: int = 6, rounds: int = 150, pair_rounds: int = 40, rate: float = 0.15, penalty: float = 2.0) -> AdditiveModel:
     """Boost shallow trees, one feature after the other in each round; then the same for the pairs that explain most of what is left."""
-    model = AdditiveModel(_edges(x, bins), [], _edges(x, pair_bins))
     if len(np.unique(y)) < 2:
-        model.base = 0.0 if len(y) == 0 else (4.0 if y[0] else -4.0)
-        return model
+        return AdditiveModel(base=0.0 if len(y) == 0 else (4.0 if y[0] else -4.0))
+    model = AdditiveModel(_edges(x, bins), [], _edges(x, pair_bins))
     share = y.mean()
     model.base = float(np.log(share / (1 - share)))
     binned = [np.searchsorted(e, c, side="right") for e, c in zip(model.edges, x.T)]
