@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column
@@ -51,9 +51,9 @@ def is_one_of(c: Column, values: Iterable[str]) -> Column:
     return F.array_contains(strings(values), c)
 
 
-def lookup(key: Column, pairs: Iterable[tuple[str, str]]) -> Column:
+def lookup(key: Column, pairs: Mapping[str, str]) -> Column:
     """Value of ``key`` in a small constant map, null when absent."""
-    entries = "\x1f".join(f"{k}\x1e{v}" for k, v in dict(pairs).items())
+    entries = "\x1f".join(f"{k}\x1e{v}" for k, v in pairs.items())
     return F.element_at(F.str_to_map(F.lit(entries), F.lit("\x1f"), F.lit("\x1e")), key)
 
 
@@ -67,9 +67,9 @@ def contains_any(c: Column, parts: Iterable[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(c, F.lit(p)) for p in parts])
 
 
-def first_contained(c: Column, pairs: Iterable[tuple[str, str]]) -> Column:
+def first_contained(c: Column, pairs: Mapping[str, str]) -> Column:
     """Value of the first key that occurs in ``c``, null when none does."""
-    return F.coalesce(*[F.when(F.contains(c, F.lit(k)), F.lit(v)) for k, v in pairs])
+    return F.coalesce(*[F.when(F.contains(c, F.lit(k)), F.lit(v)) for k, v in pairs.items()])
 
 
 def any_word(phrases: Iterable[str]) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,20 +38,20 @@ def slug(c: ColumnLike) -> Column:
 
 # ---- places ----
 
-def canonical_city(c: ColumnLike, aliases: Sequence[tuple[str, str]] = vocab.TITLE_CITY_ALIASES) -> Column:
+def canonical_city(c: ColumnLike, aliases: Mapping[str, str] = vocab.TITLE_CITY_ALIASES) -> Column:
     n = norm_text(c)
     return F.coalesce(lookup(n, aliases), n)
 
 
-def historical_name(c: ColumnLike, names: Sequence[tuple[str, str]] = vocab.HISTORICAL_NAMES) -> Column:
+def historical_name(c: ColumnLike, names: Mapping[str, str] = vocab.HISTORICAL_NAMES) -> Column:
     """Present name of a place known under a former one, null otherwise."""
     return lookup(F.lower(strip(c)), names)
 
 
-def sheet_city(c: ColumnLike, aliases: Sequence[tuple[str, str]] = vocab.SHEET_CITY_ALIASES) -> Column:
+def sheet_city(c: ColumnLike, aliases: Mapping[str, str] = vocab.SHEET_CITY_ALIASES) -> Column:
     """``struct(display, query)`` of a free-form city cell."""
     raw = strip(c)
-    alias = first_contained(F.lower(raw), [(k.lower(), v) for k, v in aliases])
+    alias = first_contained(F.lower(raw), {k.lower(): v for k, v in aliases.items()})
     before_comma = strip(F.split_part(raw, F.lit(","), F.lit(1)))
     before_slash = strip(F.split_part(raw, F.lit("/"), F.lit(1)))
     bracketed = F.regexp_extract(raw, r"\(.*?(\w+)\)", 1)
@@ -91,17 +91,17 @@ def is_composite(c: ColumnLike) -> Column:
 
 # ---- languages ----
 
-def clean_language(c: ColumnLike, labels: Sequence[tuple[str, str]] = vocab.LANGUAGE_LABELS) -> Column:
+def clean_language(c: ColumnLike, labels: Mapping[str, str] = vocab.LANGUAGE_LABELS) -> Column:
     return F.coalesce(lookup(norm_text(c), labels), col(c))
 
 
-def primary_language(codes: ColumnLike, names: Sequence[tuple[str, str]] = vocab.LANGUAGE_CODES) -> Column:
+def primary_language(codes: ColumnLike, names: Mapping[str, str] = vocab.LANGUAGE_CODES) -> Column:
     """Name of the first known language code, English when none is known."""
     known = F.filter(F.transform(items(codes), lambda x: lookup(x, names)), lambda x: x.isNotNull())
     return F.coalesce(F.get(known, F.lit(0)), F.lit("English"))
 
 
-def sheet_language(c: ColumnLike, parts: Sequence[tuple[str, str]] = vocab.LANGUAGE_PARTS) -> Column:
+def sheet_language(c: ColumnLike, parts: Mapping[str, str] = vocab.LANGUAGE_PARTS) -> Column:
     raw = F.rtrim(strip(c), F.lit(")"))
     return F.when(text(c) == "", F.lit("English")).otherwise(
         F.coalesce(first_contained(F.lower(raw), parts), raw)
@@ -110,36 +110,36 @@ def sheet_language(c: ColumnLike, parts: Sequence[tuple[str, str]] = vocab.LANGU
 
 # ---- genres and themes from subjects ----
 
-def _labels_in(subjects: ColumnLike, pairs: Sequence[tuple[str, str]]) -> Column:
+def _labels_in(subjects: ColumnLike, pairs: Mapping[str, str]) -> Column:
     joined = F.lower(F.array_join(items(subjects), " "))
     return let(
         joined,
         lambda s: F.array_sort(
             F.array_distinct(
-                F.array_compact(F.array(*[F.when(F.contains(s, F.lit(k)), F.lit(v)) for k, v in pairs]))
+                F.array_compact(F.array(*[F.when(F.contains(s, F.lit(k)), F.lit(v)) for k, v in pairs.items()]))
             )
         ),
     )
 
 
-def catalogue_genres(subjects: ColumnLike, pairs: Sequence[tuple[str, str]] = vocab.SUBJECT_GENRES) -> Column:
+def catalogue_genres(subjects: ColumnLike, pairs: Mapping[str, str] = vocab.SUBJECT_GENRES) -> Column:
     return let(
         _labels_in(subjects, pairs),
         lambda g: F.when(F.size(g) > 0, g).otherwise(strings(["literary fiction"])),
     )
 
 
-def catalogue_themes(subjects: ColumnLike, pairs: Sequence[tuple[str, str]] = vocab.SUBJECT_THEMES) -> Column:
+def catalogue_themes(subjects: ColumnLike, pairs: Mapping[str, str] = vocab.SUBJECT_THEMES) -> Column:
     return _labels_in(subjects, pairs)
 
 
 def subject_genres(
     subjects: ColumnLike,
-    pairs: Sequence[tuple[str, str]] = vocab.SUBJECT_GENRES_DETAILED,
+    pairs: Mapping[str, str] = vocab.SUBJECT_GENRES_DETAILED,
     ignored: Sequence[str] = vocab.IGNORED_SUBJECTS,
 ) -> Column:
     """Genre of each subject (first key it contains), distinct, in subject order."""
-    table = records([{"key": k, "genre": v} for k, v in pairs], "key:string,genre:string")
+    table = records([{"key": k, "genre": v} for k, v in pairs.items()], "key:string,genre:string")
 
     def classify(subject: Column) -> Column:
         low = F.lower(strip(subject))
@@ -149,8 +149,8 @@ def subject_genres(
     return F.array_distinct(F.array_compact(F.transform(items(subjects), classify)))
 
 
-def form_genres(form: ColumnLike, pairs: Sequence[tuple[str, str]] = vocab.FORM_GENRES) -> Column:
-    hit = first_contained(F.lower(strip(form)), pairs)
+def form_genres(form: ColumnLike, forms: Mapping[str, Sequence[str]] = vocab.FORM_GENRES) -> Column:
+    hit = first_contained(F.lower(strip(form)), {k: "|".join(v) for k, v in forms.items()})
     return F.split(F.coalesce(hit, F.lit("literary fiction")), r"\|")
 
 

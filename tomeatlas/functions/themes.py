@@ -124,7 +124,7 @@ def _stereotyped_place() -> Column:
 
 
 def _forced_themes() -> Column:
-    forced = lookup(F.lower(strip("book_title")), vocab.TITLE_THEMES)
+    forced = lookup(F.lower(strip("book_title")), {k: "|".join(v) for k, v in vocab.TITLE_THEMES.items()})
     return F.split(F.coalesce(forced, F.lit("")), r"\|")
 
 
@@ -141,7 +141,7 @@ def with_generic_flag(df: DataFrame, out: str = "looks_generic") -> DataFrame:
     df = df.withColumns({"_t": sanitize_themes("themes"), "_e": sanitize_emotions("emotions")})
     t, e = F.col("_t"), F.col("_e")
     title = F.lower(text("book_title"))
-    forced = lookup(F.lower(strip("book_title")), vocab.TITLE_THEMES).isNotNull()
+    forced = F.lower(strip("book_title")).isin(*vocab.TITLE_THEMES)
     children = F.arrays_overlap(_genre_words(), strings(vocab.CHILDREN_WORDS)) | F.contains(
         title, F.lit("madeline")
     )
@@ -300,8 +300,8 @@ def lexicon_sentiment(c: ColumnLike) -> Column:
 
     Entries of two words can never equal a single word and so never count.
     """
-    names = [name for name, _ in vocab.EMOTION_WORDS]
-    lexicon = {name: words.split("|") for name, words in vocab.EMOTION_WORDS}
+    lexicon = vocab.EMOTION_WORDS
+    names = list(lexicon)
     every = sorted({w for words in lexicon.values() for w in words})
     hits = F.array_intersect(F.split(F.lower(text(c)), WHITESPACE_RUN), strings(every))
 

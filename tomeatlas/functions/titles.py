@@ -41,8 +41,7 @@ def nonfiction_reason(
         | F.arrays_overlap(g, F.lit(settled))
     )
     reason = F.when(keep, F.lit(None).cast("string"))
-    for word in vocab.REPORT_TITLE_WORDS:
-        pattern = rf"\b{word}\b"
+    for pattern in vocab.REPORT_TITLE_WORDS:
         reason = reason.when(t.rlike("(?U)" + pattern), F.lit(f"title matches: {pattern}"))
     for pattern in vocab.REPORT_TEXT_PATTERNS:
         reason = reason.when(p.rlike(pattern), F.lit(f"description matches: {pattern}"))
@@ -84,7 +83,7 @@ def is_ambiguous_title(title: ColumnLike = "book_title") -> Column:
 
 def title_cities(title: ColumnLike = "book_title") -> Column:
     """Distinct known cities that the title mentions by name, alias or inhabitants."""
-    pairs = [*vocab.TITLE_CITY_ALIASES, *vocab.CITY_DEMONYMS]
+    pairs = [*vocab.TITLE_CITY_ALIASES.items(), *vocab.CITY_DEMONYMS.items()]
     return let(
         norm_text(title),
         lambda t: F.array_distinct(

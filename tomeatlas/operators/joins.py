@@ -6,7 +6,7 @@ shuffle join with adaptive skew handling.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,7 +75,7 @@ def merge_passages(
 
 def country_regions(
     seeds: Sequence[Sequence[str]] = vocab.SEED_CITIES,
-    regions: Sequence[tuple[str, str]] = vocab.COUNTRY_REGION,
+    regions: Mapping[str, str] = vocab.COUNTRY_REGION,
 ) -> list[tuple[str, str]]:
     """Region of every known country, the country table before the seed cities."""
     known = dict(regions)

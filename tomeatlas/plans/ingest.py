@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,11 +43,11 @@ def country_region_table(spark: SparkSession) -> DataFrame:
 
 
 def search_names(
-    spark: SparkSession, cities: DataFrame, aliases: Sequence[tuple[str, str]] = vocab.CATALOGUE_ALIASES
+    spark: SparkSession, cities: DataFrame, aliases: Mapping[str, Sequence[str]] = vocab.CATALOGUE_ALIASES
 ) -> DataFrame:
     """(search_name, name_ord, city, ...): every city under its own name and its other names."""
     table = spark.createDataFrame(
-        [(k, i + 1, v) for i, (k, v) in enumerate(aliases)], "search_name string, name_ord int, city string"
+        [(other, i + 1, city) for city, others in aliases.items() for i, other in enumerate(others)], "search_name string, name_ord int, city string"
     )
     own = cities.withColumns({"search_name": F.col("city"), "name_ord": F.lit(0)})
     return own.unionByName(cities.join(table, "city"))

@@ -120,9 +120,9 @@ def _sql_pairs(pairs):
 
 @query(
     "j5_genres",
-    f"""with s as ({_SUBJECTS}), c as (select *, {_sql_labels_in(vocab.SUBJECT_GENRES)} as found from s),
+    f"""with s as ({_SUBJECTS}), c as (select *, {_sql_labels_in(vocab.SUBJECT_GENRES.items())} as found from s),
     per as (select ord, unnest(subjects) as subject, generate_subscripts(subjects, 1) as i from s),
-    hit as (select ord, i, [x.v for x in {_sql_pairs(vocab.SUBJECT_GENRES_DETAILED)} if contains(lower(trim(subject)), x.k)][1] as g
+    hit as (select ord, i, [x.v for x in {_sql_pairs(vocab.SUBJECT_GENRES_DETAILED.items())} if contains(lower(trim(subject)), x.k)][1] as g
      from per where length(lower(trim(subject))) >= 3 and lower(trim(subject)) not in {sql_in(vocab.IGNORED_SUBJECTS)}),
     firsts as (select ord, g, min(i) as i from hit where g is not null group by all),
     packed as (select ord, string_agg(g, '|' order by i) as detailed from firsts group by ord)
@@ -140,7 +140,7 @@ def _(spark, d):
     )
 
 
-@query("j6_themes", f"with s as ({_SUBJECTS}) select ord, array_to_string({_sql_labels_in(vocab.SUBJECT_THEMES)}, '|') as themes from s")
+@query("j6_themes", f"with s as ({_SUBJECTS}) select ord, array_to_string({_sql_labels_in(vocab.SUBJECT_THEMES.items())}, '|') as themes from s")
 def _(spark, d):
     return _subjects(spark, d).select("ord", joined(text.catalogue_themes("subjects")).alias("themes"))
 

@@ -177,7 +177,7 @@ def _esc(s: str) -> str:
 
 
 _REASONS = " ".join(
-    [f"when regexp_matches(lower(book_title), '\\b{_esc(w)}\\b') then 'title matches: \\b{_esc(w)}\\b'" for w in vocab.REPORT_TITLE_WORDS]
+    [f"when regexp_matches(lower(book_title), '{_esc(w)}') then 'title matches: {_esc(w)}'" for w in vocab.REPORT_TITLE_WORDS]
     + [f"when regexp_matches(lower(passage), '{_esc(w)}') then 'description matches: {_esc(w)}'" for w in vocab.REPORT_TEXT_PATTERNS]
 )
 _SETTLED = [g for g in vocab.FICTION_GENRES if g != "literary fiction"]
@@ -229,7 +229,7 @@ def _(spark, d):
     return _titled(spark, d).select("ord", titles.is_ambiguous_title().alias("hit"))
 
 
-_CITY_PAIRS = [*vocab.TITLE_CITY_ALIASES, *vocab.CITY_DEMONYMS]
+_CITY_PAIRS = [*vocab.TITLE_CITY_ALIASES.items(), *vocab.CITY_DEMONYMS.items()]
 _MENTIONED = "list_distinct([x.v for x in [" + ", ".join(f"{{'k': '{k}', 'v': '{v}'}}" for k, v in _CITY_PAIRS) + f"] if contains({_T}, x.k)])"
 _CANONICAL = f"coalesce({sql_map(vocab.TITLE_CITY_ALIASES)}[{norm('place_name')}], {norm('place_name')})"
 MISMATCH_SQL = f"(len({_MENTIONED}) = 1 and {_MENTIONED}[1] <> {_CANONICAL})"

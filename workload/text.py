@@ -106,7 +106,7 @@ def _(spark, d):
     return extract.context_windows(docs.select("doc_id", "text"), mentions.select("doc_id", "name_key", "mention"))
 
 
-_LEXICON = {name: words.split("|") for name, words in vocab.EMOTION_WORDS}
+_LEXICON = vocab.EMOTION_WORDS
 _EMOTED_SQL = f"select ord, passage || ' ' || array_to_string({sql_list([w for ws in _LEXICON.values() for w in ws[:3]])}[1 + cast(ord % 7 as int):cast(ord % 20 as int)], ' ') as t from places"
 _COUNTS = ", ".join(f"len(list_intersect(w, {sql_list(ws)})) as {n}" for n, ws in _LEXICON.items())
 _RANKED = "[" + ", ".join(f"{{'s': -{n}, 'i': {i}, 'n': '{n}'}}" for i, n in enumerate(_LEXICON)) + "]"
