@@ -13,7 +13,7 @@ from tomeatlas.functions.expr import WHITESPACE_RUN
 from tomeatlas.operators import extract
 from workload.registry import query
 from workload.tables import _BLANKS as _BLANKS_SQL
-from workload.tables import has_any, joined, places, sql_list, table
+from workload.tables import has_any, joined, places, sql_list, strip, table
 
 _MARKS = extract.EDGE_MARKS.replace("'", "''")
 
@@ -94,12 +94,34 @@ def _(spark, d):
     return both.withColumn("confidence", F.round("confidence", 4))
 
 
-@query("k3_chunk_text")
+_LAST_END = "case when start_char + 2000 >= n then n when contains(w, chr(10) || chr(10)) then start_char + 1800 + length(w) - strpos(reverse(w), reverse(chr(10) || chr(10))) + 1 when contains(w, chr(10)) then start_char + 1800 + length(w) - strpos(reverse(w), reverse(chr(10))) + 1 when contains(w, '. ') then start_char + 1800 + length(w) - strpos(reverse(w), reverse('. ')) + 1 when contains(w, '? ') then start_char + 1800 + length(w) - strpos(reverse(w), reverse('? ')) + 1 when contains(w, '! ') then start_char + 1800 + length(w) - strpos(reverse(w), reverse('! ')) + 1 else start_char + 2000 end"
+_NEXT_CHUNK = "select doc_id, s, n, chunk, start_char, {end} as end_char from (select *, substr(s, start_char + 1801, 200) as w from ({rows}))"
+
+
+@query(
+    "k3_chunk_text",
+    f"""with recursive d as (select doc_id, text as s, length(text) as n from documents where length(text) > 0),
+    c as ({_NEXT_CHUNK.format(end=_LAST_END, rows="select *, 0 as chunk, 0 as start_char from d")}
+     union all {_NEXT_CHUNK.format(end=_LAST_END, rows="select doc_id, s, n, chunk + 1 as chunk, greatest(end_char - 200, start_char + 1) as start_char from c where end_char < n")})
+    select doc_id, chunk, start_char, end_char, substr(s, start_char + 1, end_char - start_char) as text from c""",
+)
 def _(spark, d):
     return extract.chunk_text(documents(spark, d))
 
 
-@query("k4_context_windows")
+# places of names and of stop marks from the lengths of what lies between them
+WINDOWS_SQL = f"""p as (select m.doc_id, name_key, mention, length(mention) as l, length(text) as n, string_split(lower(text), lower(mention)) as parts from mentions m join documents using (doc_id) where frequency > 1),
+ seen as (select *, unnest(range(1, len(parts))) as i from p),
+ found as (select doc_id, name_key, mention, n, cast(list_sum([length(x) for x in parts[1:i]]) + (i - 1) * l as bigint) as spot, l from seen),
+ seg as (select doc_id, unnest(x) as x, generate_subscripts(x, 1) as i, len(x) as k from (select doc_id, string_split_regex(text, '[.!?\\n]') as x from documents)),
+ stops as (select doc_id, cast(sum(length(x)) over (partition by doc_id order by i) + i - 1 as bigint) as pos, i, k from seg), marks as (select doc_id, pos from stops where i < k),
+ bounds as (select *, greatest(0, spot - 150) as l0, least(n, spot + l + 150) as r0 from found),
+ cut as (select b.doc_id, name_key, mention, spot, n, x.pos as lpos, y.pos as rpos from bounds b asof left join marks x on b.doc_id = x.doc_id and b.l0 >= x.pos asof left join marks y on b.doc_id = y.doc_id and b.r0 <= y.pos),
+ passages as (select doc_id, name_key, mention, spot, {strip("substr(text, case when coalesce(lpos, 0) = 0 then 1 else lpos + 3 end, greatest(0, coalesce(rpos + 1, n) - case when coalesce(lpos, 0) = 0 then 0 else lpos + 2 end))")} as passage from cut join documents using (doc_id)),
+ windows as (select doc_id, name_key, mention, row_number() over (partition by doc_id, name_key order by spot) as passage_no, passage from passages where length(passage) > 20)"""
+
+
+@query("k4_context_windows", f"with {MENTIONS_SQL}, {WINDOWS_SQL} select doc_id, name_key, mention, passage_no, passage from windows where passage_no <= 3")
 def _(spark, d):
     docs = documents(spark, d)
     mentions = extract.extract_mentions(docs, gazetteer(spark, d)).filter("frequency > 1")
@@ -193,7 +215,13 @@ def _(spark, d):
     return extract.infer(rows, scripted_model).select("ord", "status", "reason")
 
 
-@query("k10_lexicon_results")
+@query(
+    "k10_lexicon_results",
+    f"""with s as (select conv_id, turn, list_distinct(regexp_split_to_array(lower(text), '{_BLANKS_SQL}')) as w from conversations), c as (select conv_id, turn, {_COUNTS} from s),
+    r as (select conv_id, turn, round((joy + wonder - sadness - fear - anger) / greatest(joy + wonder + sadness + fear + anger + nostalgia + longing, 1), 2) as polarity,
+     [x.n for x in list_sort({_RANKED}) if x.s < 0][1:3] as emotions from c)
+    select conv_id, turn, to_json({{polarity: polarity, dominant_emotions: case when len(emotions) = 0 then ['neutral'] else emotions end, themes: cast([] as varchar[]), literary_mood: 'neutral'}}) as result from r""",
+)
 def _(spark, d):
     talk = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("passage"), F.array().cast("array<string>").alias("themes"))
     return extract.lexicon_results(talk).select("conv_id", "turn", "result")
