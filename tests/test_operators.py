@@ -93,7 +93,7 @@ def test_vectors_equal_brute_force(spark):
     s = u @ u.T
     for size in (16, 1000):
         got = {}
-        for r in vectors.nearest_vectors(df, 6, 0.4, block_rows=size).collect():
+        for r in vectors.nearest_vectors(df, df, 6, 0.4, query_rows=size, part_rows=2 * size).collect():
             got.setdefault(r["ord"], []).append((r["rank"], r["score"]))
         for i in range(len(v)):
             want = sorted((s[i, j] for j in range(len(v)) if j != i and s[i, j] > 0.4), reverse=True)[:6]
@@ -104,7 +104,7 @@ def test_author_pairs_equal_brute_force(spark):
     records = [dict(author="Unknown" if i % 3 else "b", place_name=f"p{i % 40}", lon=float(i % 40), lat=1.0) for i in range(120)]
     df = rows(spark, *records)
     for bucket in (4, 1000):
-        got = profiles.author_connections(df, bucket)
+        got = profiles.author_connections(df, ["Unknown", "b"], bucket)
         pairs = [(r["author"], r["source_ord"], r["target_ord"]) for r in got.collect()]
         firsts = {}
         for i, r in enumerate(records):

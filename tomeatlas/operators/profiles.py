@@ -246,14 +246,25 @@ def book_composite_text(books: DataFrame) -> DataFrame:
 # ---- authors ----
 
 
-def author_connections(df: DataFrame, bucket: int = 256) -> DataFrame:
-    """Pairs of an author's distinct places in list order, with the author's number of entries.
+def connection_counts(df: DataFrame) -> DataFrame:
+    """Entries, distinct places and pairs of places of every author."""
+    named = df.withColumn("author", text("author"))
+    totals = named.groupBy("author").agg(F.count("*").alias("book_count"))
+    n = named.select("author", "lon", "lat").distinct().groupBy("author").agg(F.count("*").alias("places"))
+    pairs = (F.col("places") * (F.col("places") - 1) / 2).cast("bigint")
+    return totals.join(n, "author").select("author", "book_count", "places", pairs.alias("connections"))
 
+
+def author_connections(df: DataFrame, authors: Sequence[str], bucket: int = 256) -> DataFrame:
+    """Pairs of the distinct places of each listed author in list order, with the author's number of entries.
+
+    The output grows with the square of an author's places, so authors are named, as on the map that shows them; see
+    ``connection_counts`` for all.
     Repeated coordinates collapse first. An author's places are dealt into buckets of about
     ``bucket`` places and buckets are joined pairwise, so that even an author with very many places
     ("Unknown") is spread over many tasks.
     """
-    df = df.withColumn("author", text("author"))
+    df = df.withColumn("author", text("author")).filter(F.col("author").isin(*authors))
     totals = df.groupBy("author").agg(F.count("*").alias("book_count"))
     unique = dedup_first(
         df.select("author", "lon", "lat", "place_name", "ord"), ["author", "lon", "lat"]

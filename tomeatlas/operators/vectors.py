@@ -64,42 +64,41 @@ def _neighbours(a: pd.DataFrame, b: pd.DataFrame, k: int, floor: float) -> list[
     return out
 
 
-def nearest_vectors(vectors: DataFrame, k: int = 6, floor: float = 0.4, block_rows: int = 16_384) -> DataFrame:
-    """Exact (ord, other, score, rank) of the k most similar other rows with a cosine above ``floor``.
+def nearest_vectors(
+    queries: DataFrame, corpus: DataFrame, k: int = 6, floor: float = 0.4, query_rows: int = 16_384, part_rows: int = 65_536
+) -> DataFrame:
+    """Exact (ord, other, score, rank) of the k rows of ``corpus`` most similar to each query, itself left out, with a
+    cosine above ``floor``.
 
-    Rows are dealt into even blocks by hash. A task gets one pair of blocks, multiplies them as
-    matrices and emits at most k rows per input row; pairs themselves are never written out.
+    Queries are a stated set, dealt into blocks of about ``query_rows`` by hash; the corpus is dealt into parts of about
+    ``part_rows`` and read once for each block. A task multiplies one block with one part as matrices and emits at
+    most k rows per query; pairs are never written out.
     """
-    blocks = vectors.agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int")).scalar()
-    dealt = (
-        vectors.select("ord", "embedding")
-        .withColumn("_n", F.greatest(blocks, F.lit(1)))
-        .withColumn("b", F.pmod(F.xxhash64("ord"), F.col("_n")).cast("int"))
-    )
-    meetings = F.transform(
-        F.sequence(F.lit(0), F.col("_n") - 1),
-        lambda o: F.struct(F.least("b", o).alias("x"), F.greatest("b", o).alias("y")),
-    )
-    met = dealt.select("ord", "embedding", "b", F.inline(meetings))
+    q, c = queries.select("ord", "embedding"), corpus.select("ord", "embedding")
+    blocks = F.greatest(q.agg(F.ceil(F.count("*") / F.lit(query_rows)).cast("int")).scalar(), F.lit(1))
+    parts = F.greatest(c.agg(F.ceil(F.count("*") / F.lit(part_rows)).cast("int")).scalar(), F.lit(1))
+
+    def dealt(df: DataFrame, asked: bool) -> DataFrame:
+        x, y = F.pmod(F.xxhash64("ord"), blocks), F.pmod(F.xxhash64("ord"), parts)
+        everywhere = F.explode(F.sequence(F.lit(0), (parts if asked else blocks) - 1))
+        pair = (x.cast("int").alias("x"), everywhere.alias("y")) if asked else (everywhere.alias("x"), y.cast("int").alias("y"))
+        return df.select("ord", "embedding", F.lit(asked).alias("asked"), *pair)
 
     def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
-        left, right = pdf[pdf["b"] == x], pdf[pdf["b"] == y]
-        parts = []
-        if len(left) and len(right):
-            parts += _neighbours(left, right, k, floor)
-            if x != y:
-                parts += _neighbours(right, left, k, floor)
+        asked, known = pdf[pdf["asked"]], pdf[~pdf["asked"]]
+        out = _neighbours(asked, known, k, floor) if len(asked) and len(known) else []
         empty = pd.DataFrame({"ord": pd.Series(dtype="int64"), "other": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        return pd.concat(parts) if parts else empty
+        return pd.concat(out) if out else empty
 
+    met = dealt(q, True).unionByName(dealt(c, False))
     best = met.groupBy("x", "y").applyInPandas(multiply, "ord bigint, other bigint, score double")
     return top_k_per_group(best, ["ord"], [F.col("score").desc(), F.col("other")], k)
 
 
-def similar_works(books: DataFrame, k: int = 6, floor: float = 0.4) -> DataFrame:
-    """Per book (ord, book_title, author, themes, embedding) its most similar other books."""
-    near = nearest_vectors(books, k, floor)
+def similar_works(wanted: DataFrame, books: DataFrame, k: int = 6, floor: float = 0.4) -> DataFrame:
+    """Per wanted book (ord) the most similar other ``books`` (ord, book_title, author, themes, embedding)."""
+    asked = books.select("ord", "embedding").join(wanted.select("ord").distinct(), "ord", "left_semi")
+    near = nearest_vectors(asked, books, k, floor)
     mine = books.select("ord", "book_title", "author", F.col("themes").alias("_mine"))
     theirs = books.select(
         F.col("ord").alias("other"), F.col("book_title").alias("similar_title"), F.col("author").alias("similar_author"),

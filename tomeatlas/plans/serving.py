@@ -19,8 +19,11 @@ from tomeatlas.operators.vectors import similar_works
 from tomeatlas.sources.writers import common_themes, detail_documents, hero_subset, slim_index
 
 
-def serving_tables(places: DataFrame, vectors: DataFrame | None = None, hero: int = 500) -> dict[str, DataFrame]:
-    """All serving tables by name; ``vectors`` (ord, embedding) of books adds similar works."""
+def serving_tables(
+    places: DataFrame, vectors: DataFrame | None = None, hero: int = 500, shown: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """All serving tables by name; ``vectors`` (ord, embedding) of books adds works similar to the ``shown`` ones (ord),
+    by default to those of the hero table."""
     tables = {
         "index": slim_index(places),
         "details": detail_documents(places),
@@ -36,7 +39,7 @@ def serving_tables(places: DataFrame, vectors: DataFrame | None = None, hero: in
     }
     if vectors is not None:
         books = books_from_entries(places).join(vectors, "ord")
-        tables["similar"] = similar_works(books)
+        tables["similar"] = similar_works(tables["hero"] if shown is None else shown, books)
     return tables
 
 

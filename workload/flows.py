@@ -22,7 +22,7 @@ from workload.filters import (
     contributions,
 )
 from workload.io import CATALOGUE_SQL, SHEET_SQL, bindings, catalogue_answers, sheet
-from workload.joins import _SEEDS, _sql_distance, nations
+from workload.joins import _SEEDS, SIMILAR_SQL, _sql_distance, nations
 from workload.registry import query
 from workload.tables import joined, norm, places, sql_map, strip, table
 from workload.text import scripted_model
@@ -249,11 +249,12 @@ def _(spark, d):
     return serving.serving_counts({name: spark.read.parquet(f"{root}/{name}") for name in tables})
 
 
-@query("p8_similar_table")
+@query("p8_similar_table", SIMILAR_SQL)
 def _(spark, d):
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("ord"), "embedding")
-    similar = serving.serving_tables(places(spark, d), vectors)["similar"]
-    return similar.withColumn("shared_themes", joined("shared_themes"))
+    rows = places(spark, d)
+    similar = serving.serving_tables(rows, vectors, shown=rows.filter("ord % 20 = 0"))["similar"]
+    return similar.select("ord", "book_title", "similar_title", "rank", "score", joined("shared_themes").alias("shared_themes"))
 
 
 # ---- N: streams ----

@@ -265,15 +265,24 @@ def _(spark, d):
 @query(
     "e12_author_connections",
     """with t as (select author, count(*) as book_count from places group by 1), u as (select author, lon, lat, min(ord) as ord, arg_min(place_name, ord) as place_name from places group by 1, 2, 3)
-    select a.author, a.place_name as source_city, b.place_name as target_city, a.ord as source_ord, b.ord as target_ord, book_count from u a join u b on a.author = b.author and a.ord < b.ord join t on t.author = a.author""",
+    select a.author, a.place_name as source_city, b.place_name as target_city, a.ord as source_ord, b.ord as target_ord, book_count from u a join u b on a.author = b.author and a.ord < b.ord join t on t.author = a.author where a.author in ('src3', 'src11')""",
 )
 def _(spark, d):
     # small buckets, so that the pairing of buckets is used here as well
-    return profiles.author_connections(places(spark, d), bucket=16).select(
+    return profiles.author_connections(places(spark, d), ["src3", "src11"], bucket=16).select(
         "author", "source_city", "target_city", "source_ord", "target_ord", "book_count"
     )
 
 
+@query(
+    "e12_connection_counts",
+    """with t as (select author, count(*) as book_count from places group by 1), u as (select author, count(*) as places from (select distinct author, lon, lat from places) group by 1)
+    select author, book_count, u.places as places, cast(u.places * (u.places - 1) // 2 as bigint) as connections from t join u using (author)""",
+)
+def _(spark, d):
+    return profiles.connection_counts(places(spark, d))
+
+
 # ---- E13 - E15 ----
 
 
@@ -355,13 +364,13 @@ _COS = "list_cosine_similarity(a.embedding::double[], b.embedding::double[])"
 
 @query(
     "m1_nearest_vectors",
-    f"""with x as (select a.vec_id as ord, b.vec_id as other, {_COS} as score from embeddings a join embeddings b on a.vec_id <> b.vec_id),
+    f"""with x as (select a.vec_id as ord, b.vec_id as other, {_COS} as score from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0),
     r as (select *, row_number() over (partition by ord order by score desc, other) as rank from x where score > 0.4) select ord, rank, other, round(score, 4) as score from r where rank <= 6""",
 )
 def _(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("ord"), "embedding")
-    # several blocks, so that block pairs are used here as well
-    near = vectors.nearest_vectors(v, block_rows=200)
+    # several blocks and parts, so that their meeting is used here as well
+    near = vectors.nearest_vectors(v.filter("ord % 20 = 0"), v, query_rows=20, part_rows=200)
     return near.select("ord", "rank", "other", F.round("score", 4).alias("score"))
 
 
@@ -370,17 +379,18 @@ def embedded_books(spark, d):
     return profiles.books_from_entries(places(spark, d)).join(v, "ord")
 
 
-@query(
-    "m1_similar_works",
-    f"""with b as (select book_title, author, min(ord) as ord, list_sort(list_distinct(flatten(list(themes)))) as themes from places group by 1, 2),
+SIMILAR_SQL = f"""with b as (select book_title, author, min(ord) as ord, list_sort(list_distinct(flatten(list(themes)))) as themes from places group by 1, 2),
     e as materialized (select b.*, embedding from b join embeddings on vec_id = ord),
-    x as materialized (select a.ord, b.ord as other, {_COS} as score from e a join e b on a.ord <> b.ord),
+    x as materialized (select a.ord, b.ord as other, {_COS} as score from e a join e b on a.ord <> b.ord where a.ord % 20 = 0),
     r as materialized (select *, row_number() over (partition by ord order by score desc, other) as rank from x where score > 0.4)
     select r.ord, a.book_title, b.book_title as similar_title, rank, round(score, 3) as score, array_to_string(list_sort(list_intersect(a.themes, b.themes))[1:2], '|') as shared_themes
-    from r join e a on a.ord = r.ord join e b on b.ord = other where rank <= 6""",
-)
+    from r join e a on a.ord = r.ord join e b on b.ord = other where rank <= 6"""
+
+
+@query("m1_similar_works", SIMILAR_SQL)
 def _(spark, d):
-    s = vectors.similar_works(embedded_books(spark, d))
+    books = embedded_books(spark, d)
+    s = vectors.similar_works(books.filter("ord % 20 = 0"), books)
     return s.select("ord", "book_title", "similar_title", "rank", "score", joined("shared_themes").alias("shared_themes"))
 
 
