@@ -117,24 +117,36 @@ def region_quotas(df: DataFrame, limit: int) -> DataFrame:
 # ---- diverse selection ----
 
 
+#: What a first row of a new region, country or place adds to its score; the n-th adds a part of n.
+BONUS = {"region": 0.22, "country": 0.12, "place_name": 0.10}
+
+
 def _pick(pool: pd.DataFrame, budget: int, seen: dict[str, Counter]) -> list[tuple[int, float]]:
-    """Greedy choice with bonuses for regions, countries and places not chosen yet."""
-    head = max(budget * HEAD_FACTOR, HEAD_MIN)
-    base = pool["base_score"].to_numpy()
-    labels = {c: pool[c].to_numpy() for c in seen}
-    open_rows, chosen = list(range(len(pool))), []
-    weights = {"region": 0.22, "country": 0.12, "place_name": 0.10}
-    while open_rows and len(chosen) < budget:
-        window = np.array(open_rows[:head])
-        bonus = np.zeros(len(window))
-        for c, weight in weights.items():
-            bonus += weight / (1 + np.array([seen[c][v] for v in labels[c][window]]))
-        score = base[window] + bonus
-        at = int(np.argmax(score))
-        row = open_rows.pop(at)
-        chosen.append((row, float(score[at])))
-        for c in seen:
-            seen[c][labels[c][row]] += 1
+    """Greedy choice from one region's pool, best base score first, with bonuses for labels not chosen yet.
+
+    Rows of one country and place have the same bonus, so only the first one left of each such group can be next. A
+    row comes into view when fewer than the inspected head of rows before it are left.
+    """
+    head, base = max(budget * HEAD_FACTOR, HEAD_MIN), pool["base_score"].to_numpy()
+    queues = {g: iter(rows[1:]) for g, rows in pool.groupby(["country", "place_name"], sort=False, dropna=False).indices.items()}
+    firsts = pool.groupby(["country", "place_name"], sort=False, dropna=False).indices
+    names = list(queues)
+    front = np.array([firsts[g][0] for g in names])
+    region = pool["region"].iloc[0]
+    chosen: list[tuple[int, float]] = []
+    while len(chosen) < min(budget, len(pool)):
+        bonus = BONUS["region"] / (1 + seen["region"][region])
+        bonus = bonus + np.array([BONUS["country"] / (1 + seen["country"][c]) for c, _ in names])
+        bonus = bonus + np.array([BONUS["place_name"] / (1 + seen["place_name"][p]) for _, p in names])
+        in_view = front < min(head + len(chosen), len(pool))
+        score = np.where(in_view, base[np.minimum(front, len(pool) - 1)] + bonus, -np.inf)
+        best = np.flatnonzero(score == score.max())
+        g = best[np.argmin(front[best])]
+        row = int(front[g])
+        chosen.append((row, float(score[g])))
+        front[g] = next(queues[names[g]], len(pool))
+        for c, label in zip(BONUS, (region, *names[g])):
+            seen[c][label] += 1
     return chosen
 
 
@@ -143,7 +155,8 @@ def select_diverse(scored: DataFrame, limit: int) -> DataFrame:
 
     Picking is sequential, but a region's turn only ever looks at its best
     max(6 quota, 400) + quota rows. These heads are cut in Spark; what reaches the single picking
-    task is bounded by ``limit`` alone, however many rows there are.
+    task is bounded by ``limit`` alone, however many rows there are, and a pick looks at one row of each group of
+    country and place among them. ``limit`` thus bounds the task's work as well.
     """
     quotas = region_quotas(scored, limit)
     slim = scored.select("ord", "row_key", "id", "region", "country", text("place_name").alias("place_name"), "base_score")

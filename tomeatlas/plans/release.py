@@ -104,12 +104,32 @@ def quality_metrics(df: DataFrame) -> DataFrame:
 
 
 def release_manifest(df: DataFrame, version: str) -> DataFrame:
-    """One row: version, entries, and a checksum that does not depend on row order or partitioning."""
+    """One row: version, entries, and two checksums that do not depend on row order or partitioning.
+
+    ``checksum`` adds up hashes of the rows as JSON, ``digest`` the first 15 hex digits of the SHA-256 of ``row_text``,
+    which any other program can recompute.
+    """
     row = F.xxhash64(F.to_json(F.struct(*sorted(df.columns))))
-    checksum = F.sum(row.cast("decimal(38,0)")).cast("string")
-    return df.agg(F.count("*").alias("entries"), checksum.alias("checksum")).select(
-        F.lit(version).alias("version"), "entries", "checksum"
-    )
+    part = F.conv(F.left(F.sha2(row_text(df).cast("binary"), 256), F.lit(15)), 16, 10)
+    return df.agg(
+        F.count("*").alias("entries"),
+        F.sum(row.cast("decimal(38,0)")).cast("string").alias("checksum"),
+        F.sum(part.cast("decimal(38,0)")).cast("string").alias("digest"),
+    ).select(F.lit(version).alias("version"), "entries", "checksum", "digest")
+
+
+def row_text(df: DataFrame) -> Column:
+    """Fields in order of their names, parted by a unit separator: lists parted by bars, fractions in millionths,
+    missing ones empty."""
+
+    def shown(name: str, kind: str) -> Column:
+        if kind == "array<string>":
+            return F.array_join(name, "|")
+        if kind in ("double", "float"):
+            return F.round(F.col(name) * 1_000_000).cast("bigint").cast("string")
+        return F.col(name).cast("string")
+
+    return F.concat_ws("\x1f", *[F.coalesce(shown(n, k), F.lit("")) for n, k in sorted(df.dtypes)])
 
 
 class ReleaseRefused(Exception):

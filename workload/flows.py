@@ -107,9 +107,19 @@ def _(spark, d):
     return ratio.withColumn("passing_ratio", F.round("passing_ratio", 6))
 
 
-@query("b9_release_manifest")
+_ROW_TEXT = "concat_ws(chr(31), " + ", ".join(
+    {"lon": "cast(round(lon * 1000000) as bigint)", "lat": "cast(round(lat * 1000000) as bigint)", "polarity": "cast(round(polarity * 1000000) as bigint)"}.get(c)
+    or (f"coalesce(array_to_string({c}, '|'), '')" if c in ("themes", "emotions", "genres") else f"coalesce(cast({c} as varchar), '')")
+    for c in sorted(["ord", "id", "book_title", "author", "publish_year", "place_name", "region", "language", "lon", "lat", "passage", "polarity", "themes", "emotions", "genres"])
+) + ")"
+
+
+@query(
+    "b9_release_manifest",
+    f"select 'v1' as version, count(*) as entries, cast(sum(cast('0x' || left(sha256({_ROW_TEXT}), 15) as hugeint)) as varchar) as digest from places",
+)
 def _(spark, d):
-    return release.release_manifest(places(spark, d), "v1")
+    return release.release_manifest(places(spark, d), "v1").select("version", "entries", "digest")
 
 
 # ---- P3: catalogue ----

@@ -35,17 +35,30 @@ def _(spark, d):
     return _basic(readers.read_places(spark, path, "jsonl"))
 
 
+ENVELOPES_SQL = "select region, row_number() over (partition by region, ord // 200 order by ord) - 1 as position, id from places"
+
+
+def envelopes(spark, d):
+    """Envelopes of at most 200 places of one region."""
+    camel = to_camel(places(spark, d), keep=("ord",))
+    entry = F.struct(*[c for c in camel.columns if c != "ord"])
+    packed = camel.groupBy("region", F.floor(F.col("ord") / 200).alias("_part")).agg(F.sort_array(F.collect_list(F.struct("ord", entry.alias("p")))).alias("l"))
+    return packed.select(F.to_json(F.struct(F.lit("1").alias("version"), F.col("l.p").alias("places"))).alias("value"))
+
+
 @query(
     "a1_parse_envelope",
-    """select region, row_number() over (partition by region order by ord) - 1 as position, id from places""",
+    ENVELOPES_SQL,
 )
 def _(spark, d):
-    # one envelope per region, put together from bounded slices of the list would be files in practice
-    camel = to_camel(places(spark, d), keep=("ord",))
-    entry = F.struct(*[c for c in camel.columns if c != "ord"])
-    packed = camel.groupBy(F.col("region").alias("_region")).agg(F.sort_array(F.collect_list(F.struct("ord", entry.alias("p")))).alias("l"))
-    envelope = F.to_json(F.struct(F.lit("1").alias("version"), F.col("l.p").alias("places")))
-    return readers.parse_envelope(packed.select(envelope.alias("value"))).select("region", F.col("ord").alias("position"), "id")
+    return readers.parse_envelope(envelopes(spark, d)).select("region", F.col("ord").alias("position"), "id")
+
+
+@query("a1_read_places_json", ENVELOPES_SQL)
+def _(spark, d):
+    path = scratch_path(spark, "envelopes")
+    envelopes(spark, d).write.option("maxRecordsPerFile", 1).text(path)  # a file for each, as catalogues land
+    return readers.read_places(spark, path, "json").select("region", F.col("ord").alias("position"), "id")
 
 
 def _release_root(spark, d):
@@ -225,6 +238,13 @@ def _(spark, d):
     )
 
 
+@query("a10_read_fulltext", "select text from benchmark")
+def _(spark, d):
+    path = scratch_path(spark, "fulltext")
+    table(spark, d, "benchmark").select("text").write.option("maxRecordsPerFile", 1).text(path)
+    return readers.read_fulltext(spark, path).select(F.regexp_replace("text", r"\n\z", "").alias("text"))
+
+
 @query(
     "a10_fulltext_paragraphs",
     "select doc_id as book_id, generate_subscripts(p, 1) - 1 as paragraph, unnest(p) as text from (select doc_id, string_split(replace(text, '\n', '\n\n'), '\n\n') as p from documents)",
