@@ -25,6 +25,7 @@ from tomeatlas.functions.geo import (
     wrapped_lon_cell,
 )
 from tomeatlas.operators.dedup import top_k_per_group
+from tomeatlas.plans.scratch import materialise
 from tomeatlas.schema import ensure
 
 # ---- nearest of a short list of cities ----
@@ -246,6 +247,8 @@ def knn(points: DataFrame, centres: DataFrame, k: int, key: str = "ord", salts:
             ),
         }
     )
+    # copies of a point on levels and in cells that nobody asks for go before the shuffle
+    placed = placed.join(wanted.select("level", "cx", "cy").distinct(), ["level", "cx", "cy"], "left_semi")
     joined = _salted(placed, key, salts).join(_over_salts(wanted, salts), ["level", "cx", "cy", "_salt"])
     joined = joined.withColumn(
         "distance_m", haversine("centre_lon", "centre_lat", "lon", "lat", EARTH_M)
@@ -263,6 +266,7 @@ def nearby(
     hits = top_k_per_group(
         within_radius(thin, centres, radius_m, key), ["centre_id"], ["distance_m", key], max(k, min_hits)
     )
+    hits = materialise(hits, "hits")  # serves three times below
     served = hits.groupBy("centre_id").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_hits)
     inside = hits.join(served.select("centre_id"), "centre_id", "left_semi").filter(F.col("rank") <= k)
     short = centres.join(served.select("centre_id"), "centre_id", "left_anti")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,7 +16,8 @@ _local_roots: dict[str, str] = {}
 def scratch_root(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    Only a session that runs in one process may do without the setting; it gets a temporary folder.
+    Only a session that runs in one process may do without the setting; it gets a temporary folder, which goes when the
+    process ends.
     """
     root = spark.conf.get(SETTING, None)
     if root:
@@ -22,7 +25,10 @@ def scratch_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError(f"set {SETTING} to a folder that all executors can reach")
-    return _local_roots.setdefault(context.applicationId, tempfile.mkdtemp(prefix="tomeatlas-"))
+    if context.applicationId not in _local_roots:
+        folder = _local_roots[context.applicationId] = tempfile.mkdtemp(prefix="tomeatlas-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return _local_roots[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
