@@ -88,8 +88,21 @@ def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.col("dup_keep_id").alias("keep_id"), F.col("dup_size").alias("group_size"), F.col("dup_kept").alias("kept"), F.col("dup_sha256").alias("text_sha256"))
 
 
+_CONTROL = r"<\\*s>|<\\*/s>|\[\\*INST\]|\[\\*/INST\]|<\\*<SYS>>|<\\*</SYS>>|<\\*\|im_start\|>|<\\*\|im_end\|>|<\\*\|endoftext\|>"
+
+
 @query(
     "op9_chat_formatting",
+    f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+k AS (SELECT *, 29 + length(role) + length(text) + len(regexp_extract_all(role, '{_CONTROL}')) + len(regexp_extract_all(text, '{_CONTROL}')) AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM k GROUP BY conv_id
+""",
 )
 def op9_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     from tomeatlas.llm.chat import conversation_digests, format_turns, read_turns
@@ -129,7 +142,21 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-@query("op7_ngram_jaccard_join")
+@query(
+    "op7_ngram_jaccard_join",
+    r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(node, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM (SELECT node AS doc_id, min(reach) AS component_id FROM r GROUP BY node) d LEFT JOIN n ON n.doc_id = d.doc_id
+""",
+)
 def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     from tomeatlas.llm.jaccard_join import similar_documents
 
