@@ -16,9 +16,11 @@ from tomeatlas.llm.stored import Stored
 SIZES = (4, 5, 6)
 BITS = 20
 #: n-grams (hash buckets) with a weight: those whose shares in the two classes differ most, in standard errors.
-SELECTED = 1 << 14
+SELECTED = 1 << 12
 #: Characters taken at once.
 PIECE = 1 << 20
+#: Matrix entries that a step of the fit takes at once.
+_ENTRIES = 1 << 19
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -71,10 +73,14 @@ class LinearModel:
 
 
 def logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray, n_cols: int, penalty: float, steps: int = 150) -> tuple[np.ndarray, float]:
-    """Weights and bias of an L2-penalised logistic regression on a sparse matrix, by accelerated gradient steps."""
+    """Weights and bias of an L2-penalised logistic regression, by accelerated gradient steps.
+
+    The sparse matrix has the value of its column at each of (rows, cols); it is gone through piece by piece.
+    """
     n = len(y)
-    times = lambda w: np.bincount(rows, values * w[cols], n)
-    back = lambda r: np.bincount(cols, values * r[rows], n_cols)
+    cuts = [slice(i, i + _ENTRIES) for i in range(0, max(len(rows), 1), _ENTRIES)]
+    times = lambda w: sum(np.bincount(rows[c], values[cols[c]] * w[cols[c]], n) for c in cuts)
+    back = lambda r: values * sum(np.bincount(cols[c], r[rows[c]], n_cols) for c in cuts)
     v, bound = np.full(n_cols, n_cols**-0.5), 0.0
     for _ in range(12):
         u = back(times(v))
@@ -137,11 +143,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str, keep, sample: int = SA
                 lists = np.split(place[bucket], np.searchsorted(doc, np.arange(first + 1, last)))
                 yield pa.record_batch({"doc_id": batch["doc_id"].slice(first, last - first), "y": batch["y"].slice(first, last - first), "has": pa.array(lists, pa.list_(pa.int32()))})
 
-    got = rows.mapInArrow(chosen, "doc_id long, y int, has array<int>").toPandas().sort_values("doc_id")
+    got = rows.mapInArrow(chosen, "doc_id long, y int, has array<int>").toArrow().sort_by("doc_id").combine_chunks()
     stored.drop(rows)
-    has = got["has"].to_list()
-    owner, cols = np.repeat(np.arange(len(has)), [len(x) for x in has]), np.concatenate(has).astype(np.int64)
-    w, b = logistic(owner, cols, ratio[cols], got["y"].to_numpy(float), len(ratio), penalty)
+    has = got["has"].combine_chunks()
+    owner = np.repeat(np.arange(len(has), dtype=np.int32), np.diff(has.offsets.to_numpy()))
+    w, b = logistic(owner, has.flatten().to_numpy(), ratio, got["y"].to_numpy().astype(float), len(ratio), penalty)
     weights = np.zeros(1 << BITS)
     weights[bucket] = w * ratio
     return LinearModel(weights, b)
