@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are taken apart at once; a longer text is taken alone.
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 _BYTES = np.arange(256, dtype=np.uint8)
 LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
@@ -99,12 +99,11 @@ def words_of(texts: pa.Array, in_word: np.ndarray) -> Iterator[Words]:
         first = last
 
 
-def windows(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every k consecutive words of one text, and the index of its first word in ``w``."""
-    n = len(w.hash) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    at = np.flatnonzero(w.doc[: n] == w.doc[k - 1 :])
+def windows(w: Words, k: int, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every k consecutive words of one text, or of those from the words ``at``, and the index of the first word in ``w``."""
+    if at is None:
+        n = max(len(w.hash) - k + 1, 0)
+        at = np.flatnonzero(w.doc[:n] == w.doc[len(w.doc) - n :])
     h = np.full(len(at), k, np.uint64) * _M3
     for j in range(k):
         h = mixed(h * _M1 + w.hash[at + j])
