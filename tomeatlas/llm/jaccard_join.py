@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 from tomeatlas.llm.components import components
 from tomeatlas.llm.stored import Stored, with_empty_text
-from tomeatlas.llm.words import NOT_BLANK, PIECE, Words, mixed, windows, words_of
+from tomeatlas.llm.words import NOT_BLANK, Words, mixed, windows, words_of
 
 SHINGLE, THRESHOLD = 5, 75
 #: Rounds in which each shingle's documents meet one of them only.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 #: Bytes of text for each part into which shingles are dealt.
 PART_BYTES = 8 << 20
+#: Shingles that a task deals out at once.
+SENT_SHINGLES = 1 << 20
 #: Ranges of shingles in which documents are counted for the suffix filter.
 RANGES = 16
 _LOW = np.uint64((1 << 48) - 1)
@@ -25,11 +27,8 @@ _LOW = np.uint64((1 << 48) - 1)
 
 def _shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and text number of every shingle of a run; a text of fewer than ``k`` words has one of all its words."""
-    parts = [windows(w, k)]
-    for n in range(1, k):
-        h, at = windows(w, n)
-        whole = w.count[w.doc[at] - w.first] == n
-        parts.append((h[whole], at[whole]))
+    first = np.cumsum(w.count) - w.count
+    parts = [windows(w, k), *(windows(w, n, first[w.count == n]) for n in range(1, k))]
     h, at = (np.concatenate(x) for x in zip(*parts))
     order = np.argsort(at, kind="stable")
     return h[order], w.doc[at[order]]
@@ -122,7 +121,7 @@ def shared_shingles(docs: DataFrame, k: int, stored: Stored) -> DataFrame:
 
             for first, size, cls, h, o in _sets(batch["text"], k):
                 before = sum(len(x[0]) for x in held)
-                if held and (before + len(size) > 65_000 or sum(len(x[2]) for x in held) > PIECE // 2):
+                if held and (before + len(size) > 65_000 or sum(len(x[2]) for x in held) > SENT_SHINGLES):
                     yield sent()
                     held, before = [], 0
                 held.append((size, cls, h, o + before, first))
@@ -173,10 +172,10 @@ def prefixed(sets: DataFrame, threshold: int) -> DataFrame:
                 alone = n - len(token)
                 length = n - -(-threshold * n // 100) + 1 - alone
                 prefix.append([{"token": int(t), "pos": alone + i} for i, t in enumerate(token[order[:length]])])
-                ranges.append(np.bincount(mixed(token.view(np.uint64)) >> np.uint64(60), minlength=RANGES).astype(np.int32))
-            yield pa.record_batch({"class": batch["class"], "n": batch["n"], "alone": pa.compute.subtract(batch["n"], pa.compute.cast(pa.compute.list_value_length(batch["tokens"]), pa.int64())), "tokens": batch["tokens"], "prefix": pa.array(prefix, kind), "ranges": pa.array(ranges, pa.list_(pa.int32()))})
+                ranges.append(np.minimum(np.bincount(mixed(token.view(np.uint64)) >> np.uint64(60), minlength=RANGES), 32_767).astype(np.int16))
+            yield pa.record_batch({"class": batch["class"], "n": batch["n"], "alone": pa.compute.subtract(batch["n"], pa.compute.cast(pa.compute.list_value_length(batch["tokens"]), pa.int64())), "tokens": batch["tokens"], "prefix": pa.array(prefix, kind), "ranges": pa.array(ranges, pa.list_(pa.int16()))})
 
-    return sets.mapInArrow(ordered, "class long, n long, alone long, tokens array<bigint>, prefix array<struct<token: bigint, pos: bigint>>, ranges array<int>")
+    return sets.mapInArrow(ordered, "class long, n long, alone long, tokens array<bigint>, prefix array<struct<token: bigint, pos: bigint>>, ranges array<smallint>")
 
 
 def _may_link(a: str, b: str, threshold: int) -> Column:
@@ -190,6 +189,33 @@ def _may_link(a: str, b: str, threshold: int) -> Column:
     return length & position & suffix
 
 
+def _across(labelled: DataFrame, threshold: int) -> DataFrame:
+    """Pairs of classes that share a prefix shingle, are not connected yet and pass the filters.
+
+    One of two unconnected classes lies outside the shingle's largest group of connected ones, so only those outside
+    meet the others. The smaller of a pair meets on the start of its prefix alone: sets that are not smaller need
+    more of it. The filters are conditions of the joins, which give only pairs that pass.
+    """
+    sizes = labelled.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("token").agg(F.max(F.struct("n", "label")).alias("m")).select("token", F.col("m.label").alias("largest"))
+    outside = labelled.join(largest, "token").where("label <> largest").select("token", F.col("label").alias("label1"), F.col("e").alias("x"))
+    anyone = labelled.select("token", F.col("label").alias("label2"), F.col("e").alias("y"))
+
+    def early(e: str) -> Column:
+        n = F.col(f"{e}.n")
+        return F.col(f"{e}.pos") <= n - F.ceil(n * (2 * threshold) / F.lit(100.0 + threshold) - 1e-9)
+
+    def size(e: str) -> Column:
+        return F.struct(F.col(f"{e}.n"), F.col(f"{e}.class"))
+
+    out = []
+    for one, two, order in ((outside.where(early("x")), anyone, size("x") < size("y")), (outside, anyone.where(early("y")), size("y") < size("x"))):
+        one, two = one.alias("one"), two.alias("two")
+        out.append(one.join(two, (F.col("one.token") == F.col("two.token")) & (F.col("label1") != F.col("label2")) & order & _may_link("x", "y", threshold)))
+    first, second = (df.select("x.class", F.col("y.class").alias("other")) for df in out)
+    return first.unionByName(second)
+
+
 def similar_documents(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """Components of documents linked by a Jaccard index of at least ``threshold`` percent of their word shingles.
 
@@ -212,32 +238,31 @@ def similar_documents(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESH
     enough = shared.groupBy("class").agg(F.sum(F.size("tokens")).alias("s")).join(sizes, "class").where(F.col("s") * 100 >= F.col("n") * threshold).select("class", "n")
     gathered = shared.join(enough, "class").groupBy("class").agg(F.max("n").alias("n"), F.flatten(F.collect_list("tokens")).alias("tokens"), F.flatten(F.collect_list("freqs")).alias("freqs"))
     sets = stored.save(prefixed(gathered, threshold), "sets")
-    entries = sets.select(F.explode("prefix").alias("p"), "class", "n", "alone", "ranges").select(F.col("p.token").alias("token"), F.struct("alone", "class", "n", F.col("p.pos").alias("pos"), "ranges").alias("e"))
+    entries = sets.select(F.explode("prefix").alias("p"), "class", "n", "alone", "ranges").select(F.col("p.token").alias("token"), "class", F.struct("alone", "class", "n", F.col("p.pos").alias("pos"), "ranges").alias("e"))
     labels = stored.save(sets.select("class", F.col("class").alias("label")), "labels")
-    verified = None
+    verified, held = None, []
     bodies = sets.select("class", "n", "tokens")
     for r in range(star_rounds + 1):
-        labelled = entries.withColumn("class", F.col("e.class")).join(labels, "class").select("token", "e", "label")
+        labelled = entries.join(labels, "class").select("token", "class", "e", "label")
         open_tokens = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
         labelled = stored.save(labelled.join(open_tokens, "token"), "entries")
+        for df in held:
+            stored.drop(df)
+        entries, held = labelled.drop("label"), [labelled]  # a shingle whose classes are connected is done with
         if r < star_rounds:
             choice = F.struct(F.xxhash64(F.lit(r), "label").alias("by"), "e", "label") if r else F.struct(F.lit(0).alias("by"), "e", "label")
-            centre = labelled.groupBy("token").agg(F.min(choice).alias("c")).select("token", F.col("c.e").alias("c"), F.col("c.label").alias("c_label"))
-            pairs = labelled.join(centre, "token").where("label <> c_label").select(F.col("e").alias("x"), F.col("c").alias("y"))
+            centre = labelled.groupBy("token").agg(F.min(choice).alias("c")).select("token", F.col("c.e").alias("y"), F.col("c.label").alias("c_label"))
+            met = labelled.select("token", "label", F.col("e").alias("x")).join(centre, "token")
+            pairs = met.where((F.col("label") != F.col("c_label")) & _may_link("x", "y", threshold)).select("x.class", F.col("y.class").alias("other"))
         else:
-            groups = labelled.select("token", "label").distinct()
-            crossed = groups.select("token", F.col("label").alias("label1")).join(groups.select("token", F.col("label").alias("label2")), "token").where("label1 < label2")
-            one = labelled.select("token", F.col("label").alias("label1"), F.col("e").alias("x"))
-            two = labelled.select("token", F.col("label").alias("label2"), F.col("e").alias("y"))
-            pairs = crossed.join(one, ["token", "label1"]).join(two, ["token", "label2"]).select("x", "y")
-        pairs = pairs.where(_may_link("x", "y", threshold)).select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
+            pairs = _across(labelled, threshold)
+        pairs = pairs.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
         if verified is not None:
             pairs = pairs.join(verified, ["a", "b"], "left_anti")
         mine = bodies.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
         theirs = bodies.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
         met = pairs.join(mine, "a").join(theirs, "b").withColumn("both", F.size(F.array_intersect("ta", "tb")))
         links = stored.save(met.select("a", "b", (F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * threshold).alias("linked")), "links")
-        stored.drop(labelled)
         verified = links.select("a", "b") if verified is None else verified.unionByName(links.select("a", "b"))
         linked = links.where("linked")
         if linked.isEmpty():
@@ -249,7 +274,7 @@ def similar_documents(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESH
         stored.drop(labels)
         labels = moved
     grouped = stored.save(texts.join(labels, "class", "left").select("doc_id", "n", F.coalesce("label", "class").alias("label")), "grouped")
-    for df in (found, sets, labels):
+    for df in (found, sets, labels, *held):
         stored.drop(df)
     lowest = grouped.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     per_doc = grouped.join(lowest, "label").groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min("component_id").alias("component_id"))
