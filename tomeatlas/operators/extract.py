@@ -44,9 +44,9 @@ def _names(gazetteer: DataFrame) -> DataFrame:
 def extract_mentions(docs: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Gazetteer names that occur in documents (doc_id, text) as whole words.
 
-    Each word is joined on the first word of a name and the words that follow are compared, so the
-    join sees one row per word whatever the length of names. Per document and name: the first
-    spelling and word position, frequency, label and confidence.
+    A word that starts a name gives one row for each length that names with this first word have; these runs of words are
+    counted per document and spelling before they meet the names, so a first word that many names share does not
+    multiply rows. Per document and name: the first spelling and word position, frequency, label and confidence.
     """
     names = _names(gazetteer)
     longest = names.agg(F.coalesce(F.max("_n"), F.lit(1))).scalar()
@@ -58,15 +58,11 @@ def extract_mentions(docs: DataFrame, gazetteer: DataFrame) -> DataFrame:
     )
     starts = F.filter(starts, lambda s: F.get(s["w"], F.lit(0)) != "")
     at = tokens.select("doc_id", F.inline(starts)).withColumn("_first", F.lower(F.get("w", F.lit(0))))
-    hits = (
-        at.join(names, "_first")
-        .withColumn("surface", F.array_join(F.slice("w", F.lit(1), F.col("_n")), " "))
-        .filter(F.lower("surface") == F.col("name_key"))
-    )
+    lengths = names.select("_first", "_n").distinct()
+    runs = at.join(lengths, "_first").filter(F.size("w") >= F.col("_n")).select("doc_id", "word", F.array_join(F.slice("w", F.lit(1), F.col("_n")), " ").alias("surface"))
     # spellings are counted first, with fixed-size state, before one of them is chosen per name
-    spellings = hits.groupBy("doc_id", "name_key", "surface", "label").agg(
-        F.min("word").alias("word"), F.count("*").alias("n")
-    )
+    counted = runs.groupBy("doc_id", "surface").agg(F.min("word").alias("word"), F.count("*").alias("n"))
+    spellings = counted.join(names.select("name_key", "label"), F.lower("surface") == F.col("name_key"))
     found = spellings.groupBy("doc_id", "name_key", "label").agg(
         F.min_by("surface", "word").alias("mention"), F.min("word").alias("first_word"), F.sum("n").alias("frequency")
     )

@@ -132,14 +132,17 @@ def near_point(
 ) -> DataFrame:
     """Nearest rows inside the radius, or the nearest anywhere when fewer than ``min_hits`` are inside.
 
-    The answer lies among the max(k, min_hits) nearest rows, so one top-k pass settles both cases.
+    The rows in the box around the circle are read first. Only if they hold too few hits does a guard let the other rows
+    pass: it is one number, known before they are read.
     """
     located = df.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull())
     exact = haversine(F.lit(lon), F.lit(lat), "lon", "lat", EARTH_M)
-    if min_hits <= 0:
-        located = located.filter(in_box(lon, lat, radius_m))
+    near = located.filter(in_box(lon, lat, radius_m))
+    if min_hits > 0:
+        few = near.agg(F.count_if(exact <= radius_m) < min_hits).scalar()
+        near = near.unionByName(located.filter(few & ~F.coalesce(in_box(lon, lat, radius_m), F.lit(False))))
     ranked = (
-        located.withColumn("_exact", exact)
+        near.withColumn("_exact", exact)
         .withColumn("distance_m", F.round("_exact", 1))
         .orderBy("_exact", "ord")
         .limit(max(k, min_hits))
