@@ -1,3 +1,4 @@
+import json
 import random
 import re
 from collections import deque
@@ -177,3 +178,88 @@ def test_entry(spark):
     from __spark_entry__ import entry
 
     assert entry(spark).count() > 0
+
+
+def test_limiter_takes_a_null_key_as_a_key(spark):
+    events = spark.createDataFrame(
+        [(i, None if i % 2 else 1, datetime(2024, 1, 1, 0, 0, i, tzinfo=timezone.utc)) for i in range(10)], "event_id bigint, user_id bigint, ts timestamp"
+    )
+    got = limiter.rate_limit(events, "user_id", "ts", 3).collect()
+    assert len(got) == 10
+    assert sorted(r["event_id"] for r in got if r["accepted"]) == [0, 1, 2, 3, 4, 5]
+
+
+def test_limiter_stream_over_many_arrow_batches(spark, tmp_path):
+    """One key whose rows of a micro-batch come in many Arrow batches, unordered."""
+    rng = random.Random(11)
+    events = [(i, 7, t) for i, t in enumerate(rng.randrange(0, 600) for _ in range(200))]
+    source = str(tmp_path / "in")
+    event_frame(spark, events).repartition(4).write.parquet(source)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        stream = spark.readStream.schema("event_id bigint, user_id bigint, ts timestamp").parquet(source)
+        out = limiter.rate_limit_stream(stream, "user_id", "ts", 3)
+        writer = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
+        writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    got = {r["event_id"]: r["accepted"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == slow_limit(events, 3, 60)
+
+
+def test_append_stream_keeps_late_rows(spark, tmp_path):
+    def frame(days, first):
+        data = [(i, f"id{i}", f"Title {i}", "A", datetime(2024, 1 + d // 28, 1 + d % 28, tzinfo=timezone.utc)) for i, d in enumerate(days, first)]
+        return spark.createDataFrame(data, "ord bigint, id string, book_title string, author string, seen_at timestamp")
+
+    corpus, source = str(tmp_path / "corpus"), str(tmp_path / "in")
+    intake.seed_corpus(frame([0], 0), corpus)
+    for first, days in ((1, [60, 61]), (3, [2, 62]), (5, [1])):
+        frame(days, first).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(frame([0], 0).schema).parquet(source)
+        intake.append_stream(stream, corpus, str(tmp_path / "cp")).awaitTermination()
+    assert sorted(r["key0"] for r in spark.read.parquet(corpus).collect()) == [f"title {i}" for i in range(6)]
+
+
+def test_one_bad_row_fails_alone(spark):
+    from tomeatlas.operators.extract import infer
+
+    def picky(batch):
+        if (batch["id"] == 777).any():
+            raise ValueError("no")
+        return batch["id"].astype(str) if len(batch) % 2 else batch["id"].astype(str)[:-1]
+
+    got = infer(spark.range(2000), picky, "relaxed").collect()
+    assert len(got) == 2000
+    assert [r["id"] for r in got if r["result"] is None] == [777]
+
+
+def test_queries_run_from_another_folder(tmp_path):
+    """Only the entry file's folder is on the driver's path; executors get the library as a file."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    code = (
+        f"import sys; sys.path.insert(0, {str(root)!r})\n"
+        "import __spark_entry__ as e\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.session.timeZone', 'UTC').getOrCreate()\n"
+        f"print('ROWS', e.queries()['k3_chunk_text'](spark, {SMALL!r}).count())\n"
+    )
+    ran = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "ROWS" in ran.stdout, ran.stderr[-2000:]
+
+
+def test_very_long_texts_stay_whole(spark):
+    from tomeatlas.sources.parsers import parse_work_json
+    from tomeatlas.sources.readers import one_line, unfolded
+
+    text = "long text\n" * 150_000
+    work = spark.createDataFrame([(json.dumps({"description": text}),)], "work string")
+    assert parse_work_json(work).first()["description"] == text
+    odd = spark.createDataFrame([("a\\n\n\r\\\\ b",)], "t string")
+    folded = odd.select(one_line("t").alias("t"))
+    assert "\n" not in folded.first()["t"] and folded.select(unfolded("t").alias("t")).first()["t"] == odd.first()["t"]
