@@ -22,7 +22,15 @@ from tomeatlas.functions.expr import (
     text,
 )
 
+# Patterns and addresses.
 COMPOSITE = r"(?iU)\s*(?:;|/|\||&|\band\b)\s*"
+BRACKETED = r"\(.*?(\w+)\)"
+TRANSLATOR = r"(?i);\s*(?:translated|trans\.)\s*(?:by|into)?\s*"
+QID = r"^Q\d+$"
+COVERS = "https://covers.openlibrary.org/b/id/"
+CATALOGUE = "https://openlibrary.org"
+GRAPH = "https://www.wikidata.org/wiki/"
+SEARCH = "https://www.google.com/search?q="
 NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 
 
@@ -54,7 +62,7 @@ def sheet_city(c: ColumnLike, aliases: Mapping[str, str] = vocab.SHEET_CITY_ALIA
     alias = first_contained(F.lower(raw), {k.lower(): v for k, v in aliases.items()})
     before_comma = strip(F.split_part(raw, F.lit(","), F.lit(1)))
     before_slash = strip(F.split_part(raw, F.lit("/"), F.lit(1)))
-    bracketed = F.regexp_extract(raw, r"\(.*?(\w+)\)", 1)
+    bracketed = F.regexp_extract(raw, BRACKETED, 1)
     three_words = F.array_join(F.slice(F.split(raw, WHITESPACE_RUN), 1, 3), " ")
     long = F.length(raw) > 40
     display = (
@@ -172,13 +180,13 @@ def uri_tail(c: ColumnLike) -> Column:
 
 
 def is_qid(c: ColumnLike) -> Column:
-    return strip(c).rlike(r"^Q\d+$")
+    return strip(c).rlike(QID)
 
 
 def author_of(c: ColumnLike) -> Column:
     """``struct(author, translator)`` of a cell such as "A; translated by B"."""
     raw = strip(c)
-    parts = F.split(raw, r"(?i);\s*(?:translated|trans\.)\s*(?:by|into)?\s*")
+    parts = F.split(raw, TRANSLATOR)
     translated = F.contains(F.lower(raw), F.lit("translat")) & (F.size(parts) >= 2)
     author = F.when(translated, strip(F.get(parts, F.lit(0)))).otherwise(
         strip(F.split_part(raw, F.lit(";"), F.lit(1)))
@@ -228,22 +236,22 @@ def era_bucket(year: ColumnLike) -> Column:
 
 def cover_url(cover_id: ColumnLike, size: str = "M") -> Column:
     c = col(cover_id).cast("string")
-    url = F.concat(F.lit("https://covers.openlibrary.org/b/id/"), c, F.lit(f"-{size}.jpg"))
+    url = F.concat(F.lit(COVERS), c, F.lit(f"-{size}.jpg"))
     return F.when(col(cover_id) != 0, url)
 
 
 def work_url(work_key: ColumnLike) -> Column:
-    return F.concat(F.lit("https://openlibrary.org"), col(work_key))
+    return F.concat(F.lit(CATALOGUE), col(work_key))
 
 
 def same_as(book_id: ColumnLike, url: ColumnLike, key: ColumnLike) -> Column:
     """Links that identify the same work elsewhere."""
-    wiki = F.when(text(book_id) != "", F.concat(F.lit("https://www.wikidata.org/wiki/"), col(book_id)))
+    wiki = F.when(text(book_id) != "", F.concat(F.lit(GRAPH), col(book_id)))
     work = F.when(text(url) != "", col(url)).when(text(key) != "", work_url(key))
     return F.array_compact(F.array(wiki, work))
 
 
 def search_link(title: ColumnLike, author: ColumnLike) -> Column:
     phrase = F.replace(strip(F.concat(text(title), F.lit(" "), text(author))), F.lit(" "), F.lit("+"))
-    return F.concat(F.lit("https://www.google.com/search?q="), phrase, F.lit("+book"))
+    return F.concat(F.lit(SEARCH), phrase, F.lit("+book"))
 

@@ -231,9 +231,26 @@ def needs_enrichment() -> Column:
 
 # ---- validation of an enrichment result given as JSON text ----
 
+# Keys, patterns and reasons.
 RESULT_KEYS = ["polarity", "dominant_emotions", "themes", "literary_mood"]
 _SNAKE = "^[a-z_]+$"
 _SNAKE_WORDS = "^[a-z0-9]+(?:_[a-z0-9]+)+$"
+REASONS = {
+    "malformed": "exception: malformed json",
+    "no_object": "not an object",
+    "no_key": "missing key: ",
+    "no_number": "polarity not numeric",
+    "range": "polarity out of range",
+    "emotions_size": "dominant_emotions size invalid",
+    "emotions_format": "dominant_emotions format invalid",
+    "themes_size": "themes size invalid",
+    "themes_format": "themes format invalid",
+    "mood_format": "literary_mood format invalid",
+    "generic": "generic standalone theme",
+    "few": "themes too few",
+    "no_anchor": "missing concrete anchor theme",
+    "no_abstraction": "missing abstraction theme",
+}
 
 
 def validation_reason(c: ColumnLike, mode: str = "strict") -> Column:
@@ -255,35 +272,35 @@ def validation_reason(c: ColumnLike, mode: str = "strict") -> Column:
     def some_token(words: list[str]) -> Column:
         return F.coalesce(F.exists(themes, lambda t: _has_token(F.lower(t), words)), F.lit(False))
 
-    reason = F.when(js.isNull() | ~well_formed, F.lit("exception: malformed json")).when(
-        keys.isNull(), F.lit("not an object")
+    reason = F.when(js.isNull() | ~well_formed, F.lit(REASONS["malformed"])).when(
+        keys.isNull(), F.lit(REASONS["no_object"])
     )
     for key in RESULT_KEYS:
-        reason = reason.when(~F.array_contains(keys, key), F.lit(f"missing key: {key}"))
-    reason = reason.when(polarity.isNull(), F.lit("polarity not numeric")).when(
-        ~polarity.between(-1.0, 1.0), F.lit("polarity out of range")
+        reason = reason.when(~F.array_contains(keys, key), F.lit(REASONS["no_key"] + key))
+    reason = reason.when(polarity.isNull(), F.lit(REASONS["no_number"])).when(
+        ~polarity.between(-1.0, 1.0), F.lit(REASONS["range"])
     )
     if mode == "strict":
         anchors, abstractions = vocab.STRICT_ANCHORS, vocab.STRICT_ABSTRACTIONS
         mood_ok = F.length(mood).between(2, 40) & mood.rlike(_SNAKE)
         reason = (
-            reason.when(~sized(emotions, 3, 5), F.lit("dominant_emotions size invalid"))
-            .when(~all_match(emotions, _SNAKE), F.lit("dominant_emotions format invalid"))
-            .when(~sized(themes, 4, 6), F.lit("themes size invalid"))
-            .when(~all_match(themes, _SNAKE_WORDS), F.lit("themes format invalid"))
-            .when(~mood_ok, F.lit("literary_mood format invalid"))
+            reason.when(~sized(emotions, 3, 5), F.lit(REASONS["emotions_size"]))
+            .when(~all_match(emotions, _SNAKE), F.lit(REASONS["emotions_format"]))
+            .when(~sized(themes, 4, 6), F.lit(REASONS["themes_size"]))
+            .when(~all_match(themes, _SNAKE_WORDS), F.lit(REASONS["themes_format"]))
+            .when(~mood_ok, F.lit(REASONS["mood_format"]))
             .when(
                 F.arrays_overlap(themes, strings(vocab.STANDALONE_GENERIC)),
-                F.lit("generic standalone theme"),
+                F.lit(REASONS["generic"]),
             )
         )
     else:
         anchors, abstractions = vocab.RELAXED_ANCHORS, vocab.RELAXED_ABSTRACTIONS
         enough = F.coalesce(F.size(themes) >= 3, F.lit(False)) & themes.isNotNull()
-        reason = reason.when(~enough, F.lit("themes too few"))
+        reason = reason.when(~enough, F.lit(REASONS["few"]))
     return (
-        reason.when(~some_token(anchors), F.lit("missing concrete anchor theme"))
-        .when(~some_token(abstractions), F.lit("missing abstraction theme"))
+        reason.when(~some_token(anchors), F.lit(REASONS["no_anchor"]))
+        .when(~some_token(abstractions), F.lit(REASONS["no_abstraction"]))
         .otherwise(F.lit("ok"))
     )
 
