@@ -23,6 +23,8 @@ SENT_SHINGLES = 1 << 20
 #: Ranges of shingles in which documents are counted for the suffix filter.
 RANGES = 16
 _LOW = np.uint64((1 << 48) - 1)
+#: Kinds of blocks: ids, sizes and classes of texts; shingles; sizes of classes.
+TEXTS, SHINGLES, SIZES = 0, 1, 2
 
 
 def _shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +59,7 @@ def _dealt(ids: np.ndarray, sizes, classes, hashes, owners, parts: int) -> Itera
     """Rows for the shuffle: the texts' ids, sizes and classes, and each part's shingles, six bytes and an owner each."""
     some = np.flatnonzero(sizes)
     if len(some):
-        yield {"part": int(classes[some[0]] % np.uint64(parts)), "texts": True, "x": ids[some].astype(np.int64).tobytes(), "y": sizes[some].astype(np.int64).tobytes(), "z": classes[some].tobytes()}
+        yield {"part": int(mixed(ids[some[:1]].astype(np.uint64))[0] % np.uint64(parts)), "kind": TEXTS, "x": ids[some].astype(np.int64).tobytes(), "y": sizes[some].astype(np.int64).tobytes(), "z": classes[some].tobytes()}
     firsts = np.zeros(len(sizes), bool)  # of copies the first one speaks for all
     firsts[some[np.unique(classes[some], return_index=True)[1]]] = True
     keep = firsts[owners]
@@ -68,11 +70,11 @@ def _dealt(ids: np.ndarray, sizes, classes, hashes, owners, parts: int) -> Itera
         h, o = hashes[edge[p] : edge[p + 1]], owners[edge[p] : edge[p + 1]]
         members, local = np.unique(o, return_inverse=True)
         planes = np.ascontiguousarray((h & _LOW).view(np.uint8).reshape(-1, 8)[:, :6].T)
-        yield {"part": int(p), "texts": False, "x": planes.tobytes(), "y": local.astype(np.uint16).tobytes(), "z": classes[members].tobytes()}
+        yield {"part": int(p), "kind": SHINGLES, "x": planes.tobytes(), "y": local.astype(np.uint16).tobytes(), "z": classes[members].tobytes()}
 
 
 def _shared(part: int, hashes: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class, token and frequency of shingles that more than one class has, sorted by class."""
+    """Class, token and frequency of shingles that more than one class has."""
     order = np.argsort(hashes)
     h, c = hashes[order], classes[order]
     same = h[1:] == h[:-1]
@@ -89,26 +91,72 @@ def _shared(part: int, hashes: np.ndarray, classes: np.ndarray) -> tuple[np.ndar
     size = np.diff(np.append(edge, len(h)))
     freq = np.repeat(size, size)
     keep = freq > 1
-    order = np.argsort(c[keep], kind="stable")
-    token = h[keep] + (np.uint64(part) << np.uint64(48))
-    return c[keep][order], token[order], freq[keep][order]
+    return c[keep], h[keep] + (np.uint64(part) << np.uint64(48)), freq[keep]
 
 
-def shared_shingles(docs: DataFrame, k: int, stored: Stored) -> DataFrame:
-    """Rows of two kinds: (class, doc_id, n) for texts with words, and (class, tokens, freqs) for shared shingles.
+_BLOCK = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("x", pa.binary()), ("y", pa.binary()), ("z", pa.binary())])
+_BLOCK_SQL = "part int, kind int, x binary, y binary, z binary"
+_PREFIX = pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int64())]))
+_SET_SQL = "class long, doc_id long, n long, alone long, tokens array<bigint>, prefix array<struct<token: bigint, pos: bigint>>, ranges array<smallint>"
 
-    Texts are read once. Shingles travel in blocks, one for each run of texts and part, so that a shingle costs eight
-    bytes; the number of parts grows with the text. A shingle's frequency counts different sets.
+
+def _blocks(kind: int, by: np.ndarray, classes: np.ndarray, x: np.ndarray, y: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of rows, dealt into parts by ``by``."""
+    part = (by % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    classes, x, y = classes[order], x[order], y[order]
+    edge = np.searchsorted(part[order], np.arange(parts + 1))
+    rows = [{"part": int(p), "kind": kind, "x": classes[cut].tobytes(), "y": x[cut].tobytes(), "z": y[cut].tobytes()} for p in np.flatnonzero(np.diff(edge)) for cut in [slice(edge[p], edge[p + 1])]]
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, _BLOCK)
+
+
+def _sets_of(classes, tokens, freqs, known: np.ndarray, sizes: np.ndarray, threshold: int) -> pa.RecordBatch:
+    """Sets that can link at all: shared shingles, prefix of these in rare-first order, counts by range of shingle.
+
+    ``known`` are the classes with their ``sizes``. All other shingles of a set come before the shared ones, as no other
+    set has them.
+    """
+    order = np.lexsort((tokens, freqs, classes))
+    c, t = classes[order], tokens[order]
+    edge = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
+    shared = np.diff(np.append(edge, len(c)))
+    n = sizes[np.searchsorted(known, c[edge])]
+    able = shared * 100 >= n * threshold
+    t = t[np.repeat(able, shared)]
+    cls, n, shared = c[edge][able], n[able], shared[able]
+    alone = n - shared
+    start = np.cumsum(shared) - shared
+    length = n - -(-threshold * n // 100) + 1 - alone
+    owner = np.repeat(np.arange(len(cls)), length)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(length) - length, length)
+    prefix = pa.StructArray.from_arrays([pa.array(t[start[owner] + nth].view(np.int64)), pa.array(alone[owner] + nth)], ["token", "pos"])
+    key = np.repeat(np.arange(len(cls)), shared) * RANGES + (mixed(t) >> np.uint64(60)).astype(np.int64)
+    ranges = np.minimum(np.bincount(key, minlength=len(cls) * RANGES), 32_767).astype(np.int16)
+    upto = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    return pa.record_batch({
+        "class": pa.array(cls.view(np.int64)), "doc_id": pa.nulls(len(cls), pa.int64()), "n": pa.array(n), "alone": pa.array(alone),
+        "tokens": pa.ListArray.from_arrays(upto(shared), pa.array(t.view(np.int64))), "prefix": pa.ListArray.from_arrays(upto(length), prefix).cast(_PREFIX),
+        "ranges": pa.ListArray.from_arrays(upto(np.full(len(cls), RANGES)), pa.array(ranges)),
+    })
+
+
+def shingle_sets(docs: DataFrame, k: int, threshold: int, stored: Stored) -> DataFrame:
+    """Rows of two kinds: (class, doc_id, n) for texts with words, and the sets of ``_sets_of`` without a doc_id.
+
+    Texts are read once. Shingles travel in blocks twice: a block for each run of texts and part of the shingles, at
+    eight bytes a shingle, to find those that several sets have; and these on to the part of their class. The
+    numbers of parts grow with the text. A shingle's frequency counts different sets.
     """
     spark = docs.sparkSession
     plain = with_empty_text(docs)
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PART_BYTES + 1)
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts, class_parts = max(few, total // PART_BYTES + 1), max(few, total // (8 * PART_BYTES) + 1)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("part", pa.int32()), ("texts", pa.bool_()), ("x", pa.binary()), ("y", pa.binary()), ("z", pa.binary())])
         for batch in batches:
-            ids = batch["doc_id"].fill_null(0).to_numpy()
+            ids = batch["doc_id"].to_numpy()
             held: list[tuple] = []
 
             def sent():
@@ -116,8 +164,7 @@ def shared_shingles(docs: DataFrame, k: int, stored: Stored) -> DataFrame:
                 h, o = np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])
                 order = np.argsort(h, kind="stable")
                 first = held[0][4]
-                rows = list(_dealt(ids[first : first + len(sizes)], sizes, classes, h[order], o[order], parts))
-                return pa.RecordBatch.from_pylist(rows, schema)
+                return pa.RecordBatch.from_pylist(list(_dealt(ids[first : first + len(sizes)], sizes, classes, h[order], o[order], parts)), _BLOCK)
 
             for first, size, cls, h, o in _sets(batch["text"], k):
                 before = sum(len(x[0]) for x in held)
@@ -128,54 +175,46 @@ def shared_shingles(docs: DataFrame, k: int, stored: Stored) -> DataFrame:
             if held:
                 yield sent()
 
-    def met(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = key[0].as_py()
+    def met(key: tuple, blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, classes = [], []
-        for b in tables:
-            for texts, x, y, z in zip(*(b[c].to_pylist() for c in ("texts", "x", "y", "z"))):
+        for b in blocks:
+            for kind, x, y, z in zip(*(b[c].to_pylist() for c in ("kind", "x", "y", "z"))):
                 own = np.frombuffer(z, np.uint64)
-                if texts:
-                    yield pa.record_batch({"class": pa.array(own.view(np.int64)), "doc_id": pa.array(np.frombuffer(x, np.int64)), "n": pa.array(np.frombuffer(y, np.int64)), "tokens": pa.nulls(len(own), pa.list_(pa.int64())), "freqs": pa.nulls(len(own), pa.list_(pa.int64()))})
+                if kind == TEXTS:
+                    ids, n = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+                    yield from _blocks(TEXTS, mixed(ids.view(np.uint64)), own, ids, n, class_parts)
+                    once, at = np.unique(own, return_index=True)
+                    yield from _blocks(SIZES, once, once, n[at], n[at], class_parts)
                     continue
                 planes = np.frombuffer(x, np.uint8).reshape(6, -1)
                 h = np.zeros((planes.shape[1], 8), np.uint8)
                 h[:, :6] = planes.T
                 hashes.append(h.view(np.uint64).ravel())
                 classes.append(own[np.frombuffer(y, np.uint16)])
-        if not hashes:
-            return
-        cls, token, freq = _shared(part, np.concatenate(hashes), np.concatenate(classes))
-        edge = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1], [True]])) if len(cls) else np.zeros(1, np.int64)
-        for i in range(0, len(edge) - 1, 5000):
-            e = edge[i : i + 5001]
-            at = pa.array((e - e[0]).astype(np.int32))
-            cut = slice(e[0], e[-1])
-            yield pa.record_batch({"class": pa.array(cls[e[:-1]].view(np.int64)), "doc_id": pa.nulls(len(e) - 1, pa.int64()), "n": pa.nulls(len(e) - 1, pa.int64()), "tokens": pa.ListArray.from_arrays(at, pa.array(token[cut].view(np.int64))), "freqs": pa.ListArray.from_arrays(at, pa.array(freq[cut].astype(np.int64)))})
-
-    blocks = plain.where("doc_id is not null").mapInArrow(dealt, "part int, texts boolean, x binary, y binary, z binary")
-    return stored.save(blocks.groupBy("part").applyInArrow(met, "class long, doc_id long, n long, tokens array<bigint>, freqs array<bigint>"), "shared")
-
-
-def prefixed(sets: DataFrame, threshold: int) -> DataFrame:
-    """Per class: its prefix of shared shingles (token, pos), rare first, and counts by range of shingle.
-
-    All other shingles of a set come before the shared ones, as no other set has them.
-    """
-
-    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int64())]))
-        for batch in batches:
-            prefix, ranges = [], []
-            for n, tokens, freqs in zip(batch["n"].to_pylist(), batch["tokens"], batch["freqs"]):
-                token, freq = tokens.values.to_numpy(), freqs.values.to_numpy()
-                order = np.lexsort((token, freq))
-                alone = n - len(token)
-                length = n - -(-threshold * n // 100) + 1 - alone
-                prefix.append([{"token": int(t), "pos": alone + i} for i, t in enumerate(token[order[:length]])])
-                ranges.append(np.minimum(np.bincount(mixed(token.view(np.uint64)) >> np.uint64(60), minlength=RANGES), 32_767).astype(np.int16))
-            yield pa.record_batch({"class": batch["class"], "n": batch["n"], "alone": pa.compute.subtract(batch["n"], pa.compute.cast(pa.compute.list_value_length(batch["tokens"]), pa.int64())), "tokens": batch["tokens"], "prefix": pa.array(prefix, kind), "ranges": pa.array(ranges, pa.list_(pa.int16()))})
-
-    return sets.mapInArrow(ordered, "class long, n long, alone long, tokens array<bigint>, prefix array<struct<token: bigint, pos: bigint>>, ranges array<smallint>")
+        if hashes:
+            cls, token, freq = _shared(key[0].as_py(), np.concatenate(hashes), np.concatenate(classes))
+            yield from _blocks(SHINGLES, cls, cls, token, freq.astype(np.uint32), class_parts)
+
+    def gathered(key: tuple, blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes, shared = [], []
+        for b in blocks:
+            for kind, x, y, z in zip(*(b[c].to_pylist() for c in ("kind", "x", "y", "z"))):
+                cls = np.frombuffer(x, np.uint64)
+                if kind == TEXTS:
+                    none = {"alone": pa.nulls(len(cls), pa.int64()), "tokens": pa.nulls(len(cls), pa.list_(pa.int64())), "prefix": pa.nulls(len(cls), _PREFIX), "ranges": pa.nulls(len(cls), pa.list_(pa.int16()))}
+                    yield pa.record_batch({"class": pa.array(cls.view(np.int64)), "doc_id": pa.array(np.frombuffer(y, np.int64)), "n": pa.array(np.frombuffer(z, np.int64)), **none})
+                elif kind == SIZES:
+                    sizes.append((cls, np.frombuffer(y, np.int64)))
+                else:
+                    shared.append((cls, np.frombuffer(y, np.uint64), np.frombuffer(z, np.uint32)))
+        if shared:
+            cls, n = (np.concatenate(x) for x in zip(*sizes))
+            known, at = np.unique(cls, return_index=True)
+            yield _sets_of(*(np.concatenate(x) for x in zip(*shared)), known, n[at], threshold)
+
+    blocks = plain.where("doc_id is not null").mapInArrow(dealt, _BLOCK_SQL)
+    found = blocks.groupBy("part").applyInArrow(met, _BLOCK_SQL).groupBy("part").applyInArrow(gathered, _SET_SQL)
+    return stored.save(found, "sets")
 
 
 def _may_link(a: str, b: str, threshold: int) -> Column:
@@ -231,13 +270,9 @@ def similar_documents(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESH
     Returns doc_id, n_shingles, component_id for every row.
     """
     stored = Stored(docs.sparkSession, "jaccard")
-    found = shared_shingles(docs, k, stored)
+    found = shingle_sets(docs, k, threshold, stored)
     texts = found.where("doc_id is not null").select("doc_id", "class", "n")
-    shared = found.where("doc_id is null").select("class", "tokens", "freqs")
-    sizes = texts.groupBy("class").agg(F.max("n").alias("n"))
-    enough = shared.groupBy("class").agg(F.sum(F.size("tokens")).alias("s")).join(sizes, "class").where(F.col("s") * 100 >= F.col("n") * threshold).select("class", "n")
-    gathered = shared.join(enough, "class").groupBy("class").agg(F.max("n").alias("n"), F.flatten(F.collect_list("tokens")).alias("tokens"), F.flatten(F.collect_list("freqs")).alias("freqs"))
-    sets = stored.save(prefixed(gathered, threshold), "sets")
+    sets = found.where("doc_id is null")
     entries = sets.select(F.explode("prefix").alias("p"), "class", "n", "alone", "ranges").select(F.col("p.token").alias("token"), "class", F.struct("alone", "class", "n", F.col("p.pos").alias("pos"), "ranges").alias("e"))
     labels = stored.save(sets.select("class", F.col("class").alias("label")), "labels")
     verified, held = None, []
@@ -274,7 +309,7 @@ def similar_documents(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESH
         stored.drop(labels)
         labels = moved
     grouped = stored.save(texts.join(labels, "class", "left").select("doc_id", "n", F.coalesce("label", "class").alias("label")), "grouped")
-    for df in (found, sets, labels, *held):
+    for df in (found, labels, *held):
         stored.drop(df)
     lowest = grouped.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     per_doc = grouped.join(lowest, "label").groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min("component_id").alias("component_id"))
