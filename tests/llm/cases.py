@@ -125,3 +125,16 @@ def kept_lines(docs, fuzzy=20):
         kept = [x for n, x in enumerate(lines) if not x.strip(BLANKS) or (first[x] == (i, n) and x not in far)]
         out[i] = (len(lines), len(kept), "\n".join(kept) if t is not None else None)
     return out
+
+
+def packed_ids(texts: dict, capacity: int = 2048) -> dict:
+    from tokenizers import Tokenizer
+
+    from tomeatlas.llm.queries import vocabulary
+
+    t = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    out = {}
+    for i, text in texts.items():
+        n = len(t.encode(text or "", add_special_tokens=False).ids) + 1
+        out |= {(i, k // capacity): min(capacity, n - k) for k in range(0, n, capacity)}
+    return out
