@@ -72,7 +72,13 @@ def _(spark, d):
     )
 
 
-@query("p1_cleanup_removed")
+@query(
+    "p1_cleanup_removed",
+    f"""with {_cleanup_sql()} select id, book_title, author, place_name, reason from judged where reason is not null
+    union all select id, book_title, author, place_name, 'composite_place_unresolved' from split where split_status = 'unresolved'
+    union all select id, book_title, author, place_name, 'composite_place_unresolved' from base where ord in (select ord from split where split_status = 'unresolved')
+    union all select id, book_title, author, place_name, 'duplicate_title_author_place' from best where rank > 1""",
+)
 def _(spark, d):
     return cleanup.run_cleanup(untidy(spark, d))["removed"]
 
