@@ -8,9 +8,8 @@ holds a large share of all points is spread over several tasks.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -355,36 +354,33 @@ def density_grid(df: DataFrame, degrees: float) -> DataFrame:
 # ---- walking tours ----
 
 
-def _distance(a: tuple[float, float], b: tuple[float, float]) -> float:
-    p1, p2 = math.radians(a[1]), math.radians(b[1])
-    s1 = math.sin((p2 - p1) / 2)
-    s2 = math.sin(math.radians(b[0] - a[0]) / 2)
-    h = s1 * s1 + math.cos(p1) * math.cos(p2) * s2 * s2
-    return EARTH_M * 2 * math.atan2(math.sqrt(h), math.sqrt(max(1 - h, 0.0)))
+def _walk(stops: Column) -> Column:
+    """Visit order (stop, id, leg_m, total_m) over stops sorted by rank, always on to the nearest one left."""
 
+    def entry(n: Column, stop: Column, leg: Column, total: Column) -> Column:
+        return F.struct(n.alias("stop"), stop["id"].alias("id"), leg.alias("leg_m"), total.alias("total_m"))
 
-def _walk(stops: list) -> list[tuple[int, str, float, float]]:
-    """Visit order that always goes on to the nearest stop left."""
-    left = sorted(stops, key=lambda s: s["rank"])
-    here = left.pop(0)
-    total = here["distance_m"]
-    tour = [(1, here["id"], here["distance_m"], total)]
-    while left:
-        legs = [_distance((here["lon"], here["lat"]), (s["lon"], s["lat"])) for s in left]
-        best = min(range(len(left)), key=legs.__getitem__)
-        here, total = left.pop(best), total + legs[best]
-        tour.append((len(tour) + 1, here["id"], legs[best], total))
-    return tour
-
+    def on(state: Column, n: Column) -> Column:
+        here = state["here"]
+        legs = F.transform(
+            state["left"],
+            lambda s: F.struct(haversine(here["lon"], here["lat"], s["lon"], s["lat"], EARTH_M).alias("leg"), s["rank"].alias("rank"), s.alias("to")),
+        )
+        return let(
+            F.array_min(legs),
+            lambda best: F.struct(
+                F.filter(state["left"], lambda s: s["rank"] != best["rank"]).alias("left"),
+                best["to"].alias("here"),
+                F.concat(state["tour"], F.array(entry(n, best["to"], best["leg"], F.element_at(state["tour"], -1)["total_m"] + best["leg"]))).alias("tour"),
+            ),
+        )
 
-def _tours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["centre_id", "stop", "id", "leg_m", "total_m"]
-    for batch in batches:
-        rows = [
-            (centre, *leg) for centre, stops in zip(batch["centre_id"], batch["stops"]) for leg in _walk(list(stops))
-        ]
-        if rows:
-            yield pd.DataFrame(rows, columns=columns)
+    first = F.get(stops, F.lit(0))
+    begun = F.struct(
+        F.slice(stops, 2, F.size(stops)).alias("left"), first.alias("here"),
+        F.array(entry(F.lit(1), first, first["distance_m"], first["distance_m"])).alias("tour"),
+    )
+    return F.aggregate(F.sequence(F.lit(2), F.size(stops)), begun, on, lambda state: state["tour"])
 
 
 def walking_tours(near: DataFrame, reach_m: float = 5_000, stops: int = 8) -> DataFrame:
@@ -393,10 +389,9 @@ def walking_tours(near: DataFrame, reach_m: float = 5_000, stops: int = 8) -> Da
     close = top_k_per_group(near.filter(F.col("distance_m") <= reach_m).drop("rank"), ["centre_id"], ["distance_m", "ord"], stops)
     packed = (
         close.groupBy("centre_id")
-        .agg(F.collect_list(F.struct("rank", "id", "lon", "lat", "distance_m")).alias("stops"))
+        .agg(F.array_sort(F.collect_list(F.struct("rank", "id", "lon", "lat", "distance_m"))).alias("stops"))
         .filter(F.size("stops") >= 2)
     )
-    dtype = dict(near.dtypes)["centre_id"]
-    return packed.mapInPandas(_tours, f"centre_id {dtype}, stop int, id string, leg_m double, total_m double")
+    return packed.select("centre_id", F.inline(_walk(F.col("stops"))))
 
 

@@ -227,7 +227,16 @@ def _(spark, d):
     return spatial.near_point(places(spark, d), 72.8777, 19.076, 2_000_000, 20).select("ord", "id", "distance_m", "fallback")
 
 
-@query("l9_walking_tours")
+@query(
+    "l9_walking_tours",
+    f"""with recursive {_NEARBY_SQL}, s as (select centre_id, id, lon as px, lat as py, m, row_number() over (partition by centre_id order by m, ord) as r, count(*) over (partition by centre_id) as size
+      from n where rank <= 8 and m <= 700000),
+    w as (select centre_id, 1 as stop, [r] as seen, id, px, py, m as leg, m as total from s where r = 1 and size >= 2
+     union all select w.centre_id, w.stop + 1, list_append(w.seen, s.r), s.id, s.px, s.py, {_sql_distance('w.px', 'w.py', 's.px', 's.py', '6371000.0')} as leg, w.total + {_sql_distance('w.px', 'w.py', 's.px', 's.py', '6371000.0')}
+      from w join s on s.centre_id = w.centre_id and not list_contains(w.seen, s.r)
+      qualify row_number() over (partition by w.centre_id order by {_sql_distance('w.px', 'w.py', 's.px', 's.py', '6371000.0')}, s.r) = 1)
+    select centre_id, stop, id, round(leg, 3) as leg_m, round(total, 3) as total_m from w""",
+)
 def _(spark, d):
     near = spatial.nearby(places(spark, d), centres(spark, d), 700_000, 8)
     tours = spatial.walking_tours(near, reach_m=700_000)

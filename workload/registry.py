@@ -33,7 +33,8 @@ def _with_places(sql: str) -> str:
     body = sql.strip()
     if not re.search(r"\bplaces\b", body):
         return body
-    rest = re.sub(r"^with\s+", "", body, flags=re.IGNORECASE)
+    rest = re.sub(r"^with\s+(recursive\s+)?", "", body, flags=re.IGNORECASE)
     if rest != body:
-        return f"WITH places AS ({PLACES_SQL}), {rest}"
+        recursive = "RECURSIVE " if re.match(r"with\s+recursive\s", body, flags=re.IGNORECASE) else ""
+        return f"WITH {recursive}places AS ({PLACES_SQL}), {rest}"
     return f"WITH places AS ({PLACES_SQL}) {body}"
