@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomeatlas.llm.components import components
-from tomeatlas.llm.stored import Stored, with_empty_text
+from tomeatlas.llm.stored import Stored, arrow_rows, with_empty_text
 from tomeatlas.llm.words import NOT_BLANK, Words, mixed, windows, words_of
 
 SHINGLE, THRESHOLD = 5, 75
@@ -19,7 +19,9 @@ STAR_ROUNDS = 2
 #: Bytes of text for each part into which shingles are dealt.
 PART_BYTES = 8 << 20
 #: Shingles that a task deals out at once.
-SENT_SHINGLES = 1 << 20
+SENT_SHINGLES = 1 << 19
+#: Texts that come to a task's Python process at once.
+ARROW_ROWS = 2_000
 #: Ranges of shingles in which documents are counted for the suffix filter.
 RANGES = 16
 _LOW = np.uint64((1 << 48) - 1)
@@ -214,7 +216,8 @@ def shingle_sets(docs: DataFrame, k: int, threshold: int, stored: Stored) -> Dat
 
     blocks = plain.where("doc_id is not null").mapInArrow(dealt, _BLOCK_SQL)
     found = blocks.groupBy("part").applyInArrow(met, _BLOCK_SQL).groupBy("part").applyInArrow(gathered, _SET_SQL)
-    return stored.save(found, "sets")
+    with arrow_rows(spark, ARROW_ROWS):
+        return stored.save(found, "sets")
 
 
 def _may_link(a: str, b: str, threshold: int) -> Column:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are taken apart at once; a longer text is taken alone.
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 _BYTES = np.arange(256, dtype=np.uint8)
 LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
@@ -33,7 +33,9 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of an Arrow string array and the n + 1 offsets of its texts; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string()).fill_null("")
+    texts = texts.cast(pa.large_string())
+    if texts.null_count:
+        texts = texts.fill_null("")
     _, offsets, data = texts.buffers()
     if len(texts) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
