@@ -118,3 +118,17 @@ def test_language_scores(spark):
     assert language_scores(cases.no_documents(spark), F.lit(True)).count() == 0
     unknown = language_scores(docs, F.lit(None).cast("boolean")).collect()
     assert {(r.n_known, r.train_tokens) for r in unknown} == {(0, 0)}
+
+
+def test_rare_insults_count_however_many_ngrams_differ_more(spark):
+    from tomeatlas.llm.toxicity import toxicity_scores
+
+    draw = random.Random(5)
+    letters = lambda n: "".join(draw.choice("abcdefghijklm") for _ in range(n))
+    common, plain = letters(2500), [letters(60) for _ in range(120)]  # about 7,500 n-grams of all common insults
+    texts = [f"{p} {common}" for p in plain[:40]] + [f"{p} zyxwvuts" for p in plain[40:44]] + plain[44:]
+    asked = {1000: plain[44], 1001: f"{plain[44]} zyxwvuts"}
+    docs = spark.createDataFrame([*enumerate(texts), *asked.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 44)) for i in range(len(texts))], "doc_id long, toxic int")
+    score = {r.doc_id: r.score for r in toxicity_scores(docs, labels).where("doc_id >= 1000").collect()}
+    assert score[1001] > 1.1 * score[1000]

@@ -11,16 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomeatlas.llm.labelled import SAMPLE, training_rows
-from tomeatlas.llm.stored import Stored
+from tomeatlas.llm.shared_files import read_arrays, write_arrays
+from tomeatlas.llm.stored import Stored, remove
 
 SIZES = (4, 5, 6)
 BITS = 20
-#: n-grams (hash buckets) with a weight: those whose shares in the two classes differ most, in standard errors.
-SELECTED = 1 << 12
 #: Characters taken at once.
 PIECE = 1 << 20
-#: Matrix entries that a step of the fit takes at once.
-_ENTRIES = 1 << 19
+#: Matrix entries of a file, which a step of the fit takes at once.
+_ENTRIES = 1 << 22
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -52,111 +51,152 @@ def grams(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         first = last
 
 
-def _present(doc: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each bucket once per text."""
-    key = np.unique(doc.astype(np.int64) << BITS | bucket)
-    return key >> BITS, key & ((1 << BITS) - 1)
+def present(texts: list[str]) -> Iterator[np.ndarray]:
+    """Of each text, every bucket that it has, once."""
+    place = np.zeros(1 << BITS, np.int32)
+    for first, last, doc, bucket in grams(texts):
+        cuts = np.flatnonzero(np.diff(doc) < 0) + 1  # the n-grams of each size come in the order of the texts
+        sizes = [(b, np.searchsorted(d, np.arange(first, last + 1))) for d, b in zip(np.split(doc, cuts), np.split(bucket, cuts))]
+        for i in range(last - first):
+            own = np.concatenate([b[at[i] : at[i + 1]] for b, at in sizes])
+            order = np.arange(len(own), dtype=np.int32)
+            place[own] = order  # of equal buckets one stays
+            yield own[place[own] == order]
 
 
 @dataclass
 class LinearModel:
-    weights: np.ndarray  # of each bucket, zero for most
+    weights: np.ndarray  # of each bucket
     bias: float
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        z = np.full(len(texts), self.bias)
-        for _, _, doc, bucket in grams(texts):
-            some = np.flatnonzero(self.weights[bucket])
-            doc, bucket = _present(doc[some], bucket[some])
-            z += np.bincount(doc, self.weights[bucket], len(texts))
+        z = self.bias + np.fromiter((self.weights[b].sum() for b in present(texts)), float, len(texts))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray, n_cols: int, penalty: float, steps: int = 150) -> tuple[np.ndarray, float]:
-    """Weights and bias of an L2-penalised logistic regression, by accelerated gradient steps.
-
-    The sparse matrix has the value of its column at each of (rows, cols); it is gone through piece by piece.
+class Matrix:
+    """Which texts have which buckets, in files that are gone through one by one; nothing of their size is held."""
+
+    def __init__(self, paths: list[str]):
+        self.paths = paths
+
+    def pieces(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Label and number of buckets of each text, and the buckets."""
+        for path in self.paths:
+            arrays, _ = read_arrays.__wrapped__(path)  # not kept
+            yield arrays["y"], arrays["length"], arrays["bucket"]
+
+    def counts(self) -> np.ndarray:
+        """In how many texts of label 0 and 1 each bucket occurs."""
+        out = np.zeros((2, 1 << BITS))
+        for y, length, bucket in self.pieces():
+            positive = np.bincount(bucket, np.repeat(y, length), 1 << BITS)
+            out += np.stack([np.bincount(bucket, minlength=1 << BITS) - positive, positive])
+        return out
+
+    def loss(self, w: np.ndarray, b: float, values: np.ndarray) -> tuple[float, np.ndarray, float]:
+        """Sum of the logistic losses, and its gradient by w and b; each bucket stands for its value."""
+        loss, by_w, by_b, scaled = 0.0, np.zeros(1 << BITS), 0.0, values * w
+        for y, length, bucket in self.pieces():
+            z, some = np.full(len(y), b), np.flatnonzero(length)
+            if len(some):
+                z[some] += np.add.reduceat(scaled[bucket], (np.cumsum(length) - length)[some])
+            loss += float((np.logaddexp(0, z) - y * z).sum())
+            r = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
+            by_w += np.bincount(bucket, np.repeat(r, length), 1 << BITS)
+            by_b += float(r.sum())
+        return loss, values * by_w, by_b
+
+
+def logistic(matrix: Matrix, values: np.ndarray, n: int, share: float, penalty: float, steps: int = 80, near: float = 1e-4, memory: int = 6) -> tuple[np.ndarray, float]:
+    """Weights and bias of an L2-penalised logistic regression on ``n`` texts, by limited-memory BFGS.
+
+    It ends when the gradient is ``near`` times as long as at first, or after ``steps`` passes over the matrix.
     """
-    n = len(y)
-    cuts = [slice(i, i + _ENTRIES) for i in range(0, max(len(rows), 1), _ENTRIES)]
-    times = lambda w: sum(np.bincount(rows[c], values[cols[c]] * w[cols[c]], n) for c in cuts)
-    back = lambda r: values * sum(np.bincount(cols[c], r[rows[c]], n_cols) for c in cuts)
-    v, bound = np.full(n_cols, n_cols**-0.5), 0.0
-    for _ in range(12):
-        u = back(times(v))
-        bound = float(np.linalg.norm(u))
-        v = u / max(bound, 1e-12)
-    rate = 1 / (0.25 * (1.1 * bound + n) / n + penalty)
-    w, b = np.zeros(n_cols), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
-    ahead, ahead_b, t = w, b, 1.0
-    for _ in range(steps):
-        r = 1 / (1 + np.exp(-np.clip(times(ahead) + ahead_b, -30, 30))) - y
-        new, new_b = ahead - rate * (back(r) / n + penalty * ahead), ahead_b - rate * r.mean()
-        t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        ahead, ahead_b = new + (t - 1) / t_new * (new - w), new_b + (t - 1) / t_new * (new_b - b)
-        w, b, t = new, new_b, t_new
-    return w, b
-
-
-def train(docs: DataFrame, labels: DataFrame, label: str, keep, sample: int = SAMPLE, selected: int = SELECTED, smooth: float = 1.0, penalty: float = 2e-4) -> LinearModel:
-    """Fit on at most about ``sample`` labelled rows.
-
-    Spark counts in how many texts of each class an n-gram occurs; the log ratio of its smoothed shares scales it. The
-    driver gets the ratios of the ``selected`` n-grams and which of them each sampled text has.
+
+    def at(x: np.ndarray) -> tuple[float, np.ndarray]:
+        loss, by_w, by_b = matrix.loss(x[:-1], x[-1], values)
+        return loss / n + penalty / 2 * float(x[:-1] @ x[:-1]), np.append(by_w / n + penalty * x[:-1], by_b / n)
+
+    x = np.append(np.zeros(len(values)), np.log((share + 1e-3) / (1 - share + 1e-3)))
+    f, g = at(x)
+    left, small, moves = steps - 1, near * float(np.linalg.norm(g)), []
+    while left > 0 and float(np.linalg.norm(g)) > small:
+        d, used = -g, []
+        for s, u in reversed(moves):
+            used.append(float(s @ d) / float(s @ u))
+            d = d - used[-1] * u
+        d = d * (float(moves[-1][0] @ moves[-1][1]) / float(moves[-1][1] @ moves[-1][1]) if moves else 1 / max(1.0, float(np.linalg.norm(g))))
+        for s, u in moves:
+            d = d + (used.pop() - float(u @ d) / float(s @ u)) * s
+        slope, step = float(g @ d), 1.0
+        while left > 0:
+            new = x + step * d
+            f_new, g_new = at(new)
+            left -= 1
+            if f_new <= f + 1e-4 * step * slope:
+                break
+            step /= 3
+        else:
+            break
+        s, u = new - x, g_new - g
+        if float(s @ u) > 1e-12 * float(u @ u):
+            moves = [*moves, (s, u)][-memory:]
+        x, f, g = new, f_new, g_new
+    return x[:-1], float(x[-1])
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str, keep, sample: int = SAMPLE, smooth: float = 1.0, penalty: float = 2e-4) -> LinearModel:
+    """Fit on at most about ``sample`` labelled rows; every n-gram (bucket) that one of them has gets a weight.
+
+    Tasks write which buckets each text has, 4 bytes for each, in files of the shared folder. The driver goes through them
+    file by file: for the smoothed shares of the buckets in the two classes, whose log ratio scales a bucket, and
+    for each step of the fit. It holds numbers for the buckets and one file.
     """
-    stored = Stored(docs.sparkSession, "toxicity")
+    spark = docs.sparkSession
+    stored = Stored(spark, "toxicity")
     rows = stored.save(training_rows(docs, labels, label, keep, sample), "sample")
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, 1 << BITS), np.int64)
-        for batch in batches:
-            y = batch["y"].to_numpy()
-            for _, _, doc, bucket in grams(batch["text"].to_pylist()):
-                doc, bucket = _present(doc, bucket)
-                for c in (0, 1):
-                    sums[c] += np.bincount(bucket[y[doc] == c], minlength=1 << BITS)
-        some = np.flatnonzero(sums.any(0))
-        for part in np.array_split(some, max(1, len(some) // 50_000)):
-            yield pa.record_batch({"bucket": pa.array(part.astype(np.int32)), "neg": pa.array(sums[0][part]), "pos": pa.array(sums[1][part])})
-
     classes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(classes) < 2:
         stored.drop(rows)
         return LinearModel(np.zeros(1 << BITS), {(): 0.0, (0,): -4.0, (1,): 4.0}[tuple(classes)])
-    n_neg, n_pos = classes[0], classes[1]
-    few = min(12, rows.rdd.getNumPartitions())  # the sample is bounded, and each task counts all buckets
-    counts = rows.coalesce(few).mapInArrow(counted, "bucket int, neg long, pos long").groupBy("bucket").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    share = (F.col("pos") + F.col("neg")) / (n_pos + n_neg)
-    apart = F.abs(F.col("pos") / n_pos - F.col("neg") / n_neg) / F.sqrt(share * (1 - share) * (1 / n_pos + 1 / n_neg) + 1e-12)
-    top = counts.orderBy(apart.desc(), "bucket").limit(selected).toPandas()
-    bucket, pos, neg = (top[c].to_numpy() for c in ("bucket", "pos", "neg"))
-    ratio = np.log((pos + smooth) / (pos + smooth).sum()) - np.log((neg + smooth) / (neg + smooth).sum())
-    place = np.full(1 << BITS, -1, np.int32)
-    place[bucket] = np.arange(len(bucket))
-
-    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    place = stored.path("matrix")
+    folder = place if "://" in place or place.startswith("/") else place.replace("file:", "file://", 1)
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ys, buckets, held = [], [], 0
+
+        def file() -> pa.RecordBatch:
+            arrays = {"y": np.array(ys, np.int32), "length": np.array([len(b) for b in buckets], np.int64), "bucket": np.concatenate(buckets)}
+            return pa.record_batch({"path": pa.array([write_arrays(folder, "rows", arrays, {})])})
+
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            for first, last, doc, bucket in grams(texts):
-                some = np.flatnonzero(place[bucket] >= 0)
-                doc, bucket = _present(doc[some], bucket[some])
-                lists = np.split(place[bucket], np.searchsorted(doc, np.arange(first + 1, last)))
-                yield pa.record_batch({"doc_id": batch["doc_id"].slice(first, last - first), "y": batch["y"].slice(first, last - first), "has": pa.array(lists, pa.list_(pa.int32()))})
-
-    got = rows.mapInArrow(chosen, "doc_id long, y int, has array<int>").toArrow().sort_by("doc_id").combine_chunks()
+            for y, bucket in zip(batch["y"].to_pylist(), present(batch["text"].to_pylist())):
+                ys.append(y)
+                buckets.append(bucket)
+                held += len(bucket)
+                if held >= _ENTRIES:
+                    yield file()
+                    ys, buckets, held = [], [], 0
+        if ys:
+            yield file()
+
+    few = min(12, rows.rdd.getNumPartitions())  # the sample is bounded
+    matrix = Matrix(sorted(r["path"] for r in rows.coalesce(few).mapInArrow(written, "path string").collect()))
     stored.drop(rows)
-    has = got["has"].combine_chunks()
-    owner = np.repeat(np.arange(len(has), dtype=np.int32), np.diff(has.offsets.to_numpy()))
-    w, b = logistic(owner, has.flatten().to_numpy(), ratio, got["y"].to_numpy().astype(float), len(ratio), penalty)
-    weights = np.zeros(1 << BITS)
-    weights[bucket] = w * ratio
-    return LinearModel(weights, b)
+    neg, pos = matrix.counts()
+    seen = neg + pos > 0
+    ratio = np.where(seen, np.log((pos + smooth) / (pos + smooth)[seen].sum()) - np.log((neg + smooth) / (neg + smooth)[seen].sum()), 0.0)
+    n = classes[0] + classes[1]
+    w, b = logistic(matrix, ratio, n, classes[1] / n, penalty)
+    remove(spark, place)
+    return LinearModel(w * ratio, b)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, keep=None, label: str = "toxic", sample: int = SAMPLE, column: str = "score") -> DataFrame:
     """Score the whole text of every document for toxicity, 0 to 1, with a model fitted on labelled ones for which ``keep`` holds.
 
-    A null or empty text gets the score of a text without any weighted n-gram. Without labelled rows every score
+    A null or empty text gets the score of a text without any n-gram of the sample. Without labelled rows every score
     is 0.5. Rows are scored one by one, so repeated rows and an empty table need no rule; labels and ids never enter a
     score. All columns of ``docs`` are returned; one named like ``column`` is replaced.
     """
