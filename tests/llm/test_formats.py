@@ -31,6 +31,18 @@ def test_tokens_are_those_of_the_tokenizer():
         assert [*np.frombuffer(t.encode(text), "<u4"), 0] == ids_of(text)
 
 
+def test_tokens_of_every_latin_character():
+    from tokenizers import Tokenizer
+
+    from tomeatlas.llm.tokens import WordTokenizer
+
+    path = vocabulary("word_bpe_49k.json")
+    t, whole = WordTokenizer(path), Tokenizer.from_file(path)
+    texts = [text for c in map(chr, range(0x250)) for text in (c, f"a{c}b", f"?{c}1 {c}{c} x")]
+    wrong = [x for x in texts if np.frombuffer(t.encode(x), "<u4").tolist() != whole.encode(x, add_special_tokens=False).ids]
+    assert not wrong
+
+
 def test_pack(spark):
     from tomeatlas.llm.packing import pack
 

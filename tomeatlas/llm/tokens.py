@@ -9,8 +9,10 @@ from functools import cache
 #: Characters whose classes are the same in every version of Unicode; texts with others go to the tokenizer whole.
 _LATIN = re.compile(r"[\x00-\u024f]*")
 _LETTERS, _NUMBERS = ("".join(c for c in map(chr, range(0x250)) if unicodedata.category(c)[0] == kind) for kind in "LN")
+#: The tokenizer's blanks among them; Python's own class has U+001C to U+001F besides.
+_BLANKS = r"\x09-\x0d\x20\x85\xa0"
 #: The tokenizer's own rule for pieces (a fixed value that must match the tokenizer file).
-PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
+PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_BLANKS}{_LETTERS}{_NUMBERS}]+")
 #: Their ids stand for these strings even in ordinary text.
 _SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
 #: Most words kept in memory by one task process.
