@@ -120,6 +120,36 @@ def test_language_scores(spark):
     assert {(r.n_known, r.train_tokens) for r in unknown} == {(0, 0)}
 
 
+def test_language_scores_of_higher_orders(spark):
+    from tomeatlas.llm.language_model import language_scores
+
+    draw = random.Random(3)
+    texts = [" ".join(draw.choice("abcdefg") for _ in range(draw.randrange(40))) for _ in range(60)]
+    tokens = [[None, *t.split(), None] for t in texts]
+    for order in (3, 4):
+        count, kinds, total = Counter(), defaultdict(set), Counter()
+        for w in tokens[:50]:
+            for i in range(1, len(w)):
+                for n in range(1, min(order, i + 1) + 1):
+                    g = tuple(w[i - n + 1 : i + 1])
+                    count[g] += 1
+                    total[g[:-1]] += 1
+                    kinds[g[:-1]].add(g[-1])
+
+        def p(g):
+            if len(g) == 1:
+                return (count[g] + 1) / (total[()] + len(kinds[()]) + 1)
+            k = len(kinds[g[:-1]])
+            return (count[g] + k * p(g[1:])) / (total[g[:-1]] + k) if k else p(g[1:])
+
+        got = language_scores(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), F.col("doc_id") < 50, order=order).collect()
+        assert len(got) == len(texts)
+        for r in got:
+            w = tokens[r.doc_id]
+            score = sum(math.log10(p(tuple(w[max(0, i - order + 1) : i + 1]))) for i in range(1, len(w)))
+            assert abs(r.score - score) < 0.02 * (len(w) - 1), (order, r.doc_id)
+
+
 def test_rare_insults_count_however_many_ngrams_differ_more(spark):
     from tomeatlas.llm.toxicity import toxicity_scores
 

@@ -1,4 +1,4 @@
-"""Bigram language model in an Elias-Fano trie of memory-mapped files."""
+"""n-gram language model in an Elias-Fano trie of memory-mapped files."""
 
 from __future__ import annotations
 
@@ -17,6 +17,8 @@ from tomeatlas.llm.words import NOT_BLANK, Words, words_of
 
 #: Stands for the end of a text, and for what comes before its first word.
 END = np.uint64(0xA0761D6478BD642F)
+#: Words of the longest n-grams, if not named.
+ORDER = 2
 #: Bytes of training text for each part of the trie.
 PART_BYTES = 8 << 20
 #: Different keys that a task holds before it sends their counts.
@@ -83,13 +85,31 @@ def _blocks(part: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"part": pa.array([int(part[a])], pa.int32()), **{name: pa.array([_planes(c[a:b])], pa.binary()) for name, c in zip("xyz", columns)}})
 
 
+def _coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A byte for each number, and the 256 values that the bytes stand for."""
+    edges = np.unique(np.quantile(x, np.linspace(0, 1, 257)[1:-1]))
+    codes = np.searchsorted(edges, x).astype(np.uint8)
+    filled = np.bincount(codes, minlength=256)
+    return codes, (np.bincount(codes, weights=x, minlength=256) / np.maximum(filled, 1)).astype(np.float64)
+
+
+def _contexts(ids: np.ndarray, doc: np.ndarray, length: int) -> list[np.ndarray]:
+    """Of each token the ids of the last ``length`` tokens, itself included, oldest first; -1 before the END that a text follows.
+
+    ``ids`` begins with that of END, then come the tokens.
+    """
+    n = len(doc)
+    pos = np.arange(n) - np.searchsorted(doc, doc)
+    return [np.where(pos + 1 >= back, np.concatenate([np.full(max(back - 1, 0), -1), ids])[:n] if back else ids[1:], -1) for back in range(length - 1, -1, -1)]
+
+
 @dataclass
 class Model:
     """Places of the files and the few numbers that a lookup needs."""
 
     words: list[str]  # by part of the word's hash; "" for an empty part
     first_id: np.ndarray  # of each part, and the number of words at the end
-    followers: list[str]  # by part of the context's hash
+    levels: list[list[str]]  # for n-grams of 2, 3, ... words, by part of the first word's hash; "" for an empty part
     tokens: int  # in the training texts
 
     @property
@@ -124,26 +144,61 @@ class Model:
         """Add-one probability of words by their counts; all unknown words share one."""
         return (counts + 1) / (self.tokens + int(self.first_id[-1]) + 1)
 
-    def after(self, context: np.ndarray, word: np.ndarray, n_context: np.ndarray, n_word: np.ndarray) -> np.ndarray:
-        """log10 probability of words after contexts (ids, -1 if unknown)."""
-        p_word = self.alone(n_word)
-        out = np.log10(p_word)
-        part = np.where(context >= 0, np.searchsorted(self.first_id, context, side="right") - 1, -1)
+    def by_part(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each part with the places of the ids in it; -1 is left out."""
+        part = np.where(ids >= 0, np.searchsorted(self.first_id, ids, side="right") - 1, -1)
         order = np.argsort(part, kind="stable")
         edge = np.searchsorted(part[order], np.arange(self.parts + 1))
         for p in np.flatnonzero(np.diff(edge)):
-            at = order[edge[p] : edge[p + 1]]
-            arrays, facts = read_arrays(self.followers[p])
-            starts = EliasFano(facts["contexts"] + 1, facts["start_bits"], arrays["start_low"], arrays["start_high"], arrays["start_ones"])
-            grams = EliasFano(facts["grams"], facts["gram_bits"], arrays["gram_low"], arrays["gram_high"], arrays["gram_ones"])
-            own = context[at] - self.first_id[p]
-            kinds = (starts[own + 1] - starts[own]).astype(np.int64)
-            out[at] += np.log10(kinds / (n_context[at] + kinds))
-            known = np.flatnonzero(word[at] >= 0)
-            # the followers of a context are a stretch of the level, searched relative to that context
-            place, found = grams.find(own[known].astype(np.uint64) * np.uint64(self.first_id[-1]) + word[at][known].astype(np.uint64))
-            hit = at[known[found]]
-            out[hit] = arrays["values"][arrays["codes"][place[found]]]
+            yield int(p), order[edge[p] : edge[p + 1]]
+
+    def level(self, length: int, p: int) -> tuple[dict[str, np.ndarray], EliasFano, EliasFano] | None:
+        """Arrays of a part's n-grams, starts of the children of each entry one level above, and the entries."""
+        if not self.levels[length - 2][p]:
+            return None
+        arrays, facts = read_arrays(self.levels[length - 2][p])
+        of = lambda name, n: EliasFano(n, facts[f"{name}_bits"], arrays[f"{name}_low"], arrays[f"{name}_high"], arrays[f"{name}_ones"])
+        return arrays, of("start", facts["contexts"] + 1), of("gram", facts["grams"])
+
+    def child(self, grams: EliasFano, place: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Places of words under entries of the level above, -1 if there are none.
+
+        The children of an entry are a stretch of the level, searched relative to that entry.
+        """
+        out = np.full(len(place), -1, np.int64)
+        known = np.flatnonzero((place >= 0) & (word >= 0))
+        at, found = grams.find(place[known].astype(np.uint64) * np.uint64(self.first_id[-1]) + word[known].astype(np.uint64))
+        out[known[found]] = at[found]
+        return out
+
+    def place(self, p: int, columns: list[np.ndarray]) -> np.ndarray:
+        """Places of n-grams, which begin in part ``p``, in the level of their length; -1 if unknown."""
+        place = columns[0] - self.first_id[p]
+        for length, word in enumerate(columns[1:], 2):
+            own = self.level(length, p)
+            place = self.child(own[2], place, word) if own else np.full(len(place), -1, np.int64)
+        return place
+
+    def log_p(self, columns: list[np.ndarray], n_word: np.ndarray) -> np.ndarray:
+        """log10 probability of the last words after the others (ids, -1 if unknown), level by level from the shortest context."""
+        out = np.log10(self.alone(n_word))
+        for length in range(2, len(columns) + 1):
+            used = columns[-length:]
+            for p, at in self.by_part(used[0]):
+                own = self.level(length, p)
+                if own is None:
+                    continue
+                arrays, starts, grams = own
+                place = self.place(p, [c[at] for c in used[:-1]])
+                at, place = at[place >= 0], place[place >= 0]
+                kinds = (starts[place + 1] - starts[place]).astype(np.int64)
+                at, place, kinds = at[kinds > 0], place[kinds > 0], kinds[kinds > 0]
+                if length == 2:
+                    out[at] += np.log10(kinds / (read_arrays(self.words[p])[0]["count"][place] + kinds))
+                else:
+                    out[at] += arrays["back_values"][arrays["back_codes"][place]]
+                under = self.child(grams, place, used[-1][at])
+                out[at[under >= 0]] = arrays["values"][arrays["codes"][under[under >= 0]]]
         return out
 
 
@@ -154,15 +209,17 @@ def _ids_of(model: Model, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[back], model.counts(ids)[back]
 
 
-def train(docs: DataFrame, keep: Column, part_bytes: int = PART_BYTES) -> Model:
-    """Count words and word pairs of the texts for which ``keep`` holds, and write both levels of the trie.
+def train(docs: DataFrame, keep: Column, order: int = ORDER, part_bytes: int = PART_BYTES) -> Model:
+    """Count words and n-grams of up to ``order`` words of the texts for which ``keep`` holds, and write the levels of the trie.
 
-    Each level is dealt into parts by the hash of the (context) word; their number grows with the text. Tasks sum
-    counts before they send them, sorted and in blocks. A part's task writes one file: the sorted word hashes and counts; or, for the
-    contexts of the part, Elias-Fano coded starts of their followers, Elias-Fano coded followers (each context's ids raised
-    by the context's own range, so that the level is monotone), and a byte for each that names one of 256 values
-    of its smoothed log10 probability. The smoothing is Witten and Bell's: with n occurrences and k different followers of
-    the context, p = (count + k * p_alone) / (n + k); a follower not seen has k * p_alone / (n + k).
+    Each level is dealt into parts by the hash of the n-gram's first word; their number grows with the text. Tasks sum
+    counts before they send them, sorted and in blocks. A part's task writes one file: the sorted word hashes and counts; or, for
+    a further level, Elias-Fano coded starts of the children of each entry one level above, Elias-Fano coded entries
+    (parent's place * words + word, so that the level is monotone), and a byte for each that names one of 256 values
+    of its smoothed log10 probability; from 3 words on also such a byte for the share that each context leaves to words not seen.
+    The smoothing is Witten and Bell's, level by level: with n occurrences and k different followers of the context,
+    p = (count + k * p_shorter) / (n + k); a follower not seen has k * p_shorter / (n + k). An n-gram does not reach
+    beyond the END before its text, so the first words of a text have shorter contexts.
     """
     spark = docs.sparkSession
     folder = Stored(spark, "model").path("trie")
@@ -191,35 +248,48 @@ def train(docs: DataFrame, keep: Column, part_bytes: int = PART_BYTES) -> Model:
         path = write_arrays(folder, "words", {"hash": h, "count": c}, {})
         yield pa.RecordBatch.from_pylist([{"part": key[0].as_py(), "path": path, "n": len(h), "tokens": int(c.sum())}], _WRITTEN)
 
-    schema = "part int, x binary, y binary, z binary"
     two = texts.mapInArrow(counted, "part int, x binary, y binary")
     got = two.groupBy("part").applyInArrow(words_written, _WRITTEN_SQL).collect()  # a row for each part
     size, paths = np.zeros(parts, np.int64), [""] * parts
     for r in got:
         size[r["part"]], paths[r["part"]] = r["n"], r["path"]
     model = Model(paths, np.concatenate([[0], np.cumsum(size)]), [], sum(r["tokens"] for r in got))
-    if model.first_id[-1] >= 1 << 32:
-        raise ValueError("more than 2**32 different words")
+    for length in range(2, order + 1):
+        _add_level(model, texts, folder, size, length)
+    return model
+
+
+def _add_level(model: Model, texts: DataFrame, folder: str, size: np.ndarray, length: int) -> None:
+    """Count and write the n-grams of ``length`` words. ``size`` has each part's entries one level above, and gets those of this level."""
+    above, parts = np.concatenate([[0], np.cumsum(size)]), model.parts
+    if above[-1] >= 1 << 32:
+        raise ValueError(f"more than 2**32 different n-grams of {length - 1} words")
+    contexts_of = size.copy()
 
-    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Held()
 
         def sent():
             key, c = held.taken()
             context = (key >> np.uint64(32)).astype(np.int64)
-            part = np.searchsorted(model.first_id, context, side="right") - 1
-            own = (context - model.first_id[part]).astype(np.uint32)
+            part = np.searchsorted(above, context, side="right") - 1
+            own = (context - above[part]).astype(np.uint32)
             yield from _blocks(part, own, (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), c.astype(np.uint32))
 
         for batch in batches:
             for w in words_of(batch["text"], NOT_BLANK):
-                ids, _ = _ids_of(model, np.concatenate([[END], _sequence(w)[0]]))
-                ids = ids.astype(np.uint64)
-                if held.add((ids[:-1] << np.uint64(32)) | ids[1:]):
+                tokens, doc = _sequence(w)
+                ids, _ = _ids_of(model, np.concatenate([[END], tokens]))
+                columns = _contexts(ids, doc, length)
+                context = np.full(len(tokens), -1, np.int64)
+                for p, at in model.by_part(columns[0]):
+                    context[at] = above[p] + model.place(p, [c[at] for c in columns[:-1]])
+                whole = context >= 0
+                if held.add((context[whole].astype(np.uint64) << np.uint64(32)) | columns[-1][whole].astype(np.uint64)):
                     yield from sent()
         yield from sent()
 
-    def pairs_written(key: tuple, blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def written(key: tuple, blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = key[0].as_py()
         keys, counts = [], []
         for b in blocks:
@@ -228,32 +298,38 @@ def train(docs: DataFrame, keep: Column, part_bytes: int = PART_BYTES) -> Model:
                 counts.append(_from_planes(r["z"], np.uint32).astype(np.int64))
         k, c = _summed(keys, counts)
         own, word = (k >> np.uint64(32)).astype(np.int64), (k & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        vocabulary, contexts = int(model.first_id[-1]), int(size[p])
+        vocabulary, contexts = int(model.first_id[-1]), int(contexts_of[p])
         kinds = np.bincount(own, minlength=contexts)
         starts = np.concatenate([[0], np.cumsum(kinds)]).astype(np.uint64)
         n_context = np.bincount(own, weights=c, minlength=contexts)
-        log_p = np.log10((c + kinds[own] * model.alone(model.counts(word))) / (n_context[own] + kinds[own])).astype(np.float32)
-        edges = np.unique(np.quantile(log_p, np.linspace(0, 1, 257)[1:-1]))
-        codes = np.searchsorted(edges, log_p).astype(np.uint8)
-        filled = np.bincount(codes, minlength=256)
-        values = (np.bincount(codes, weights=log_p, minlength=256) / np.maximum(filled, 1)).astype(np.float64)
+        shorter, place = [word], own  # the n-grams without their first words
+        for above_length in range(length - 1, 1, -1):
+            entry = model.level(above_length, p)[2][place]
+            shorter.insert(0, (entry % np.uint64(vocabulary)).astype(np.int64))
+            place = (entry // np.uint64(vocabulary)).astype(np.int64)
+        p_shorter = 10 ** model.log_p(shorter, model.counts(word))
+        codes, values = _coded(np.log10((c + kinds[own] * p_shorter) / (n_context[own] + kinds[own])).astype(np.float32))
         first, grams = EliasFano.of(starts, len(k)), EliasFano.of(own.astype(np.uint64) * np.uint64(vocabulary) + word.astype(np.uint64), contexts * vocabulary)
         arrays = {**{f"start_{n}": a for n, a in first.arrays().items()}, **{f"gram_{n}": a for n, a in grams.arrays().items()}, "codes": codes, "values": values}
-        path = write_arrays(folder, "pairs", arrays, {"contexts": contexts, "grams": len(k), "start_bits": first.low_bits, "gram_bits": grams.low_bits})
+        if length > 2:
+            share = np.log10(np.where(kinds > 0, kinds / np.maximum(n_context + kinds, 1), 1.0)).astype(np.float32)
+            arrays["back_codes"], arrays["back_values"] = _coded(share)
+        path = write_arrays(folder, f"grams{length}", arrays, {"contexts": contexts, "grams": len(k), "start_bits": first.low_bits, "gram_bits": grams.low_bits})
         yield pa.RecordBatch.from_pylist([{"part": p, "path": path, "n": len(k), "tokens": int(c.sum())}], _WRITTEN)
 
-    model.followers = [""] * parts
-    for r in texts.mapInArrow(paired, schema).groupBy("part").applyInArrow(pairs_written, _WRITTEN_SQL).collect():
-        model.followers[r["part"]] = r["path"]
-    return model
+    paths = [""] * parts
+    size[:] = 0
+    for r in texts.mapInArrow(counted, "part int, x binary, y binary, z binary").groupBy("part").applyInArrow(written, _WRITTEN_SQL).collect():
+        size[r["part"]], paths[r["part"]] = r["n"], r["path"]
+    model.levels.append(paths)
 
 
 _WRITTEN = pa.schema([("part", pa.int32()), ("path", pa.string()), ("n", pa.int64()), ("tokens", pa.int64())])
 _WRITTEN_SQL = "part int, path string, n long, tokens long"
 
 
-def language_scores(docs: DataFrame, keep: Column) -> DataFrame:
-    """Score every text with a model of the texts for which ``keep`` holds (null: does not).
+def language_scores(docs: DataFrame, keep: Column, order: int = ORDER) -> DataFrame:
+    """Score every text with a model of n-grams of up to ``order`` words, from the texts for which ``keep`` holds (null: does not).
 
     Words are stretches without ASCII blanks, A to Z in lower case; a text has one more token, its end, and its first word
     follows an end. A null or empty text is its end alone. If nothing is kept for training every token is unknown.
@@ -262,16 +338,14 @@ def language_scores(docs: DataFrame, keep: Column) -> DataFrame:
     Returns doc_id, n_tokens, n_known, train_tokens, base_score (add-one unigrams), score (the model's log10
     probability).
     """
-    model = train(docs, F.coalesce(keep, F.lit(False)))
+    model = train(docs, F.coalesce(keep, F.lit(False)), order)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in words_of(batch["text"], NOT_BLANK):
                 tokens, doc = _sequence(w)
                 ids, counts = _ids_of(model, np.concatenate([[END], tokens]))
-                pair = np.stack([ids[:-1], ids[1:]])
-                key, first, back = np.unique((pair[0] + 1).astype(np.uint64) << np.uint64(32) | (pair[1] + 1).astype(np.uint64), return_index=True, return_inverse=True)
-                log_p = model.after(pair[0][first], pair[1][first], counts[:-1][first], counts[1:][first])[back]
+                log_p = model.log_p(_contexts(ids, doc, order), counts[1:])
                 n = len(w.count)
                 sums = lambda x: np.bincount(doc, weights=x, minlength=n)  # noqa: E731, B023
                 yield pa.record_batch({

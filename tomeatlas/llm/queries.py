@@ -170,7 +170,7 @@ def op6_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
 
     docs = table(spark, folder, "documents").select("doc_id", "text")
     held_out = F.coalesce(fold("doc_id", 7) == 2, F.lit(False))
-    scored = language_scores(docs, fold("doc_id", 7) != 2)
+    scored = language_scores(docs, fold("doc_id", 7) != 2, order=3)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
