@@ -270,6 +270,8 @@ def similar_documents(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESH
     Null and empty texts have no shingles and link with nothing, nor do rows without doc_id. Rows that repeat a doc_id are
     joined as its component. An empty table gives no rows. Further columns are not read.
 
+    Links are neither listed nor counted: pairs that are already connected are never verified.
+
     Returns doc_id, n_shingles, component_id for every row.
     """
     stored = Stored(docs.sparkSession, "jaccard")
