@@ -138,3 +138,7 @@ def packed_ids(texts: dict, capacity: int = 2048) -> dict:
         n = len(t.encode(text or "", add_special_tokens=False).ids) + 1
         out |= {(i, k // capacity): min(capacity, n - k) for k in range(0, n, capacity)}
     return out
+
+
+def words_as_written(text):
+    return re.findall(r"[^\x20\x09-\x0d]+", text)

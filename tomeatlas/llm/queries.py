@@ -180,3 +180,89 @@ def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
     cleaned = without_repeated_lines(table(spark, folder, "documents"))
     return cleaned.select("doc_id", "n_lines", "n_kept", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
+@query(
+    "op11_importance_resampling",
+    r"""
+WITH crc AS MATERIALIZED (
+  SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v FROM range(256) r(i))),
+texts AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+w AS MATERIALIZED (
+  SELECT side, id, w, count(*) AS n FROM (
+    SELECT side, id, unnest(list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS w FROM texts)
+  GROUP BY ALL),
+b AS MATERIALIZED (
+  SELECT w, xor(list_reduce(list_transform(range(1, octet_length(encode(w)) + 1), lambda j: ('0x' || substr(hex(encode(w)), 2 * j - 1, 2))::BIGINT), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8), 4294967295), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT w FROM w), crc),
+c AS (SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0) AS s, coalesce(sum(n) FILTER (side = 'b'), 0) AS t FROM w JOIN b USING (w) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (S_ALL + 10000)) / ((s + 1)::DOUBLE * (T_ALL + 10000))))::BIGINT AS gain FROM c, (SELECT sum(s)::DOUBLE AS S_ALL, sum(t)::DOUBLE AS T_ALL FROM c)),
+d AS (SELECT id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM w JOIN b USING (w) JOIN g USING (bucket) WHERE side = 'd' GROUP BY id),
+x AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM documents LEFT JOIN d ON id = doc_id),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM x WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= (SELECT count(*) FROM r) * 10 // 100 THEN r END AS rank FROM x LEFT JOIN r USING (doc_id)
+""",
+)
+def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    from tomeatlas.llm.resampling import importance_resample
+
+    return importance_resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query(
+    "op12_quality_rules",
+    r"""
+WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM t),
+win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+rep AS (
+  SELECT doc_id, count(DISTINCT i + j) AS n FROM (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS times FROM win) WHERE times > 1), range(3) r(j) GROUP BY doc_id),
+ln AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+f AS (
+  SELECT doc_id, lang, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper,
+    len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM t JOIN w USING (doc_id) JOIN ln USING (doc_id) LEFT JOIN rep USING (doc_id)),
+b AS MATERIALIZED (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
+v AS MATERIALIZED (
+  SELECT doc_id, lang, base_failed, r.rule, least(r.value, 5000) AS value
+  FROM (SELECT *, unnest([
+    {'rule': 'symbols', 'value': 1000 * n_symbols // greatest(word_chars, 1)}, {'rule': 'capitals', 'value': 1000 * n_upper // greatest(word_chars, 1)},
+    {'rule': 'repeated_lines', 'value': 1000 * n_dup_lines // greatest(n_lines, 1)}, {'rule': 'repeated_words', 'value': 1000 * n_repeat_words // greatest(n_words, 1)},
+    {'rule': 'long_words', 'value': 100 * word_chars // greatest(n_words, 1)}]) AS r FROM b)),
+crc AS MATERIALIZED (
+  SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v FROM range(256) r(i))),
+lab AS (
+  SELECT doc_id, max(quality) AS label, any_value(xor(list_reduce(list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda j: ascii(substr(doc_id::VARCHAR, j, 1))::BIGINT), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8), 4294967295), 4294967295) % 4 = 0) AS proposes
+  FROM labels, crc WHERE quality IN (0, 1) AND doc_id IS NOT NULL GROUP BY doc_id),
+n AS (
+  SELECT lang, rule, value, count(*) FILTER (label = 0 AND proposes) AS bad, count(*) FILTER (label = 1 AND proposes) AS good, count(*) FILTER (label = 1 AND NOT proposes) AS tested
+  FROM v JOIN lab USING (doc_id) WHERE NOT base_failed GROUP BY ALL),
+s AS (
+  SELECT lang, rule, value, bad > 0 AS candidate, sum(bad) OVER d AS bad, sum(good) OVER d AS good, sum(tested) OVER d AS tested, sum(bad) OVER a AS all_bad, sum(good) OVER a AS all_good, sum(tested) OVER a AS all_tested
+  FROM n WINDOW d AS (PARTITION BY lang, rule ORDER BY value DESC ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY lang, rule)),
+c AS MATERIALIZED (SELECT *, bad / all_bad - 10 * good / greatest(all_good, 1) AS worth FROM s WHERE candidate AND all_tested > 0),
+p AS (
+  SELECT *, CASE WHEN tested >= all_tested THEN 1 ELSE list_sum(list_transform(range(0, tested::BIGINT + 1), lambda k: exp(lgamma(all_tested + 1) - CASE WHEN k > 0 THEN lgamma(k + 1) ELSE 0 END - lgamma(all_tested - k + 1) + k * ln(0.01) + (all_tested - k) * ln(0.99)))) END AS p_value FROM c WHERE worth > 0),
+cut AS (SELECT lang, rule, arg_max(value, (round(worth, 9), value)) AS cutoff FROM p WHERE p_value <= 0.05 / (SELECT count(DISTINCT (lang, rule)) FROM c) GROUP BY lang, rule),
+broken AS (SELECT doc_id, list(v.rule) AS broken FROM v JOIN cut ON v.rule = cut.rule AND v.lang IS NOT DISTINCT FROM cut.lang AND value >= cutoff GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND broken IS NULL AS kept FROM b LEFT JOIN broken USING (doc_id)
+""",
+)
+def op12_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    from tomeatlas.llm.quality_rules import judged_documents
+
+    judged = judged_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op13_cross_tokenizer_alignment")
+def op13_cross_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    from tomeatlas.llm.cross_tokens import linked_tokens
+
+    linked = linked_tokens(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    return linked.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
