@@ -81,10 +81,22 @@ def test_elias_fano():
         v = np.sort(rng.choice(universe, n, replace=universe < 10**6 and False)).astype(np.uint64) if n else np.zeros(0, np.uint64)
         ef = EliasFano.of(v, universe)
         assert (ef[np.arange(n)] == v).all()
-        x = rng.integers(0, universe, 500).astype(np.uint64)
-        place, found = ef.find(np.concatenate([x, v]))
-        assert (found == np.isin(np.concatenate([x, v]), v)).all()
-        assert (v[place[found]] == np.concatenate([x, v])[found]).all()
+
+
+def test_successor():
+    from tomeatlas.llm.elias_fano import Packed
+
+    rng = np.random.default_rng(2)
+    for largest in (1, 200, 70_000, 2**40):
+        v = rng.integers(0, largest + 1, 3000)
+        edge = np.sort(rng.integers(0, 3000, 50))
+        for a, b in zip(edge[:-1], edge[1:]):
+            v[a:b] = np.sort(v[a:b])
+        packed = Packed.of(v, largest)
+        assert (packed[np.arange(3000)] == v).all()
+        of = rng.integers(0, 49, 800)
+        lo, hi, x = edge[of], edge[of + 1], rng.integers(0, largest + 1, 800)
+        assert (packed.successor(lo, hi, x) == [a + np.searchsorted(v[a:b], y) for a, b, y in zip(lo, hi, x)]).all()
 
 
 def test_language_scores(spark):
@@ -103,7 +115,7 @@ def test_language_scores(spark):
             for a, b in zip([None, *w], w):
                 kinds[a].add(b)
     total, distinct = sum(one.values()), len(one)
-    got = language_scores(docs, fold("doc_id", 7) != 2).collect()
+    got = language_scores(docs, fold("doc_id", 7) != 2, order=2).collect()
     assert len(got) == len(texts)
     for r in got:
         w = tokens[r.doc_id]
@@ -126,7 +138,7 @@ def test_language_scores_of_higher_orders(spark):
     draw = random.Random(3)
     texts = [" ".join(draw.choice("abcdefg") for _ in range(draw.randrange(40))) for _ in range(60)]
     tokens = [[None, *t.split(), None] for t in texts]
-    for order in (3, 4):
+    for order, part_bytes in ((2, 60), (3, 1 << 20), (3, 200), (4, 60)):  # small parts: common words get parts of their own
         count, kinds, total = Counter(), defaultdict(set), Counter()
         for w in tokens[:50]:
             for i in range(1, len(w)):
@@ -142,7 +154,7 @@ def test_language_scores_of_higher_orders(spark):
             k = len(kinds[g[:-1]])
             return (count[g] + k * p(g[1:])) / (total[g[:-1]] + k) if k else p(g[1:])
 
-        got = language_scores(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), F.col("doc_id") < 50, order=order).collect()
+        got = language_scores(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), F.col("doc_id") < 50, order, part_bytes).collect()
         assert len(got) == len(texts)
         for r in got:
             w = tokens[r.doc_id]

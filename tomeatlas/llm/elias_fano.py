@@ -56,29 +56,35 @@ class EliasFano:
         at = word * 64 + _select_in_word(self.high[word], i - self.ones[word])
         return ((at - i).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(i)
 
-    def _ones_before_zero(self, k: np.ndarray) -> np.ndarray:
-        """How many values have a high part of at most ``k``; 0 for -1."""
-        zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
-        word = np.searchsorted(zeros, np.maximum(k, 0), side="right") - 1
-        at = word * 64 + _select_in_word(~self.high[word], np.maximum(k, 0) - zeros[word])
-        return np.where(k < 0, 0, at - k)
-
-    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place of the first value not less than ``x`` among those of its high part, and whether it is ``x``."""
-        high = (x >> np.uint64(self.low_bits)).astype(np.int64)
-        want = x & np.uint64((1 << self.low_bits) - 1)
-        lo, hi = self._ones_before_zero(high - 1), self._ones_before_zero(high)
-        end = hi.copy()
+    def arrays(self) -> dict[str, np.ndarray]:
+        return {"low": self.low, "high": self.high, "ones": self.ones}
+
+
+class Packed:
+    """Whole numbers in as few whole bytes each as the largest needs."""
+
+    def __init__(self, width: int, raw: np.ndarray):
+        self.width, self.raw = width, raw
+        self.mask = np.uint64((1 << 8 * width) - 1)
+        self.eight = np.ndarray(shape=(len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,))
+
+    @classmethod
+    def of(cls, values: np.ndarray, largest: int) -> Packed:
+        width = max(1, (int(largest).bit_length() + 7) // 8)
+        flat = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].ravel()
+        return cls(width, np.concatenate([flat, np.zeros(8, np.uint8)]))
+
+    def __getitem__(self, i: np.ndarray) -> np.ndarray:
+        return (self.eight[i * self.width] & self.mask).astype(np.int64)
+
+    def successor(self, lo: np.ndarray, hi: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """First place from ``lo`` on whose number is not less than ``x``, or ``hi``; numbers ascend between the two."""
+        lo, hi = lo.copy(), hi.copy()
         open_ = np.flatnonzero(lo < hi)
         while len(open_):
-            mid = (lo[open_] + hi[open_]) // 2
-            less = self._low(mid) < want[open_]
+            mid = (lo[open_] + hi[open_]) >> 1
+            less = self[mid] < x[open_]
             lo[open_[less]] = mid[less] + 1
             hi[open_[~less]] = mid[~less]
             open_ = open_[lo[open_] < hi[open_]]
-        found = lo < end
-        found[found] = self._low(lo[found]) == want[found]
-        return lo, found
-
-    def arrays(self) -> dict[str, np.ndarray]:
-        return {"low": self.low, "high": self.high, "ones": self.ones}
+        return lo

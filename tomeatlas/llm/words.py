@@ -79,12 +79,12 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return h
 
 
-def words_of(texts: pa.Array, in_word: np.ndarray) -> Iterator[Words]:
-    """Words of each text, lower-casing A to Z, in runs of about PIECE bytes."""
+def words_of(texts: pa.Array, in_word: np.ndarray, piece: int = PIECE) -> Iterator[Words]:
+    """Words of each text, lower-casing A to Z, in runs of about ``piece`` bytes."""
     data, at = utf8(texts)
     n, first = len(at) - 1, 0
     while first < n:
-        last = max(int(np.searchsorted(at, at[first] + PIECE, side="right")) - 1, first + 1)
+        last = max(int(np.searchsorted(at, at[first] + piece, side="right")) - 1, first + 1)
         run, off = LOWER[data[at[first] : at[last]]], at[first : last + 1] - at[first]
         inside = in_word[run]
         cut = np.zeros(len(run) + 1, bool)
