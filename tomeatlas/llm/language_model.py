@@ -21,13 +21,13 @@ END = np.uint64(0xA0761D6478BD642F)
 #: Words of the longest n-grams, if not named.
 ORDER = 3
 #: Bytes of training text for each part of the trie.
-PART_BYTES = 24 << 20
+PART_BYTES = 12 << 20
 #: Bytes of training text for each occurrence that one part holds at most; a word with more is dealt over several parts.
 TOKEN_BYTES = 6
 #: Bytes of text that are taken apart and looked up at once.
-RUN = 6 << 20
+RUN = 4 << 20
 #: Different words that a task holds before it sends their counts.
-HELD = 2_000_000
+HELD = 1_000_000
 
 _LOW = np.uint64(0xFFFFFFFF)
 _32 = np.uint64(32)
