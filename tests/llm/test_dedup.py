@@ -33,6 +33,40 @@ def test_exact_duplicates_of_repeated_rows_and_no_rows(spark):
     assert exact_duplicates(cases.no_documents(spark)).count() == 0
 
 
+def test_exact_duplicates_by_shuffle_with_short_slices_and_clashing_names(spark, monkeypatch):
+    import pytest
+
+    from tomeatlas.llm import radix_dedup, stored
+
+    docs = cases.documents(spark).withColumns({c: F.lit("mine") for c in (*radix_dedup.RESULT, "rest", "members", "ended")})
+    want = cases.exact_groups(pairs(docs))
+    for rows, first, growth in ((0, 1, 3), (10**6, 2, 2), (0, 32, 8)):
+        monkeypatch.setattr(stored, "BROADCAST_ROWS", rows)
+        got = radix_dedup.exact_duplicates(docs, docs.columns, first, growth, nested=True).collect()
+        assert {r.row.doc_id: (r.dup_keep_id, r.dup_size, r.dup_kept, r.dup_sha256) for r in got} == want
+        assert {(r.row.dup_kept, r.row.members) for r in got} == {("mine", "mine")}
+    with pytest.raises(ValueError, match="dup_kept"):
+        radix_dedup.exact_duplicates(docs, docs.columns)
+
+
+def test_lone_rows_are_spread(spark, monkeypatch):
+    """Nine in ten rows are alone in their part: no partition of the result has many more rows than the others."""
+    from tomeatlas.llm import radix_dedup, stored
+
+    texts = [f"{i} text {i * i}" for i in range(1800)] + ["same text"] * 200
+    docs = cases.documents(spark, texts).repartition(8)
+    monkeypatch.setattr(stored, "BROADCAST_ROWS", 0)
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = radix_dedup.exact_duplicates(docs)
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        assert found.where("dup_size = 200").count() == 200
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+    assert max(sizes) <= 2.5 * 2000 / 4
+
+
 def test_similar_documents(spark):
     from tomeatlas.llm.jaccard_join import similar_documents
 

@@ -61,3 +61,26 @@ def test_no_rows_go_through(spark, tmp_path):
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("false")
     for _, stage in c.STAGES:
         assert stage(spark, docs, folder).count() == 0
+
+
+def test_rows_without_doc_id_or_that_repeat_one(spark, tmp_path):
+    """Only the rows go whose own text is bad; other rows under the same doc_id, or without one, stay."""
+    import corpus_pipeline as c
+
+    folder, rng = str(tmp_path), random.Random(9)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40))
+    item, clean = text(), [text() for _ in range(6)]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    near = clean[0] + " more"
+    rows = [(None, f"{clean[0]} {item}"), (None, clean[1]), (None, clean[2]), (5, f"{clean[3]} {item}"), (5, clean[4]), (6, clean[5]), (6, clean[5])]
+    docs = cases.documents(spark, [t for _, t in rows], [i for i, _ in rows]).withColumn("dup_kept", c.F.lit("mine")).withColumn("nth", c.F.lit(0))
+    left = sorted(t for _, t in pairs(c.decontamination(spark, docs, folder)))
+    assert left == sorted([clean[1], clean[2], clean[4], clean[5], clean[5]])
+    once = c.exact_dedup(spark, docs, folder)
+    assert once.columns == docs.columns and {r.dup_kept for r in once.collect()} == {"mine"}
+    assert sorted(t for _, t in pairs(once)) == sorted({t for _, t in rows})
+    rows = [(None, near), (None, clean[0]), (7, clean[0] + " other"), (7, clean[1]), (None, clean[2]), (None, ""), (None, None)]
+    docs = cases.documents(spark, [t for _, t in rows], [i for i, _ in rows]).withColumn("nth", c.F.lit(0))
+    kept = c.near_dedup(spark, docs, folder)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, pairs(kept))) == sorted(map(str, [(7, clean[0] + " other"), (7, clean[1]), (None, clean[2]), (None, ""), (None, None)]))

@@ -54,6 +54,15 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Rows of a side of numbers, a few bytes each, that a join broadcasts at most; a larger side is shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def by_number(rows: DataFrame, few: DataFrame, how: str, number: str = "nth") -> DataFrame:
+    """Join on a row number that no two rows share. The side of numbers is broadcast behind a check of its size, else both are shuffled."""
+    return rows.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few.hint("merge"), number, how)
+
+
 #: Stands for a null doc_id in joins.
 NO_ID = -(2**63)
 

@@ -105,7 +105,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
     Items may repeat: each of their ids is found. An item without id is not looked for. An empty benchmark leaves
     all documents clean; an empty table of documents gives no rows. Further columns are not read.
 
-    Returns doc_id, n_words, n_hit, items (ids as strings, sorted), spans (array of first word and end).
+    Returns doc_id, n_words, n_hit, items (ids as strings, sorted), spans (array of first word and end), text_hash (xxhash64 of the
+    text, which tells rows apart that have no doc_id or repeat one).
     """
     stored = Stored(docs.sparkSession, "winnowing")
     keys = ["doc", "row"]
@@ -153,5 +154,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
     return out.select(
         F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "n_words", F.coalesce(n_hit, F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-        F.coalesce("spans", F.array().cast("array<struct<first: bigint, end: bigint>>")).alias("spans"),
+        F.coalesce("spans", F.array().cast("array<struct<first: bigint, end: bigint>>")).alias("spans"), F.col("row").alias("text_hash"),
     )
