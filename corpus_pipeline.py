@@ -10,7 +10,7 @@ from tomeatlas.llm.packing import pack
 from tomeatlas.llm.quality import quality_scores
 from tomeatlas.llm.queries import table, vocabulary
 from tomeatlas.llm.radix_dedup import exact_duplicates
-from tomeatlas.llm.stored import Stored
+from tomeatlas.llm.stored import Stored, by_number
 from tomeatlas.llm.winnowing import contamination
 
 #: Rows that score less are rejected.
@@ -21,28 +21,41 @@ ORACLE_SQL = None
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject. Rows are judged one by one, with or without doc_id; repeated rows alike."""
     scored = quality_scores(docs, table(spark, sf_dir, "labels"), column="__quality")
     return scored.where(F.col("__quality") >= LEAST_QUALITY).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    return exact_duplicates(docs, carry=docs.columns).where("dup_kept").select(*docs.columns)
+    """One row of each group of equal texts, whatever their doc_id is; one without doc_id only if all of the group are."""
+    return exact_duplicates(docs, carry=docs.columns, nested=True).where("dup_kept").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of similar texts; documents without doc_id stay."""
-    groups = similar_documents(docs)
-    leave = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__leaves")).distinct()
-    return docs.join(leave, F.col("doc_id") == F.col("__leaves"), "left_anti")
+    """One row of each group of similar texts: that with the smallest doc_id (null last).
+
+    Rows are told apart by a number of their own, so other texts under the same doc_id, or without one, are separate documents.
+    """
+    stored = Stored(spark, "near-dedup")
+    rows = stored.save(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("nth")), "rows")
+    groups = similar_documents(rows.select(F.col("nth").alias("doc_id"), F.col("row.text").alias("text"))).where("n_shingles > 0")
+    groups = stored.save(groups.select(F.col("doc_id").alias("nth"), F.col("component_id").alias("group")), "groups")
+    several = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group")
+    members = rows.select("nth", F.col("row.doc_id").alias("id")).join(groups.join(several, "group"), "nth")
+    members = stored.save(members, "members")
+    stays = members.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "nth")).alias("first"))
+    leaves = stored.save(members.join(stays, "group").where("nth <> first.nth").select("nth"), "leaves")
+    for df in (groups, members):
+        stored.drop(df)
+    return by_number(rows, leaves, "left_anti").select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Rows without a passage of the benchmark. Of rows without doc_id, or that repeat one, only those go whose own text has a passage."""
     found = contamination(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0")
-    found = found.select(F.col("doc_id").alias("__leaves")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__leaves")), "left_anti")
+    found = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (own == F.col("__hash")), "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
