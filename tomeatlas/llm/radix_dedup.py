@@ -54,8 +54,10 @@ def exact_duplicates(docs: DataFrame, carry: Sequence[str] = ("doc_id",), first_
     while True:
         cut = todo.select("nth", "part", F.substring("rest", 1, size).alias("slice"))
         parts = cut.groupBy("part", "slice").agg(F.min("nth").alias("next"), F.count(F.lit(1)).alias("members")).where("members > 1")
+        parts = stored.save(parts, "parts")  # a join of two shuffles, which Spark can split where a part is large
         agree = cut.join(parts, ["part", "slice"]).select("nth", F.col("next").alias("part"), (F.octet_length("slice") < size).alias("ended"))
         agree = stored.save(agree, "agree")
+        stored.drop(parts)
         done.append(agree)
         going = agree.where("not ended").select("nth", F.col("part").alias("next"))
         if going.isEmpty():
