@@ -16,8 +16,9 @@ from pyspark.sql.streaming import StreamingQuery
 from tomeatlas.functions.expr import strip
 from tomeatlas.functions.geo import in_range
 from tomeatlas.functions.text import norm_text
-from tomeatlas.operators.dedup import dedup_first, new_rows
+from tomeatlas.operators.dedup import dedup_first
 from tomeatlas.operators.extract import infer
+from tomeatlas.streaming.keyed import first_of_key
 
 CONTRIBUTION = (
     "book_title string, author string, publish_year int, place_name string, coordinates array<double>, "
@@ -54,12 +55,12 @@ def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
 
 
-def _written(spark: SparkSession, path: str, columns: str, batch_id: int) -> DataFrame:
-    """Key columns of what batches other than this one have written; nothing yet if there is no folder."""
+def _before(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """Key columns of what was written before a stream's first micro-batch, which may be running again; nothing yet if there is no folder."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return spark.createDataFrame([], columns)
-    return spark.read.schema(f"{columns}, batch bigint").parquet(path).filter(F.col("batch") != batch_id)
+    return spark.read.schema(f"{columns}, batch bigint").parquet(path).filter(F.col("batch") != 0).drop("batch")
 
 
 def contribution_stream(source: DataFrame, accepted: str, dead_letter: str, checkpoint: str, **trigger) -> StreamingQuery:
@@ -84,18 +85,18 @@ def enrichment_stream(
 ) -> StreamingQuery:
     """Run the batch function over new rows (row_key, ...) and append results with their status.
 
-    A row that arrives twice is processed once: repeats in a micro-batch are dropped, and so are rows that an earlier
-    one has written. A batch that runs again after a failure does not count its own output as earlier.
+    A row key is processed once, whether it comes again in the same micro-batch or ever after: state by key holds what was
+    met, and starts from the results that are there already. The session of ``source`` needs a state store that can
+    hold it (``keyed.state_session``).
     """
     key_type = dict(source.dtypes)["row_key"]
+    done = _before(source.sparkSession, results, f"row_key {key_type}")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        done = _written(batch.sparkSession, results, f"row_key {key_type}", batch_id)
-        unique = new_rows(done, batch, ["row_key"])
-        _write_batch(infer(unique, fn, mode), results, batch_id)
+        _write_batch(infer(batch, fn, mode), results, batch_id)
 
     return (
-        source.writeStream.foreachBatch(write)
+        first_of_key(source, ["row_key"], done).writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
@@ -116,18 +117,19 @@ def append_stream(
 ) -> StreamingQuery:
     """Append works that the corpus does not have yet, first arrival wins.
 
-    Repeats are found by an anti-join with the keys of what was written so far, of which only the key columns are read.
-    There is no watermark: a row may arrive however late.
+    State by key (the normalised columns) holds what was met. It starts from the corpus as it is before the first micro-batch;
+    later ones look at the keys of their own rows only. There is no watermark: a row may arrive however late. The
+    session of ``source`` needs a state store that can hold it (``keyed.state_session``).
     """
     names = [f"key{i}" for i in range(len(columns))]
     keyed = source.withColumns({n: norm_text(c) for n, c in zip(names, columns)})
+    known = _before(source.sparkSession, corpus, ", ".join(f"{n} string" for n in names))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        known = _written(batch.sparkSession, corpus, ", ".join(f"{n} string" for n in names), batch_id)
-        _write_batch(new_rows(known, batch, names), corpus, batch_id)
+        _write_batch(batch, corpus, batch_id)
 
     return (
-        keyed.writeStream.foreachBatch(write)
+        first_of_key(keyed, names, known).writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()

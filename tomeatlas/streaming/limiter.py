@@ -104,15 +104,16 @@ def rate_limit(events: DataFrame, key: str, ts: str, limit: int, window_s: int =
 
 
 class _Limiter(StatefulProcessor):
-    """Keeps the accepted times of a key that may still count, at most ``limit`` of them."""
+    """Keeps the accepted times of a key that may still count, at most ``limit`` of them; a timer drops them when none does."""
 
-    def __init__(self, key: str, ts: str, order: str, limit: int, window_s: int):
-        self.key, self.ts, self.order, self.limit, self.window = key, ts, order, limit, window_s * 1_000_000
+    def __init__(self, key: str, ts: str, order: str, limit: int, window_s: int, timed: bool):
+        self.key, self.ts, self.order, self.limit, self.window, self.timed = key, ts, order, limit, window_s * 1_000_000, timed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.times = handle.getListState("accepted", "t bigint")
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         recent = deque(r[0] for r in self.times.get()) if self.times.exists() else deque()
         # a key's rows come in several Arrow batches; only their times and places in the order are kept
         parts = [pdf[[self.ts, self.order]] for pdf in rows]
@@ -122,27 +123,42 @@ class _Limiter(StatefulProcessor):
         yield times.assign(**{self.key: key[0], "accepted": accepted})[[self.key, self.ts, self.order, "accepted"]]
         if recent:
             self.times.put([(int(t),) for t in recent])
+            if self.timed:
+                for old in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
+                self.handle.registerTimer((recent[-1] + self.window) // 1000 + 1)
         else:
             self.times.clear()
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.times.clear()
+        yield from ()
+
     def close(self) -> None:
         pass
 
 
 def rate_limit_stream(
-    events: DataFrame, key: str, ts: str, limit: int, window_s: int = 60, order: str = "event_id"
+    events: DataFrame, key: str, ts: str, limit: int, window_s: int = 60, order: str = "event_id", late_s: int | None = None
 ) -> DataFrame:
     """Stream of verdicts: key, time, order and ``accepted`` of every event.
 
     Events of a key are expected in time order across micro-batches, in any order within one. The rows of a key in one
-    micro-batch are decided together; bound them by the source's file or byte limit. The session's state store
-    provider has to be RocksDB.
+    micro-batch are decided together; bound them by the source's file or byte limit. The session needs RocksDB as its
+    state store (``keyed.state_session``).
+
+    With ``late_s``, events may come that many seconds behind the latest one seen, and Spark drops those that come
+    later. The event-time watermark then fires a timer as soon as a key's last accepted event no longer counts, and the key
+    leaves the state; no event that may still come could be decided otherwise. Without it every event gets a
+    verdict and every key stays.
     """
     kinds = dict(events.dtypes)
     schema = ", ".join(f"{name} {kinds[name]}" for name in (key, ts, order)) + ", accepted boolean"
-    return events.select(key, ts, order).groupBy(key).transformWithStateInPandas(
-        statefulProcessor=_Limiter(key, ts, order, limit, window_s),
+    timed = late_s is not None
+    rows = events.select(key, ts, order)
+    return (rows.withWatermark(ts, f"{late_s} seconds") if timed else rows).groupBy(key).transformWithStateInPandas(
+        statefulProcessor=_Limiter(key, ts, order, limit, window_s, timed),
         outputStructType=schema,
         outputMode="Append",
-        timeMode="None",
+        timeMode="EventTime" if timed else "None",
     )

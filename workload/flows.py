@@ -11,6 +11,7 @@ from tomeatlas.plans import cleanup, enrich, ingest, release, serving
 from tomeatlas.plans.scratch import materialise, scratch_path
 from tomeatlas.sources import parsers
 from tomeatlas.streaming import intake, limiter
+from tomeatlas.streaming.keyed import state_session
 from workload.aggregates import GRAPH_SQL, RADAR_SQL, STATUS_SQL, editions, graph_rows, known_part
 from workload.expressions import GATED_SQL, PASSED_SQL, gated, prepared
 from workload.filters import (
@@ -277,10 +278,10 @@ def _(spark, d):
 
 
 def _as_stream(spark: SparkSession, df: DataFrame, name: str, files: int = 5) -> DataFrame:
-    """The rows as a stream of files."""
+    """The rows as a stream of files, in a session that can hold state."""
     path = scratch_path(spark, name)
     df.repartition(files).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return state_session(spark).readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 @query(
@@ -358,8 +359,8 @@ def _(spark, d):
         since, until = span["lo"] + step * i, span["lo"] + step * (i + 1)
         part = rows.filter((F.col("ts") >= F.lit(since)) & ((F.col("ts") < F.lit(until)) if i < 4 else F.lit(True)))
         part.repartition(4).write.mode("append").parquet(f"{root}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/in")
-    out = limiter.rate_limit_stream(stream, "user_id", "ts", 3)
+    stream = state_session(spark).readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/in")
+    out = limiter.rate_limit_stream(stream, "user_id", "ts", 3, late_s=60)
     sink = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
     sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{root}/out").select("event_id", "user_id", "accepted")
