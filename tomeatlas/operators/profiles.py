@@ -255,16 +255,22 @@ def connection_counts(df: DataFrame) -> DataFrame:
     return totals.join(n, "author").select("author", "book_count", "places", pairs.alias("connections"))
 
 
-def author_connections(df: DataFrame, authors: Sequence[str], bucket: int = 256) -> DataFrame:
+def author_connections(df: DataFrame, authors: Sequence[str] | DataFrame, bucket: int = 256) -> DataFrame:
     """Pairs of the distinct places of each listed author in list order, with the author's number of entries.
 
+    Authors are a list, or a table with the column ``author``.
+
     The output grows with the square of an author's places, so authors are named, as on the map that shows them; see
     ``connection_counts`` for all.
     Repeated coordinates collapse first. An author's places are dealt into buckets of about
     ``bucket`` places and buckets are joined pairwise, so that even an author with very many places
     ("Unknown") is spread over many tasks.
     """
-    df = df.withColumn("author", text("author")).filter(F.col("author").isin(*authors))
+    df = df.withColumn("author", text("author"))
+    if isinstance(authors, DataFrame):
+        df = df.join(authors.select(text("author").alias("author")).distinct(), "author", "left_semi")
+    else:
+        df = df.filter(F.col("author").isin(*authors))
     totals = df.groupBy("author").agg(F.count("*").alias("book_count"))
     unique = dedup_first(
         df.select("author", "lon", "lat", "place_name", "ord"), ["author", "lon", "lat"]

@@ -100,8 +100,10 @@ def read_jdbc_partitioned(
 
 
 def read_fulltext(spark: SparkSession, path: str) -> DataFrame:
-    """(book_id, text) of one text file per book; the id is the file name without its ending."""
+    """(book_id, text) of one text file per book; the id is the file name without its ending, or that of a folder ``book_id=...``."""
     files = spark.read.text(path, wholetext=True)
+    if "book_id" in files.columns:
+        return files.select(F.col("book_id").cast("string").alias("book_id"), F.col("value").alias("text"))
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]*)?$", 1)
     return files.select(name.alias("book_id"), F.col("value").alias("text"))
 

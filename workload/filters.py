@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tomeatlas import vocab
 from tomeatlas.functions import geo, themes, titles
-from tomeatlas.operators import search
+from tomeatlas.operators import fuzzy, search
 from tomeatlas.operators.dedup import split_by
 from tomeatlas.operators.profiles import value_counts
 from tomeatlas.streaming.intake import validate_contribution
@@ -544,3 +544,19 @@ def _sql_similarity(x: str, q: str) -> str:
 )
 def _(spark, d):
     return search.fuzzy_search(places(spark, d), "nation the", 50).select("ord", "id", F.round("match_rank", 6).alias("match_rank"))
+
+
+@query(
+    "k6_fuzzy_join",
+    f"""with q as materialized (select ord as query_id, book_title as query, {_TRI.format(x='book_title')} as g from places where ord % 20 = 0),
+    v as materialized (select value, {_TRI.format(x='value')} as g from (select book_title as value from places union select author from places union select place_name from places)),
+    s as materialized (select query_id, query, value, coalesce(len(list_intersect(q.g, v.g)) / nullif(len(q.g) + len(v.g) - len(list_intersect(q.g, v.g)), 0), 0) as r from q, v),
+    n as (select ord, unnest([book_title, author, place_name]) as value from places),
+    m as (select query_id, query, ord, max(r) as r from s join n using (value) where r >= 0.3 group by all),
+    k as (select *, row_number() over (partition by query_id order by r desc, ord) as rank from m)
+    select query_id, query, rank, ord, round(r, 6) as match_rank from k where rank <= 10""",
+)
+def _(spark, d):
+    p = places(spark, d)
+    asked = p.filter("ord % 20 = 0").select(F.col("ord").alias("query_id"), F.col("book_title").alias("query"))
+    return fuzzy.fuzzy_join(p, asked, 10).select("query_id", "query", "rank", "ord", F.round("match_rank", 6).alias("match_rank"))

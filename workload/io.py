@@ -238,20 +238,25 @@ def _(spark, d):
     )
 
 
-@query("a10_read_fulltext", "select text from benchmark")
-def _(spark, d):
+def document_files(spark, d):
+    """All documents as text files, one for each, in folders named by their id."""
     path = scratch_path(spark, "fulltext")
-    table(spark, d, "benchmark").select("text").write.option("maxRecordsPerFile", 1).text(path)
-    return readers.read_fulltext(spark, path).select(F.regexp_replace("text", r"\n\z", "").alias("text"))
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs.withColumnRenamed("doc_id", "book_id").write.partitionBy("book_id").text(path)
+    return readers.read_fulltext(spark, path).withColumns({"book_id": F.col("book_id").cast("long"), "text": F.regexp_replace("text", r"\n\z", "")})
+
+
+@query("a10_read_fulltext", "select doc_id as book_id, coalesce(text, '') as text from documents")
+def _(spark, d):
+    return document_files(spark, d)
 
 
 @query(
     "a10_fulltext_paragraphs",
-    "select doc_id as book_id, generate_subscripts(p, 1) - 1 as paragraph, unnest(p) as text from (select doc_id, string_split(replace(text, '\n', '\n\n'), '\n\n') as p from documents)",
+    "select doc_id as book_id, generate_subscripts(p, 1) - 1 as paragraph, unnest(p) as text from (select doc_id, string_split(replace(coalesce(text, ''), '\n', '\n\n'), '\n\n') as p from documents)",
 )
 def _(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("book_id"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
-    return readers.paragraphs(docs)
+    return readers.paragraphs(document_files(spark, d).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n"))))
 
 
 @query(

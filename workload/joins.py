@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tomeatlas import vocab
-from tomeatlas.operators import joins, profiles, spatial, vectors
+from tomeatlas.operators import joins, profiles, spatial, vector_index, vectors
 from tomeatlas.operators.dedup import append_new, pending, select_keys, with_row_key
 from workload.aggregates import GRAPH_SQL, graph_rows
 from workload.expressions import _SPLIT, COMPOSITE_SQL, GRANULARITY_SQL, sql_ordered_distinct
@@ -274,11 +274,15 @@ def _(spark, d):
 @query(
     "e12_author_connections",
     """with t as (select author, count(*) as book_count from places group by 1), u as (select author, lon, lat, min(ord) as ord, arg_min(place_name, ord) as place_name from places group by 1, 2, 3)
-    select a.author, a.place_name as source_city, b.place_name as target_city, a.ord as source_ord, b.ord as target_ord, book_count from u a join u b on a.author = b.author and a.ord < b.ord join t on t.author = a.author where a.author in ('src3', 'src11')""",
+    select a.author, a.place_name as source_city, b.place_name as target_city, a.ord as source_ord, b.ord as target_ord, book_count from u a join u b on a.author = b.author and a.ord < b.ord join t on t.author = a.author where a.author in (select author from t order by book_count desc, author limit 1) or a.author in (select author from places where ord % 20 = 0)""",
 )
 def _(spark, d):
+    # the author with most entries, and those of a stated set of rows
+    p = places(spark, d)
+    first = p.groupBy("author").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "author").limit(1).select("author")
+    asked = first.unionByName(p.filter("ord % 20 = 0").select("author"))
     # small buckets, so that the pairing of buckets is used here as well
-    return profiles.author_connections(places(spark, d), ["src3", "src11"], bucket=16).select(
+    return profiles.author_connections(p, asked, bucket=16).select(
         "author", "source_city", "target_city", "source_ord", "target_ord", "book_count"
     )
 
@@ -396,6 +400,15 @@ SIMILAR_SQL = f"""with b as (select book_title, author, min(ord) as ord, list_so
     from r join e a on a.ord = r.ord join e b on b.ord = other where rank <= 6"""
 
 
+@query("m1_indexed_neighbours")
+def _(spark, d):
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("ord"), "embedding")
+    centres = vector_index.fit_centroids(v)
+    index = vector_index.vector_index(v, centres)
+    near = vector_index.indexed_neighbours(v, index, centres, vector_index.probes_for(v, index, centres))
+    return near.select("ord", "rank", "other", F.round("score", 4).alias("score"))
+
+
 @query("m1_similar_works", SIMILAR_SQL)
 def _(spark, d):
     books = embedded_books(spark, d)
