@@ -58,9 +58,14 @@ def remove(spark: SparkSession, path: str) -> None:
 BROADCAST_ROWS = 1_000_000
 
 
-def by_number(rows: DataFrame, few: DataFrame, how: str, number: str = "nth") -> DataFrame:
-    """Join on a row number that no two rows share. The side of numbers is broadcast behind a check of its size, else both are shuffled."""
-    return rows.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few.hint("merge"), number, how)
+def few(numbers: DataFrame) -> DataFrame:
+    """A side of a join that has a few numbers in each row: to be broadcast behind a check of its size, else shuffled."""
+    return F.broadcast(numbers) if numbers.count() <= BROADCAST_ROWS else numbers.hint("merge")
+
+
+def by_number(rows: DataFrame, numbers: DataFrame, how: str, number: str = "nth") -> DataFrame:
+    """Join on a row number that no two rows share, so that no key is frequent if both sides have to be shuffled."""
+    return rows.join(few(numbers), number, how)
 
 
 #: Stands for a null doc_id in joins.
