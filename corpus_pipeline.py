@@ -10,7 +10,7 @@ from tomeatlas.llm.packing import pack
 from tomeatlas.llm.quality import quality_scores
 from tomeatlas.llm.queries import table, vocabulary
 from tomeatlas.llm.radix_dedup import exact_duplicates
-from tomeatlas.llm.stored import Stored, by_number
+from tomeatlas.llm.stored import Stored, few
 from tomeatlas.llm.winnowing import contamination
 
 #: Rows that score less are rejected.
@@ -34,28 +34,34 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of similar texts: that with the smallest doc_id (null last).
 
-    Rows are told apart by a number of their own, so other texts under the same doc_id, or without one, are separate documents.
+    A row's key is its doc_id; if that is null or another row has it too, a hash of doc_id and text. So other texts under the
+    same doc_id, or without one, are separate documents; rows that repeat both stay or go together.
     """
     stored = Stored(spark, "near-dedup")
-    rows = stored.save(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("nth")), "rows")
-    groups = similar_documents(rows.select(F.col("nth").alias("doc_id"), F.col("row.text").alias("text"))).where("n_shingles > 0")
-    groups = stored.save(groups.select(F.col("doc_id").alias("nth"), F.col("component_id").alias("group")), "groups")
+    own = F.col("doc_id").cast("long")
+    again = docs.groupBy(own.alias("__again")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or __again is null").select("__again")
+    again = stored.save(again, "repeated")
+    keyed = docs.withColumn("__key", own)
+    if not again.isEmpty():
+        marked = docs.join(few(again), own.eqNullSafe(F.col("__again")) & own.isNotNull(), "left")
+        keyed = marked.withColumn("__key", F.when(own.isNull() | F.col("__again").isNotNull(), F.xxhash64(F.lit(1), own, "text")).otherwise(own)).drop("__again")
+    groups = similar_documents(keyed.select(F.col("__key").alias("doc_id"), "text")).where("n_shingles > 0")
+    groups = stored.save(groups.select(F.col("doc_id").alias("__key"), F.col("component_id").alias("group")).distinct(), "groups")
     several = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group")
-    members = rows.select("nth", F.col("row.doc_id").alias("id")).join(groups.join(several, "group"), "nth")
-    members = stored.save(members, "members")
-    stays = members.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "nth")).alias("first"))
-    leaves = stored.save(members.join(stays, "group").where("nth <> first.nth").select("nth"), "leaves")
+    members = stored.save(keyed.select("__key", own.alias("id")).join(groups.join(several, "group"), "__key"), "members")
+    stays = members.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "__key")).alias("first"))
+    leaves = stored.save(members.join(stays, "group").where("__key <> first.__key").select("__key").distinct(), "leaves")
     for df in (groups, members):
         stored.drop(df)
-    return by_number(rows, leaves, "left_anti").select("row.*")
+    return keyed.join(few(leaves), "__key", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a passage of the benchmark. Of rows without doc_id, or that repeat one, only those go whose own text has a passage."""
     found = contamination(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0")
-    found = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    found = Stored(spark, "decontamination").save(found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "found")
     own = F.xxhash64(F.coalesce("text", F.lit("")))
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (own == F.col("__hash")), "left_anti")
+    return docs.join(few(found), F.col("doc_id").eqNullSafe(F.col("__id")) & (own == F.col("__hash")), "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
