@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomeatlas.llm.stored import Stored, with_empty_text
+from tomeatlas.llm.stored import Stored, arrow_rows, with_empty_text
 from tomeatlas.llm.tokens import word_tokenizer
 
 #: A bin with at most this many free places is nearly full and leaves the tree.
@@ -19,6 +19,8 @@ NEARLY_FULL = 0
 GROUP = 100_000
 #: Groups of one round that meet in one group of the next.
 FAN_IN = 8
+#: Texts that go to a task's Python process at once.
+ARROW_ROWS = 2000
 
 _PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
 _PIECE_SQL = "struct<doc_id: bigint, piece: int, start: bigint, length: bigint, ids_crc32: bigint, offset: bigint>"
@@ -111,7 +113,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
         yield from _in_chunks(_packed(items, capacity))
 
     schema = f"size bigint, pieces array<{_PIECE_SQL}>"
-    bins = stored.save(with_empty_text(docs).mapInArrow(first_round, schema), "round")
+    with arrow_rows(spark, ARROW_ROWS):
+        bins = stored.save(with_empty_text(docs).mapInArrow(first_round, schema), "round")
     under = F.col("size") < capacity - nearly_full
     groups = bins.rdd.getNumPartitions()
     done = [bins.where(~under)]

@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomeatlas.llm.stored import NO_ID, Stored, keyed_text
+from tomeatlas.llm.stored import NO_ID, Stored, arrow_rows, keyed_text
 from tomeatlas.llm.words import ALPHANUMERIC, Words, windows, words_of
 
 #: Words in a window that counts as contaminated, and words in a fingerprint.
 SPAN, GRAM = 10, 5
+#: Texts that go to a task's Python process at once.
+ARROW_ROWS = 2000
 
 
 def winnowed(w: Words, gram: int, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +127,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
     texts = keyed_text(docs)
     own = fingerprints(texts, keys, "text", span, gram, short, True)
     met = own.join(prints, ["print", "size"], "left").where((F.col("size") == 0) | F.col("kind").isNotNull())
-    seeds = stored.save(met.select(*keys, "kind", "pos", (F.col("pos") - F.col("item_pos")).alias("shift")), "seeds")
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        seeds = stored.save(met.select(*keys, "kind", "pos", (F.col("pos") - F.col("item_pos")).alias("shift")), "seeds")
     diagonals = seeds.where("kind is not null").groupBy(*keys, "kind").agg(F.collect_set("shift").alias("shifts"))
     by_row = diagonals.join(kinds.select("kind", "words"), "kind").groupBy(*keys).agg(F.collect_list(F.struct("kind", "words", "shifts")).alias("seeds"))
     by_row = stored.save(by_row, "diagonals")
