@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -282,8 +283,34 @@ def test_selection_equals_slow_one(spark):
 def test_mentions(spark):
     docs = spark.createDataFrame([(1, "In New York, (rome) and Rome. NEW YORK! Chrome new"), (2, None), (3, "york new")], "doc_id bigint, text string")
     gaz = spark.createDataFrame([("Rome",), ("New York",), ("x",)], "name string")
-    got = {(r["doc_id"], r["name_key"]): (r["mention"], r["first_word"], r["frequency"], r["confidence"]) for r in extract.extract_mentions(docs, gaz).collect()}
-    assert got == {(1, "new york"): ("New York", 2, 2, 0.95), (1, "rome"): ("rome", 4, 2, 0.8)}
+    got = {(r["doc_id"], r["name_key"]): (r["mention"], r["first_word"], r["start_char"], r["end_char"], r["frequency"], r["confidence"]) for r in extract.extract_mentions(docs, gaz).collect()}
+    assert got == {(1, "new york"): ("New York", 2, 3, 11, 2, 0.95), (1, "rome"): ("rome", 4, 14, 18, 2, 0.8)}
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 22])
+def test_occurrences_against_brute_force(spark, bits):
+    """Overlapping, nested and repeated names; blanks of any kind; a table so small that it lets nearly everything through."""
+    rng = random.Random(4)
+    names = ["new", "new york", "new york city", "york", "city hall", "San  Marino", "zz", "Ünder", "", " ", "x"]
+    parts = ["New", "york", "(York", "CITY.", "hall", "san", "Marino!", "zz", "--", "under", "\u00dcNDER,", "x"]
+    texts = [None, "", "   ", "new", "\n new  york\tcity"] + ["".join(rng.choice(parts) + rng.choice([" ", " ", "\n\n", "\u00a0", "\u2003 "]) for _ in range(200)) for _ in range(20)]
+    wanted = {" ".join(n.lower().split()) for n in names}
+    want = []
+    for i, s in enumerate(texts):
+        words = [(m.start(), m.group()) for m in re.finditer(r"\S+", s or "")]
+        words = [(a + len(w) - len(w.lstrip(extract.EDGE_MARKS)), w.strip(extract.EDGE_MARKS)) for a, w in words]
+        shift = 2 if (s or "")[:1].isspace() else 1
+        for a in range(len(words)):
+            for n in (1, 2, 3):
+                run = words[a : a + n]
+                surface = " ".join(w for _, w in run)
+                if len(run) == n and len(surface) > 1 and all(w for _, w in run) and surface.lower() in wanted:
+                    want.append((i, surface.lower(), surface, a + shift, run[0][0], run[-1][0] + len(run[-1][1])))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = extract.occurrences(docs, spark.createDataFrame([(n,) for n in names] + [(None,), ("New York",)], "name string"), bits)
+    assert sorted(tuple(r) for r in found.select("doc_id", "name_key", "surface", "word", "start_char", "end_char").collect()) == sorted(want) and want
+    none = extract.occurrences(docs, spark.createDataFrame([], "name string"), bits)
+    assert none.count() == 0 and extract.occurrences(docs.limit(0), spark.createDataFrame([("zz",)], "name string"), bits).count() == 0
 
 
 def test_chunks_cover_the_text(spark):

@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from itertools import islice
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,45 +28,138 @@ EDGE_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" + "\u00a1\u00ab\u00bb\u00bf\u2
 # ---- mentions ----
 
 
+#: Bits of the table that tells whether a run of words may begin or be a name; a power of two, at least 64.
+TRIE_BITS = 1 << 22
+_CANDIDATES = 50_000  # occurrences held back before they are passed on
+
+
 def _names(gazetteer: DataFrame) -> DataFrame:
     words = F.split(F.lower(F.trim(F.regexp_replace(text("name"), WHITESPACE_RUN, " "))), " ")
     label = F.col("label") if "label" in gazetteer.columns else F.lit("GPE")
-    return (
-        gazetteer.select(words.alias("_words"), label.alias("label"))
-        .filter(F.length(F.array_join("_words", " ")) >= 2)
-        .select(
-            F.array_join("_words", " ").alias("name_key"), F.get("_words", F.lit(0)).alias("_first"),
-            F.size("_words").alias("_n"), "label",
-        )
-        .groupBy("name_key", "_first", "_n")
-        .agg(F.min("label").alias("label"))
+    named = gazetteer.select(F.array_join(words, " ").alias("name_key"), label.alias("label")).filter(F.length("name_key") >= 2)
+    return named.groupBy("name_key").agg(F.min("label").alias("label"))
+
+
+def _trie(names: DataFrame, bits: int) -> tuple[bytes, bytes]:
+    """Two tables of ``bits`` bits over CRC-32: runs of words that begin a name, and whole names.
+
+    Their size does not depend on the names. With many names more bits are set and more runs are looked up in vain.
+    """
+    words = F.split("name_key", " ")
+    paths = F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))
+    path = names.select("name_key", F.explode(paths).alias("path"))
+    spot = path.select(F.crc32("path").bitwiseAND(F.lit(bits - 1)).alias("h"), (F.col("path") == F.col("name_key")).alias("whole"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
+    rows = spot.groupBy(F.floor(F.col("h") / 64).alias("i")).agg(
+        F.bit_or(bit).alias("begins"), F.bit_or(F.when(F.col("whole"), bit).otherwise(F.lit(0))).alias("whole")
     )
+    tables = np.zeros((2, bits // 64), "<i8")
+    for r in rows.collect():  # at most bits / 64 rows
+        tables[:, r["i"]] = r["begins"], r["whole"]
+    return tables[0].tobytes(), tables[1].tobytes()
+
+
+def occurrences(docs: DataFrame, gazetteer: DataFrame, bits: int = TRIE_BITS) -> DataFrame:
+    """Every place where a gazetteer name (name, optional label) stands in a document (doc_id, text) as whole words.
+
+    Words are parted by white space, and marks at their ends are taken off. A text is gone through once: a word that begins
+    no name is passed over; from one that does, the walk goes on as long as the words so far still begin a name. Which
+    runs of words do is told by tables of fixed size, so a gazetteer of any size will do; runs that they let through
+    wrongly fall out when whole names are joined. Names may overlap, and a name ends before a word of marks alone. A null text has no words.
+
+    Returns doc_id, name_key, label, surface, word (from 1), start_char and end_char (code points from 0, end behind the last).
+    """
+    names = materialise(_names(gazetteer), "names")
+    begins, whole = _trie(names, bits)
+    columns = ["doc_id", "surface", "word", "start_char", "end_char"]
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look = _Paths(begins, whole)
+
+        def packed(row: list[int], hits: list[tuple], doc_ids: pa.Array) -> pa.RecordBatch:
+            surface, word, start, end = zip(*hits)
+            arrays = [doc_ids.take(pa.array(row)), pa.array(surface), pa.array(word, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32())]
+            return pa.RecordBatch.from_arrays(arrays, columns)
+
+        for batch in batches:
+            row, hits = [], []
+            for i, s in enumerate(batch["text"]):
+                for hit in _walks(s.as_py() or "", look):
+                    row.append(i)
+                    hits.append(hit)
+                    if len(hits) >= _CANDIDATES:
+                        yield packed(row, hits, batch["doc_id"])
+                        row, hits = [], []
+            if hits:
+                yield packed(row, hits, batch["doc_id"])
+
+    spans = [T.StructField(c, T.IntegerType()) for c in columns[2:]]
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("surface", T.StringType()), *spans])
+    runs = docs.select("doc_id", "text").mapInArrow(found, schema)
+    return runs.withColumn("name_key", F.lower("surface")).join(names, "name_key").select("doc_id", "name_key", "label", *columns[1:])
+
+
+_WORD = re.compile(r"\S+")
+
+
+class _Paths(dict):
+    """Whether a word, without its marks, or a run of such words begins a name (1), is one (2), or both (3)."""
+
+    def __init__(self, begins: bytes, whole: bytes, most: int = 1 << 18):
+        super().__init__()
+        self.begins, self.whole, self.most = begins, whole, most
+
+    def __missing__(self, run: str) -> int:
+        key = run.strip(EDGE_MARKS).lower()
+        h = crc32(key.encode()) & (len(self.begins) * 8 - 1)
+        kind = (self.begins[h >> 3] >> (h & 7) & 1) + 2 * (self.whole[h >> 3] >> (h & 7) & 1) if key else 0
+        if len(self) >= self.most:
+            self.clear()
+        self[run] = kind
+        return kind
+
+
+def _word_starts(s: str, words: list[str]) -> np.ndarray:
+    length = np.fromiter(map(len, words), np.int64, len(words))
+    if length.sum() + len(words) - 1 == len(s):  # single blanks between the words
+        return np.cumsum(length + 1) - length - 1
+    return np.array([m.start() for m in _WORD.finditer(s)])
+
+
+def _walks(s: str, look: _Paths) -> Iterator[tuple[str, int, int, int]]:
+    """Runs of words that may be names: surface, word, start, end."""
+    words = s.split()
+    kinds = [look[w] for w in words]
+    if not any(kinds):
+        return
+    at = _word_starts(s, words)
+    first = 2 if s[0].isspace() else 1  # a text that starts with a blank has an empty first word
+    for i in np.flatnonzero(kinds).tolist():
+        run = x = words[i].strip(EDGE_MARKS)
+        kind, j = kinds[i], i
+        start = int(at[i]) + words[i].index(x)
+        while True:
+            if kind & 2:
+                yield run, i + first, start, int(at[j]) + words[j].index(x) + len(x)
+            j += 1
+            if not kind & 1 or j == len(words) or not (x := words[j].strip(EDGE_MARKS)):
+                break
+            run = f"{run} {x}"
+            kind = look[run]
 
 
 def extract_mentions(docs: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """Gazetteer names that occur in documents (doc_id, text) as whole words.
+    """Gazetteer names that occur in documents (doc_id, text) as whole words, see ``occurrences``.
 
-    A word that starts a name gives one row for each length that names with this first word have; these runs of words are
-    counted per document and spelling before they meet the names, so a first word that many names share does not
-    multiply rows. Per document and name: the first spelling and word position, frequency, label and confidence.
+    Per document and name: the first spelling with its word position and span, frequency, label and confidence.
     """
-    names = _names(gazetteer)
-    longest = names.agg(F.coalesce(F.max("_n"), F.lit(1))).scalar()
-    words = F.transform(F.split(text("text"), WHITESPACE_RUN), lambda w: F.btrim(w, F.lit(EDGE_MARKS)))
-    tokens = docs.select("doc_id", words.alias("_words")).withColumn("_longest", longest)
-    starts = F.transform(
-        F.sequence(F.lit(1), F.size("_words")),
-        lambda i: F.struct(i.alias("word"), F.slice("_words", i, F.col("_longest")).alias("w")),
-    )
-    starts = F.filter(starts, lambda s: F.get(s["w"], F.lit(0)) != "")
-    at = tokens.select("doc_id", F.inline(starts)).withColumn("_first", F.lower(F.get("w", F.lit(0))))
-    lengths = names.select("_first", "_n").distinct()
-    runs = at.join(lengths, "_first").filter(F.size("w") >= F.col("_n")).select("doc_id", "word", F.array_join(F.slice("w", F.lit(1), F.col("_n")), " ").alias("surface"))
     # spellings are counted first, with fixed-size state, before one of them is chosen per name
-    counted = runs.groupBy("doc_id", "surface").agg(F.min("word").alias("word"), F.count("*").alias("n"))
-    spellings = counted.join(names.select("name_key", "label"), F.lower("surface") == F.col("name_key"))
+    spellings = occurrences(docs, gazetteer).groupBy("doc_id", "name_key", "label", "surface").agg(
+        F.min("word").alias("word"), F.min("start_char").alias("start"), F.min("end_char").alias("end"), F.count("*").alias("n")
+    )
     found = spellings.groupBy("doc_id", "name_key", "label").agg(
-        F.min_by("surface", "word").alias("mention"), F.min("word").alias("first_word"), F.sum("n").alias("frequency")
+        F.min_by("surface", "word").alias("mention"), F.min("word").alias("first_word"), F.min("start").alias("start_char"),
+        F.min_by("end", "word").alias("end_char"), F.sum("n").alias("frequency"),
     )
     capital = F.left("mention", F.lit(1)) != F.lower(F.left("mention", F.lit(1)))
     confidence = (
@@ -181,11 +276,18 @@ def _windows(s: str, low: str, stops: np.ndarray, name: str, width: int, most: i
 
     The mark before and the blank after it are left out, the mark behind is kept; short passages do not count.
     """
-    found = re.finditer(re.escape(name.lower()), low) if name else ()
-    passages = (_around(s, stops, m.start(), m.start() + len(name), width) for m in found)
+    passages = (_around(s, stops, at, at + len(name), width) for at in _spots(low, name.lower()))
     return list(islice((p for p in passages if len(p) > 20), most))
 
 
+def _spots(low: str, name: str) -> Iterator[int]:
+    """Places of a name in a text, none overlapping the one before."""
+    at = low.find(name) if name else -1
+    while at >= 0:
+        yield at
+        at = low.find(name, at + len(name))
+
+
 def _around(s: str, stops: np.ndarray, start: int, end: int, width: int) -> str:
     before = np.searchsorted(stops, max(0, start - width), side="right") - 1
     behind = np.searchsorted(stops, min(len(s), end + width), side="left")

@@ -51,20 +51,31 @@ def gazetteer(spark, d):
     )
 
 
-MENTIONS_SQL = f"""{GAZETTEER_SQL}, dt as (select doc_id, {_sql_tokens('text')} as w from documents),
- tok as (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as i from dt), nxt as (select *, lead(x) over (partition by doc_id order by i) as y from tok where true),
- cand as (select doc_id, i, x as surface from tok where x <> '' union all select doc_id, i, x || ' ' || y from nxt where x <> '' and y is not null),
- hits as (select doc_id, lower(surface) as name_key, surface, i from cand where lower(surface) in (select name from gz)),
- mentions as (select doc_id, name_key, arg_min(surface, i) as mention, min(i) as first_word, count(*) as frequency from hits group by 1, 2)"""
+# a word's span: what stands before it, words and blanks, then the marks taken off its left
+MENTIONS_SQL = f"""{GAZETTEER_SQL}, dt as (select doc_id, regexp_split_to_array(text, '{_BLANKS_SQL}') as r, regexp_extract_all(text, '{_BLANKS_SQL}') as g from documents),
+ raw as (select doc_id, unnest(r) as r, unnest(g) as g, generate_subscripts(r, 1) as i from dt),
+ tok as (select doc_id, i, trim(r, '{_MARKS}') as x, coalesce(sum(length(r) + coalesce(length(g), 0)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) + length(r) - length(ltrim(r, '{_MARKS}')) as s from raw),
+ nxt as (select *, lead(x) over (partition by doc_id order by i) as y, lead(s) over (partition by doc_id order by i) as ys from tok where true),
+ cand as (select doc_id, i, x as surface, s as start_char, s + length(x) as end_char from tok where x <> '' union all select doc_id, i, x || ' ' || y, s, ys + length(y) from nxt where x <> '' and y is not null),
+ hits as (select doc_id, lower(surface) as name_key, surface, i, start_char::int as start_char, end_char::int as end_char from cand where lower(surface) in (select name from gz)),
+ mentions as (select doc_id, name_key, arg_min(surface, i) as mention, min(i) as first_word, arg_min(start_char, i) as start_char, arg_min(end_char, i) as end_char, count(*) as frequency from hits group by 1, 2)"""
+
+
+@query(
+    "k1_occurrences",
+    f"with {MENTIONS_SQL} select doc_id, name_key, surface, i as word, start_char, end_char from hits",
+)
+def _(spark, d):
+    return extract.occurrences(documents(spark, d), gazetteer(spark, d)).drop("label")
 
 
 @query(
     "k1_extract_mentions",
-    f"""with {MENTIONS_SQL} select doc_id, name_key, mention, first_word, frequency, round(0.8::double + case when lower(mention[1]) <> mention[1] then 0.1 else 0 end + case when contains(name_key, ' ') then 0.05 else 0 end, 2) as confidence from mentions""",
+    f"""with {MENTIONS_SQL} select doc_id, name_key, mention, first_word, start_char, end_char, frequency, round(0.8::double + case when lower(mention[1]) <> mention[1] then 0.1 else 0 end + case when contains(name_key, ' ') then 0.05 else 0 end, 2) as confidence from mentions""",
 )
 def _(spark, d):
     found = extract.extract_mentions(documents(spark, d), gazetteer(spark, d))
-    return found.select("doc_id", "name_key", "mention", "first_word", "frequency", "confidence")
+    return found.select("doc_id", "name_key", "mention", "first_word", "start_char", "end_char", "frequency", "confidence")
 
 
 @query(
@@ -78,18 +89,8 @@ def _(spark, d):
     docs, names = documents(spark, d), gazetteer(spark, d)
     first = extract.extract_mentions(docs, names).filter("frequency > 1").withColumn("confidence", F.lit(0.8))
     # the second extractor reports every occurrence
-    tokens = docs.select("doc_id", _tokens().alias("w"))
-    n = F.size("w")
-    spans = F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.array(
-            F.struct(i.alias("start"), F.element_at("w", i).alias("mention")),
-            F.struct(i.alias("start"), F.when((i < n) & (F.element_at("w", i) != ""), F.array_join(F.slice("w", i, F.lit(2)), " ")).alias("mention")),
-        ),
-    )
-    every = tokens.select("doc_id", F.inline(F.flatten(spans))).filter((F.col("mention") != "") & (F.length("mention") % 2 == 0))
-    known = names.select("name")
-    second = every.join(known, F.lower("mention") == F.col("name")).select("doc_id", "mention", F.lit(0.6).alias("confidence"), "start")
+    every = extract.occurrences(docs, names).filter(F.length("name_key") % 2 == 0)
+    second = every.select("doc_id", F.col("surface").alias("mention"), F.lit(0.6).alias("confidence"), F.col("word").alias("start"))
     both = extract.merge_mentions(first, second)
     return both.withColumn("confidence", F.round("confidence", 4))
 
