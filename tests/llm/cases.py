@@ -101,7 +101,18 @@ def exact_groups(docs):
     return out
 
 
-def kept_lines(docs, fuzzy=20):
+def edits_apart(a, b, bound):
+    """Whether at most ``bound`` edits lie between two strings."""
+    i = 0
+    while i < min(len(a), len(b)) and a[i] == b[i]:
+        i += 1
+    a, b = a[i:], b[i:]
+    if not a or not b:
+        return len(a) + len(b) <= bound
+    return bound > 0 and any(edits_apart(x, y, bound - 1) for x, y in ((a[1:], b[1:]), (a[1:], b), (a, b[1:])))
+
+
+def kept_lines(docs, edits=1, least=(8, 40)):
     first = {}
     for i, t in sorted(docs):
         for n, line in enumerate((t or "").split("\n")):
@@ -109,16 +120,10 @@ def kept_lines(docs, fuzzy=20):
                 first.setdefault(line, (i, n))
 
     def close(a, b):
-        if len(a) > len(b):
-            a, b = b, a
-        if len(b) - len(a) > 1:
-            return False
-        i = 0
-        while i < len(a) and a[i] == b[i]:
-            i += 1
-        return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :]
-
-    far = {x for x in first if len(x) >= fuzzy for y in first if len(y) >= fuzzy and first[y] < first[x] and close(x, y)}
+        bound = sum(min(len(a), len(b)) >= x for x in least[:edits])
+        return abs(len(a) - len(b)) <= bound and edits_apart(a, b, bound)
+
+    far = {x for x in first for y in first if first[y] < first[x] and close(x, y)}
     out = {}
     for i, t in docs:
         lines = t.split("\n") if t is not None else []

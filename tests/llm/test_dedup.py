@@ -119,9 +119,42 @@ def test_repeated_lines(spark):
     docs = cases.documents(spark, texts)
     got = {r.doc_id: (r.n_lines, r.n_kept, r.text) for r in without_repeated_lines(docs).collect()}
     assert got == cases.kept_lines(pairs(docs))
+    assert got[100 + len(texts) - 1][1] == 2
     assert without_repeated_lines(cases.no_documents(spark)).count() == 0
 
 
+def test_repeated_lines_of_every_length_within_one_and_two_edits(spark):
+    """Lines of 1 to 60 characters over two letters, so that many meet, each changed up to three times."""
+    import pytest
+
+    from tomeatlas.llm.line_dedup import repeated_lines, without_repeated_lines
+
+    rng = random.Random(8)
+
+    def changed(x, times):
+        for _ in range(times):
+            i = rng.randrange(len(x) + 1)
+            x = [x[:i] + x[i + 1 :], x[:i] + rng.choice("abc") + x[i:], x[:i] + rng.choice("abc") + x[i + 1 :]][rng.randrange(3)]
+        return x
+
+    lines = []
+    for n in range(1, 61):
+        x = "".join(rng.choice("ab") for _ in range(n)) if n % 3 else "ab"[n % 2] * n
+        lines += [x] + [changed(x, rng.randrange(4)) for _ in range(4)]
+    lines += ["page 12 of report", "page 13 of report", "minutes of the meeting held in spring of 2019", "minutes of the meeting held in spring of 2020"]
+    rng.shuffle(lines)
+    texts = ["\n".join(lines[i : i + 7]) for i in range(0, len(lines), 7)] + [None, "", "\n \n"]
+    docs = cases.documents(spark, texts)
+    kept = []
+    for edits, least in ((1, (8, 40)), (2, (8, 40)), (2, (3, 6))):
+        got = {r.doc_id: (r.n_lines, r.n_kept, r.text) for r in without_repeated_lines(docs, edits, least).collect()}
+        assert got == cases.kept_lines(pairs(docs), edits, least)
+        kept.append(sum(n for _, n, _ in got.values()))
+    assert kept[0] > kept[1] > kept[2]
+    with pytest.raises(ValueError, match="edits"):
+        repeated_lines(docs, 3)
+
+
 def test_contamination(spark):
     from tomeatlas.llm.winnowing import contamination
 

@@ -1,4 +1,4 @@
-"""Lines that repeat across documents, exactly or but for one character, by a deletion-neighbourhood join."""
+"""Lines that repeat across documents, exactly or but for one or two edits, by a deletion-neighbourhood join."""
 
 from __future__ import annotations
 
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from tomeatlas.llm.stored import NO_ID, Stored, keyed_text
 from tomeatlas.llm.words import mixed
 
-#: Characters from which on a line may differ by one and still count as repeated; shorter ones must be equal.
-FUZZY_CHARS = 20
+#: Characters from which on a line may differ by one edit, and by two, and still count as repeated; shorter ones must be equal.
+LEAST_CHARS = (8, 40)
 #: Characters taken at once; a longer line is taken alone.
 PIECE = 1 << 20
 
@@ -53,6 +53,36 @@ class _Lines:
         rest = (self.sums[at] - self.sums[s]) * self.up[np.maximum(e - 2, 0)] + (self.sums[e] - self.sums[at + 1]) * self.up[np.maximum(e - 1, 0)]
         return line, at - s, np.where(e - s > 1, rest, np.uint64(0))
 
+    def pieces(self, edits: int, least: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of pieces of each line, and which of them count; two lines within the bound have one in common.
+
+        Of two lines ``e`` edits apart, one of ``e + 1`` pieces of the shorter is whole in the other: the first at its
+        place, the last at its distance from the end, one between them at most ``e - 1`` characters off.
+        """
+        s, e, n = self.start, self.end, self.length
+        keys, counts = [], []
+        for bound in range(1, edits + 1):
+            for less in range(bound + 1):  # the other line is shorter by so much
+                m = np.maximum(n - less, 0)
+                cuts = [m * i // (bound + 1) for i in range(bound + 2)]
+                for i in range(bound + 1):
+                    tag = mixed(m.astype(np.uint64) * np.uint64(16) + np.uint64(4 * bound + i))
+                    for off in [0] if i == 0 else [less] if i == bound else range(1 - bound, bound):
+                        h = self.hash(np.clip(s + cuts[i] + off, s, e), np.clip(s + cuts[i + 1] + off, s, e))
+                        keys.append(mixed(h + tag))
+                        counts.append(n >= least[bound - 1])
+        return np.stack(keys, axis=1), np.stack(counts, axis=1)
+
+    def without_two(self, k: int, i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places and hashes of line ``k`` without the characters at ``i`` and at any later place."""
+        s, e, n = self.start[k], self.end[k], self.length[k]
+        later = n - 1 - i
+        one = np.repeat(i, later)
+        two = np.arange(len(one)) - np.repeat(np.cumsum(later) - later, later) + one + 1
+        sums, up = self.sums, self.up
+        rest = (sums[s + one] - sums[s]) * up[max(e - 3, 0)] + (sums[s + two] - sums[s + one + 1]) * up[max(e - 2, 0)] + (sums[e] - sums[s + two + 1]) * up[e - 1]
+        return one, two, rest if n > 2 else np.zeros_like(rest)
+
 
 def _runs(lines: list[str]) -> Iterator[tuple[int, _Lines]]:
     first = 0
@@ -69,21 +99,98 @@ def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
 
-def repeated_lines(docs: DataFrame, fuzzy_chars: int = FUZZY_CHARS) -> DataFrame:
-    """Lines that an earlier line within an edit distance of one makes redundant, with the earliest such line.
+def _place():
+    return F.struct("doc", "line", "row")
+
+
+def _within_one(stored: Stored, bodies: DataFrame) -> DataFrame:
+    """Pairs (at, first) of lines one edit apart, among them each line and the earliest one.
+
+    Lines with the same variant at the same place differ in that character; a line equal to another one's variant lacks it.
+    """
+
+    def deleted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, run in _runs(batch["chars"].to_pylist()):
+                line, at, h = run.variants()
+                own = np.arange(len(run.length))
+                rows = pa.array(np.concatenate([own, line]) + first)
+                yield pa.record_batch({**{c: batch[c].take(rows) for c in ("doc", "row", "line")}, "place": pa.array(np.concatenate([np.full(len(own), -1), at]).astype(np.int32)), "variant": _signed(np.concatenate([run.hash(run.start, run.end), h]))})
+
+    variants = bodies.mapInArrow(deleted, "doc long, row long, line int, place int, variant long").select("variant", "place", _place().alias("at"))
+    # the earliest line of each key and place; its own line has place -1 and meets all places of its variant
+    firsts = variants.groupBy("variant", "place").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    firsts = stored.save(firsts, "variants")
+    several = firsts.where("first <> last").select("variant", "place", "first")
+    same_place = variants.join(several, ["variant", "place"]).where("at <> first").select("at", "first")
+    whole = firsts.where("place = -1").select("variant", F.col("first").alias("whole"))
+    cut = variants.where("place >= 0").join(whole, "variant").where("at <> whole")
+    lacking = cut.select(F.greatest("at", "whole").alias("at"), F.least("at", "whole").alias("first"))
+    return same_place.unionByName(lacking)
+
 
-    Earlier is by doc_id (null first), then line number. Equal lines are one, at their earliest place. Of two lines within one
-    edit, the shorter or one half of both is equal up to its place, so lines that share no half with a line of fitting
-    length are left out. Each of the others emits the hash of itself and of every variant with one character
-    deleted. Lines with the same variant at the same place differ in that character; a line equal to another one's
-    variant lacks it. Either way each meets only the earliest line of its key, so a key with many lines makes no
-    pairs; each pair's edit distance is verified.
+#: Keys that a task sends on at once.
+KEYS = 1 << 18
+
+
+def _within_two(stored: Stored, bodies: DataFrame) -> DataFrame:
+    """Pairs (at, first) of lines at most two edits apart, among them each line and the earliest one.
+
+    A deletion's gap is its place in what is left. Two lines with one variant are as far apart as the gaps of both need
+    together. So within two are: lines that lose two characters at the same two gaps (kind 1); one that loses two and one
+    that loses one at either gap (kind 2); lines that lose one or none (kind 3); one that loses two and one that loses none
+    (kind 4). Kinds 2 and 4 have two sides, whose lines meet the earliest one of the other side.
+    """
+
+    def keys(run: _Lines, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+        s, e, n = run.start[k], run.end[k], int(run.length[k])
+        zero = np.zeros(1, np.int64)
+        whole = run.hash(run.start[k : k + 1], run.end[k : k + 1])
+        at = np.arange(n)
+        lost = (run.sums[s + at] - run.sums[s]) * run.up[max(e - 2, 0)] + (run.sums[e] - run.sums[s + at + 1]) * run.up[e - 1]
+        lost = lost if n > 1 else np.zeros_like(lost)
+        yield from ((3, whole, zero, 0), (4, whole, zero, 1), (2, lost, at, 1), (3, lost, np.zeros_like(at), 0))
+        step = max(KEYS // n, 1)
+        for first in range(0, n, step):
+            one, two, left = run.without_two(k, np.arange(first, min(first + step, n)))
+            yield from ((1, left, (one << 28) + two - 1, 0), (2, left, one, 2), (2, left, two - 1, 2), (4, left, np.zeros_like(one), 2))
+
+    def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, run in _runs(batch["chars"].to_pylist()):
+                for k in range(len(run.length)):
+                    for kind, variant, gaps, side in keys(run, k):
+                        rows = pa.array(np.full(len(gaps), first + k))
+                        own = {c: batch[c].take(rows) for c in ("doc", "row", "line")}
+                        yield pa.record_batch({**own, "variant": _signed(variant), "gaps": pa.array((kind << 56) + gaps), "side": pa.array(np.full(len(gaps), side, np.int8))})
+
+    rows = bodies.mapInArrow(emitted, "doc long, row long, line int, variant long, gaps long, side byte").select("variant", "gaps", "side", _place().alias("at"))
+    firsts = rows.groupBy("variant", "gaps").agg(*[F.min(F.when(F.col("side") == i, F.col("at"))).alias(f"s{i}") for i in range(3)], F.max("at").alias("last"))
+    firsts = stored.save(firsts.where("s0 <> last or (s1 is not null and s2 is not null)"), "variants-two")
+    other = F.when(F.col("side") == 0, F.col("s0")).when(F.col("side") == 1, F.col("s2")).otherwise(F.col("s1"))
+    met = rows.join(firsts, ["variant", "gaps"]).select("at", other.alias("other")).where("at <> other")
+    return met.select(F.greatest("at", "other").alias("at"), F.least("at", "other").alias("first"))
+
+
+def repeated_lines(docs: DataFrame, edits: int = 1, least: tuple[int, ...] = LEAST_CHARS) -> DataFrame:
+    """Lines that an earlier line within the edit bound makes redundant, with the earliest such line.
+
+    Earlier is by doc_id (null first), then line number. Equal lines are one, at their earliest place. Two lines may be
+    ``edits`` (1 or 2) edits apart, if the shorter has ``least[0]`` characters for one edit, ``least[1]`` for two. Then they
+    share a piece (see ``_Lines.pieces``), and lines that share none are left out. Each of the others emits the hash of
+    itself and of every variant with up to ``edits`` characters deleted. The keys are such that all lines of a key, or of
+    both its sides, are within the bound; so each meets the earliest line of its key only, and a key with many lines makes
+    no pairs. Each pair's edit distance is verified.
+
+    Variants grow with a line's length for one edit, with its square for two; they are made in blocks of bounded size.
 
     Lines end at a line feed. Lines without any character but blanks stay. A null text has no line. Rows that repeat
     doc_id and text are one document. Further columns are not read.
 
     Returns doc, row (see ``keyed_text``), line (from 0), first_doc, first_row, first_line.
     """
+    if edits not in (1, 2) or len(least) < edits:
+        raise ValueError("edits is 1 or 2, with a least length for each")
     stored = Stored(docs.sparkSession, "lines")
     texts = keyed_text(docs)
     spread = texts.select("doc", "row", F.posexplode(F.split("text", "\n")).alias("line", "chars"))
@@ -91,21 +198,15 @@ def repeated_lines(docs: DataFrame, fuzzy_chars: int = FUZZY_CHARS) -> DataFrame
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, run in _runs(batch["chars"].to_pylist()):
-                s, e, n = run.start, run.end, run.length
-                keys = []
-                for m in (n, n - 1):  # the shorter length of a pair
-                    half = np.maximum(m, 0) // 2
-                    for side, h in enumerate((run.hash(s, s + half), run.hash(e - np.maximum(m - half, 0), e))):
-                        keys.append(mixed(h + mixed(m.astype(np.uint64) * np.uint64(2) + np.uint64(side))))
-                fuzzy = n >= fuzzy_chars
-                offsets = np.concatenate([[0], np.cumsum(np.where(fuzzy, 4, 0))]).astype(np.int32)
-                flat = np.stack(keys, axis=1)[fuzzy].ravel()
-                yield pa.record_batch({**{c: batch[c].slice(first, len(n)) for c in ("doc", "row", "line", "h1", "h2")}, "keys": pa.ListArray.from_arrays(pa.array(offsets), _signed(flat))})
+                keys, counts = run.pieces(edits, least)
+                offsets = np.concatenate([[0], np.cumsum(counts.sum(axis=1))]).astype(np.int32)
+                flat, n = keys[counts], len(run.length)
+                yield pa.record_batch({**{c: batch[c].slice(first, n) for c in ("doc", "row", "line", "h1", "h2")}, "keys": pa.ListArray.from_arrays(pa.array(offsets), _signed(flat))})
 
     solid = spread.where(F.trim(F.translate("chars", "\t\x0b\x0c\r", "    ")) != "")
     hashed = solid.select("doc", "row", "line", "chars", F.xxhash64("chars").alias("h1"), F.xxhash64(F.lit(1), F.char_length("chars"), "chars").alias("h2"))
     all_lines = stored.save(hashed.mapInArrow(keyed, "doc long, row long, line int, h1 long, h2 long, keys array<bigint>"), "lines")
-    place = F.struct("doc", "line", "row")
+    place = _place()
     distinct = stored.save(all_lines.groupBy("h1", "h2").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys")), "distinct")
     keys = distinct.select("at", F.explode("keys").alias("key")).distinct()
     often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
@@ -115,27 +216,15 @@ def repeated_lines(docs: DataFrame, fuzzy_chars: int = FUZZY_CHARS) -> DataFrame
     bodies = bodies.select("doc", "row", F.explode("lines").alias("line"), "all").select("doc", "row", "line", F.get("all", "line").alias("chars")).dropDuplicates(["doc", "row", "line"])
     bodies = stored.save(bodies, "bodies")
 
-    def deleted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, run in _runs(batch["chars"].to_pylist()):
-                line, at, h = run.variants()
-                own = np.arange(len(run.length))
-                rows = pa.array(np.concatenate([own, line]) + first)
-                yield pa.record_batch({**{c: batch[c].take(rows) for c in ("doc", "row", "line")}, "place": pa.array(np.concatenate([np.full(len(own), -1), at]).astype(np.int32)), "variant": _signed(np.concatenate([run.hash(run.start, run.end), h]))})
-
-    variants = bodies.mapInArrow(deleted, "doc long, row long, line int, place int, variant long").select("variant", "place", place.alias("at"))
-    # the earliest line of each key and place; its own line has place -1 and meets all places of its variant
-    firsts = variants.groupBy("variant", "place").agg(F.min("at").alias("first"), F.max("at").alias("last"))
-    firsts = stored.save(firsts, "variants")
-    several = firsts.where("first <> last").select("variant", "place", "first")
-    same_place = variants.join(several, ["variant", "place"]).where("at <> first").select("at", "first")
-    whole = firsts.where("place = -1").select("variant", F.col("first").alias("whole"))
-    cut = variants.where("place >= 0").join(whole, "variant").where("at <> whole")
-    lacking = cut.select(F.greatest("at", "whole").alias("at"), F.least("at", "whole").alias("first"))
-    pairs = same_place.unionByName(lacking).distinct()
+    pairs = _within_one(stored, bodies)
+    if edits == 2:
+        pairs = pairs.unionByName(_within_two(stored, bodies.where(F.char_length("chars") >= least[1])))
+    pairs = pairs.distinct()
     one = bodies.select(place.alias("at"), F.col("chars").alias("x"))
     two = bodies.select(place.alias("first"), F.col("chars").alias("y"))
-    close = pairs.join(one, "at").join(two, "first").where((F.levenshtein("x", "y", 1) >= 0) & (F.levenshtein("x", "y", 1) <= 1))
+    bound = F.lit(1) if edits == 1 else F.when(F.least(F.char_length("x"), F.char_length("y")) >= least[1], 2).otherwise(1)
+    apart = F.levenshtein("x", "y", edits)
+    close = pairs.join(one, "at").join(two, "first").where((apart >= 0) & (apart <= bound))
     nearest = stored.save(close.groupBy("at").agg(F.min("first").alias("near")), "close")
     judged = distinct.join(nearest, "at", "left").where("n > 1 or near is not null").select("h1", "h2", "at", "near")
     lines = all_lines.select("h1", "h2", "doc", "row", "line").join(judged, ["h1", "h2"])
@@ -148,12 +237,12 @@ def repeated_lines(docs: DataFrame, fuzzy_chars: int = FUZZY_CHARS) -> DataFrame
     return out
 
 
-def without_repeated_lines(docs: DataFrame, fuzzy_chars: int = FUZZY_CHARS) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, edits: int = 1, least: tuple[int, ...] = LEAST_CHARS) -> DataFrame:
     """Each document with its text less repeated lines: doc_id, n_lines, n_kept, text. See ``repeated_lines``.
 
     A null text stays null, with no lines. An empty table gives no rows.
     """
-    dropped = repeated_lines(docs, fuzzy_chars).groupBy("doc", "row").agg(F.collect_set("line").alias("dropped"))
+    dropped = repeated_lines(docs, edits, least).groupBy("doc", "row").agg(F.collect_set("line").alias("dropped"))
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), "text")
     lines = own.join(dropped, ["doc", "row"], "left").select("doc", "text", F.split("text", "\n").alias("all"), F.map_from_entries(F.transform(F.coalesce("dropped", F.array().cast("array<int>")), lambda i: F.struct(i, F.lit(True)))).alias("dropped"))
     kept = lines.withColumn("kept", F.filter("all", lambda x, i: F.col("dropped")[i].isNull()))
