@@ -97,3 +97,33 @@ def test_vector_index_of_a_hot_list_and_odd_rows(spark):
     assert {i: found[i] for i in range(60)} == dict.fromkeys(range(60), 2) and not found[100] and not found[101] and not found[102]
     assert vi.indexed_neighbours(v.where("false"), vi.vector_index(v, centres), centres, 2).count() == 0
     assert len(vi.fit_centroids(v.where("false"))) == 1
+
+
+def test_related_works_of_a_set(spark, monkeypatch):
+    """Against the search for one entry, with copies, a hot city, repeated labels and few entries tried for the bound."""
+    from tomeatlas.operators import profiles
+
+    rng = random.Random(4)
+    some = lambda xs, n: [rng.choice(xs) for _ in range(rng.randrange(n))]
+    rows = []
+    for i in range(150):
+        city = "Hot" if i % 3 == 0 else rng.choice(["Delhi", "Pune", "", None])
+        rows.append((i, f"e{i}", city, rng.choice(["Asia", "Europe", None]), some(["a", "b", "c", "d"], 4), some(["war_x", "y", "z", "u", "v"], 4) or None, rng.choice([0, 1900, 1915, 1990, None]), rng.choice(["English", "Hindi", None])))
+    rows += [(200 + i, f"e{200 + i}", *rows[20][2:]) for i in range(30)]
+    df = spark.createDataFrame(rows, "ord long, id string, place_name string, region string, genres array<string>, themes array<string>, publish_year int, language string").repartition(3).cache()
+    ids = ["e0", "e20", "e47", "e205", "missing", None]
+    asked = spark.createDataFrame([(i,) for i in [*ids, "e0"]], "id string")
+    for tried, k in ((64, 8), (2, 3)):
+        monkeypatch.setattr(profiles, "TRIED", tried)
+        got = defaultdict(list)
+        for r in profiles.related_works_of(df, asked, k).orderBy("query_id", "rank").collect():
+            got[r.query_id].append((r.id, r.score, r.reasons))
+        assert dict(got) == {q: [(r.id, r.score, r.reasons) for r in profiles.related_works(df, q, k).collect()] for q in ids[:4]}
+    assert profiles.related_works_of(df.where("false"), asked).count() == 0
+    df.unpersist()
+
+
+def test_related_works_of_a_set_make_no_product(spark):
+    from __spark_entry__ import queries
+
+    assert "CartesianProduct" not in (plan := _plan(queries()["e11_related_works_set"](spark, SMALL))) and "NestedLoop" not in plan

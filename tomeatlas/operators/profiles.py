@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomeatlas.functions.expr import col, items, strings, text
 from tomeatlas.functions.quality import tier_lenient
 from tomeatlas.functions.text import decade, theme_label
 from tomeatlas.operators.dedup import dedup_first, top_k_per_group
+from tomeatlas.plans.scratch import materialise
 from tomeatlas.schema import ensure
 
 
@@ -302,8 +303,6 @@ def author_timeline(df: DataFrame, author: str | None = None, min_cities: int =
     ``step`` counts the stops by year and list order. It is the number of stops in earlier years
     plus the rank within the year, so that no author is ranked as one long group.
     """
-    from pyspark.sql import Window
-
     dated = df.filter(F.coalesce("publish_year", F.lit(0)) != 0).withColumn("author", text("author"))
     if author is not None:
         dated = dated.filter(F.col("author") == author)
@@ -335,10 +334,11 @@ def related_works(df: DataFrame, place_id: str, k: int = 8) -> DataFrame:
     fields = ("place_name", "region", "genres", "themes", "publish_year", "language")
     chosen = df.filter(F.col("id") == place_id).agg(F.min_by(F.struct(*fields), "ord")).scalar()
     rows = df.filter(F.col("id") != place_id).withColumn("_a", chosen).filter(F.col("_a").isNotNull())
-    return _scored(rows, k)
+    return _with_score(rows).orderBy(F.col("score").desc(), "ord").limit(k)
 
 
-def _scored(rows: DataFrame, k: int) -> DataFrame:
+def _with_score(rows: DataFrame) -> DataFrame:
+    """Score and reasons of rows against the entry in ``_a``; rows below the least score go."""
     a = F.col("_a")
     same_city = text("place_name") == F.coalesce(a["place_name"], F.lit(""))
     same_region = text("region") == F.coalesce(a["region"], F.lit(""))
@@ -375,12 +375,82 @@ def _scored(rows: DataFrame, k: int) -> DataFrame:
         rows.withColumn("score", score)
         .filter(F.col("score") >= 3)
         .withColumn("reasons", F.slice(reasons, 1, 2))
-        .orderBy(F.col("score").desc(), "ord")
-        .limit(k)
         .drop("_a", "shared_genres", "shared_themes")
     )
 
 
+#: What a score is made of.
+RELATED_FIELDS = ("place_name", "region", "genres", "themes", "publish_year", "language")
+#: Least score of a related work, and the most that region and era, which bring no candidates, add together.
+LEAST_SCORE, UNKEYED = 3, 2
+#: Entries looked at for each key to find how well an entry's last result scores at least; the result does not depend on it.
+TRIED = 64
+
+
+def _score_keys(entries: DataFrame) -> DataFrame:
+    """(pid, kind, value, points): what a pair must share to score, and what this entry's share of it can bring."""
+
+    def labels(c: str, kind: str) -> Column:
+        return F.transform(
+            F.array_distinct(c),
+            lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("value"), (2 * F.size(F.filter(c, lambda y: y == x))).alias("points")),
+        )
+
+    def one(c: str, kind: str, points: int) -> Column:
+        return F.array(F.struct(F.lit(kind).alias("kind"), F.col(c).alias("value"), F.lit(points).alias("points")))
+
+    spoken = F.filter(one("language", "language", 2), lambda x: x["value"] != "English")
+    keys = F.concat(one("place_name", "city", 3), labels("genres", "genre"), labels("themes", "theme"), spoken)
+    return entries.select("pid", F.inline(keys))
+
+
+def related_works_of(df: DataFrame, asked: DataFrame, k: int = 8, salts: int = 8) -> DataFrame:
+    """``related_works`` for a set of entries (column ``id``): query_id, rank, id, ord, score, reasons.
+
+    Rows alike in all that counts are one profile, with its first ``k + 1`` rows in list order; so copies are scored once.
+    A pair of profiles can only reach the least score if it shares city, genre, theme or language. A few profiles of each
+    key, scored first, say what an entry's last result scores at least. Its most frequent keys that together cannot
+    reach that bring no candidates; the others meet the profiles that have them, dealt to ``salts``, as a key may be hot.
+    The bound only leaves out what cannot be among the first ``k``. An id that is not there, or null, gives no row.
+    """
+    rows = df.select(
+        "id", "ord", *[text(c).alias(c) for c in ("place_name", "region", "language")], *[items(c).alias(c) for c in ("genres", "themes")],
+        F.coalesce("publish_year", F.lit(0)).alias("publish_year"),
+    )
+    fields = list(RELATED_FIELDS)
+    first = materialise(top_k_per_group(rows, fields, ["ord"], k + 1), "first-rows")
+    profiles = materialise(first.filter("rank = 1").select(F.monotonically_increasing_id().alias("pid"), *fields), "profiles")
+    first = first.join(profiles, fields).select("pid", "id", "ord")
+    chosen = dedup_first(rows.join(asked.select("id").distinct(), "id", "left_semi"), ["id"])
+    queries = materialise(chosen.join(profiles, fields).select(F.col("id").alias("query_id"), F.col("pid").alias("qid")), "queries")
+    whole = queries.select("qid").distinct().join(profiles.withColumnRenamed("pid", "qid"), "qid").select("qid", F.struct(*fields).alias("_a"))
+
+    keys = materialise(_score_keys(profiles), "keys")
+    frequency = keys.groupBy("kind", "value").agg(F.count("*").alias("n"), F.max("points").alias("most"))
+    wanted = keys.join(queries.select(F.col("qid").alias("pid")).distinct(), "pid", "left_semi").select(F.col("pid").alias("qid"), "kind", "value")
+    wanted = materialise(wanted.join(frequency, ["kind", "value"]), "asked-keys")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        return _with_score(pairs.distinct().join(whole, "qid").join(profiles, "pid"))
+
+    few = top_k_per_group(keys, ["kind", "value"], ["pid"], TRIED).select("kind", "value", "pid")
+    tried = scored(wanted.join(few, ["kind", "value"]).select("qid", "pid"))
+    least = top_k_per_group(tried, ["qid"], [F.col("score").desc(), "pid"], k + 1).filter(F.col("rank") == k + 1)
+    least = materialise(least.select("qid", F.col("score").alias("least")), "least")
+
+    frequent = Window.partitionBy("qid").orderBy(F.col("n").desc(), "kind", "value")
+    bounded = wanted.join(least, "qid", "left").withColumn("least", F.coalesce("least", F.lit(LEAST_SCORE)))
+    # the keys up to here, and all that need no key, fall short
+    bounded = bounded.withColumn("reach", F.sum("most").over(frequent) + UNKEYED).filter(F.col("reach") >= F.col("least"))
+    bounded = bounded.select("qid", "kind", "value", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    dealt = keys.select("kind", "value", "pid", F.pmod(F.xxhash64("pid"), F.lit(salts)).cast("int").alias("salt"))
+    found = scored(bounded.join(dealt, ["kind", "value", "salt"]).select("qid", "pid")).select("qid", "pid", "score", "reasons")
+    found = found.join(least, "qid", "left").filter(F.col("least").isNull() | (F.col("score") >= F.col("least"))).drop("least")
+    best = top_k_per_group(found.join(first, "pid"), ["qid"], [F.col("score").desc(), "ord"], k + 1).drop("rank")
+    others = queries.join(best, "qid").filter(F.col("query_id") != F.col("id"))
+    return top_k_per_group(others, ["query_id"], [F.col("score").desc(), "ord"], k).select("query_id", "rank", "id", "ord", "score", "reasons")
+
+
 # ---- research ledger ----
 
 

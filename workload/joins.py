@@ -271,6 +271,23 @@ def _(spark, d):
     return r.select("ord", "id", "score", F.array_join("reasons", "; ").alias("reasons"))
 
 
+@query(
+    "e11_related_works_set",
+    """with a as (select * from places where ord % 20 = 0), x as (select p.*, a.id as aid, a.place_name as ap, a.region as ar, a.publish_year as ay, a.language as al,
+      list_filter(p.genres, lambda g: list_contains(a.genres, g)) as sg, list_filter(p.themes, lambda t: list_contains(a.themes, t)) as st from places p, a where p.id <> a.id),
+    s as (select *, case when place_name = ap then 3 else 0 end + case when region = ar and place_name <> ap then 1 else 0 end + 2 * len(sg) + 2 * len(st)
+      + case when abs(publish_year - ay) < 20 then 1 else 0 end + case when language = al and al <> 'English' then 2 else 0 end as score from x),
+    r as (select *, row_number() over (partition by aid order by score desc, ord) as rank from s where score >= 3)
+    select aid as query_id, rank, ord, id, score, array_to_string(list_filter([case when place_name = ap then 'Same city' end, case when len(sg) > 0 then 'Shared: ' || array_to_string(sg[1:2], ', ') end,
+      case when len(st) > 0 then 'Themes: ' || replace(array_to_string(st[1:2], ', '), '_', ' ') end, case when abs(publish_year - ay) < 20 then 'Similar era' end,
+      case when language = al and al <> 'English' then 'Both in ' || language end], lambda r: r is not null)[1:2], '; ') as reasons from r where rank <= 8""",
+)
+def _(spark, d):
+    p = places(spark, d)
+    r = profiles.related_works_of(p, p.filter("ord % 20 = 0").select("id"))
+    return r.select("query_id", "rank", "ord", "id", "score", F.array_join("reasons", "; ").alias("reasons"))
+
+
 @query(
     "e12_author_connections",
     """with t as (select author, count(*) as book_count from places group by 1), u as (select author, lon, lat, min(ord) as ord, arg_min(place_name, ord) as place_name from places group by 1, 2, 3)
