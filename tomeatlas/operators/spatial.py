@@ -258,6 +258,23 @@ def knn(points: DataFrame, centres: DataFrame, k: int, key: str = "ord", salts:
     return top_k_per_group(joined, ["centre_id"], ["distance_m", key], k)
 
 
+def nearest_city(df: DataFrame, cities: DataFrame, key: str = "ord") -> DataFrame:
+    """Each row with its nearest city of a table: the columns of ``cities`` with ``near_`` before their names, and near_km.
+
+    ``cities`` has lon, lat and ``key``, by which equally near ones are ordered; it may be large and is not broadcast as such.
+    Each coordinate is looked up once, so rows that share one cost a join on it. A row without a coordinate, or with no city
+    to be near to, has nulls. Cities without a coordinate are left out.
+    """
+    asked = df.select(F.col("lon").alias("centre_lon"), F.col("lat").alias("centre_lat")).filter("centre_lon is not null and centre_lat is not null").distinct()
+    asked = materialise(asked.withColumn("centre_id", F.monotonically_increasing_id()), "coordinates")
+    named = cities.select(*[F.col(c).alias(f"near_{c}") for c in cities.columns], "lon", "lat")
+    # the asked coordinates are the large side here, so they are not repeated over salts
+    found = knn(named, asked, 1, f"near_{key}", salts=1)
+    found = found.select("centre_lon", "centre_lat", *[f"near_{c}" for c in cities.columns], (F.col("distance_m") / 1000).alias("near_km"))
+    here = (F.col("lon") == F.col("centre_lon")) & (F.col("lat") == F.col("centre_lat"))
+    return df.join(found, here, "left").drop("centre_lon", "centre_lat")
+
+
 def nearby(
     points: DataFrame, centres: DataFrame, radius_m: float, k: int, min_hits: int = 3, key: str = "ord"
 ) -> DataFrame:

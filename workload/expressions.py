@@ -40,6 +40,45 @@ def _(spark, d):
     return places(spark, d).select("ord", text.slug("book_title").alias("slug"))
 
 
+# ---- O: the rules as SQL functions ----
+
+_GRAMS = r"""list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({x}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''),
+ lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"""
+
+
+def _in_sql(spark, d, statement):
+    from tomeatlas.functions.sql import register_functions
+
+    register_functions(spark)
+    return spark.sql(statement, places=places(spark, d))
+
+
+@query(
+    "o_sql_text",
+    f"""select ord, {norm('passage')} as passage_key, coalesce(nullif(trim(regexp_replace({norm('book_title')}, '[^a-z0-9]+', '-', 'g'), '-'), ''), 'unknown') as slug from places""",
+)
+def _(spark, d):
+    return _in_sql(spark, d, "select ord, norm_text(passage) as passage_key, slug(book_title) as slug from {places}")
+
+
+@query(
+    "o_sql_distance",
+    """with x as (select region, power(sin(radians(19.076 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(19.076)) * power(sin(radians(72.8777 - lon) / 2), 2) as a from places)
+    select region, count(*) as entries, round(min(2 * 6371000.0 * atan2(sqrt(a), sqrt(greatest(1 - a, 0)))), 2) as nearest_m from x where 2 * 6371000.0 * atan2(sqrt(a), sqrt(greatest(1 - a, 0))) <= 5000000 group by 1""",
+)
+def _(spark, d):
+    return _in_sql(spark, d, "with x as (select region, haversine_m(lon, lat, 72.8777, 19.076) as m from {places}) select region, count(*) as entries, round(min(m), 2) as nearest_m from x where m <= 5000000 group by region")
+
+
+@query(
+    "o_sql_similarity",
+    f"""with x as (select ord, {_GRAMS.format(x='place_name')} as a, {_GRAMS.format(x="region || ' nation'")} as b from places)
+    select ord, round(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))), 9) as similarity from x""",
+)
+def _(spark, d):
+    return _in_sql(spark, d, "select ord, round(trigram_similarity(place_name, region || ' nation'), 9) as similarity from {places}")
+
+
 _CITY_CELLS = """select ord, case ord % 6 when 0 then place_name when 1 then 'Old Bombay, ' || place_name
  when 2 then place_name || '/' || region when 3 then place_name || ', ' || region
  when 4 then 'a long winding road that leads out of (' || place_name || ')'

@@ -373,6 +373,23 @@ def _(spark, d):
     return spark.read.schema(p.schema).parquet(path).select("id", "book_title")
 
 
+@query(
+    "b7_merge_buckets",
+    """select id, book_title, 'old' as state from places where author not in (select min(author) from places) union all
+    select id, 'updated ' || book_title, 'new' from places where author in (select min(author) from places) union all select 'more-' || ord, book_title, 'new' from places where ord % 50 = 0""",
+)
+def _(spark, d):
+    from tomeatlas.sources.buckets import create_buckets, merge_buckets, read_buckets
+
+    p = places(spark, d).select("ord", "id", "author", "book_title").withColumn("state", F.lit("old"))
+    root = scratch_path(spark, "buckets")
+    create_buckets(p, root, 64)
+    changed = p.join(p.agg(F.min("author").alias("author")), "author", "left_semi").withColumns({"book_title": F.concat(F.lit("updated "), "book_title"), "state": F.lit("new")})
+    more = p.filter("ord % 50 = 0").withColumns({"id": F.concat(F.lit("more-"), F.col("ord").cast("string")), "state": F.lit("new")})
+    merge_buckets(changed.unionByName(more), root)
+    return read_buckets(spark, root).select("id", "book_title", "state")
+
+
 @query("b8_camel_snake", _BASIC_SQL)
 def _(spark, d):
     return _basic(to_snake(to_camel(places(spark, d), keep=("ord",)), keep=("ord",)))
@@ -387,3 +404,33 @@ def _(spark, d):
     return manifest.select("version", "entries")
 
 
+_DIGEST = ", ".join(f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::bigint)::varchar" for i in range(4))
+_NODE = "sum(entries)::bigint as entries, sha256(string_agg(prefix || ':' || digest, ',' order by prefix)) as digest"
+
+
+@query(
+    "b9_digest_tree",
+    f"""with r as (select sha256(doc_id::varchar) as k, sha256(concat_ws(chr(31), doc_id::varchar, coalesce(lang, ''), coalesce(source, ''), coalesce(text, ''))) as h from documents),
+    l2 as (select substr(k, 1, 2) as prefix, count(*) as entries, sha256(concat_ws(':', count(*)::varchar, {_DIGEST})) as digest from r group by 1),
+    l1 as (select substr(prefix, 1, 1) as prefix, {_NODE} from l2 group by 1), l0 as (select '' as prefix, {_NODE} from l1)
+    select 2 as level, * from l2 union all select 1, * from l1 union all select 0, * from l0""",
+)
+def _(spark, d):
+    from tomeatlas.plans.digest_tree import digest_tree
+
+    return digest_tree(table(spark, d, "documents").select("doc_id", "lang", "source", "text"), "doc_id", 2)
+
+
+@query(
+    "b9_changed_rows",
+    """select doc_id, 'changed' as change from documents where doc_id % 97 = 0 union all select doc_id, 'removed' from documents where doc_id % 97 = 1
+    union all select -1 - doc_id, 'added' from documents where doc_id % 97 = 2""",
+)
+def _(spark, d):
+    from tomeatlas.plans.digest_tree import changed_leaves, changed_rows, digest_tree
+
+    before = table(spark, d, "documents").select("doc_id", "lang", "source", "text")
+    edited = before.filter("doc_id % 97 <> 1").withColumn("text", F.when(F.expr("doc_id % 97 = 0"), F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    after = edited.unionByName(before.filter("doc_id % 97 = 2").withColumn("doc_id", -1 - F.col("doc_id")))
+    leaves = changed_leaves(digest_tree(before, "doc_id", 4), digest_tree(after, "doc_id", 4))
+    return changed_rows(before, after, "doc_id", leaves, 4).select("doc_id", "change")

@@ -148,6 +148,17 @@ def _(spark, d):
     return near.select("ord", F.col("n.city").alias("city"), F.round("n.distance_km", 2).alias("km"))
 
 
+@query(
+    "e5_nearest_city_table",
+    f"""with x as (select p.ord, c.ord as near_ord, c.place_name as near_place, {_sql_distance('p.lon', 'p.lat', 'c.lon', 'c.lat', '6371.0')} as km from places p, places c where c.ord % 20 = 0),
+    r as (select *, row_number() over (partition by ord order by km, near_ord) as rank from x) select ord, near_ord, near_place, round(km, 2) as km from r where rank = 1""",
+)
+def _(spark, d):
+    p = places(spark, d).select("ord", "place_name", "lon", "lat")
+    near = spatial.nearest_city(p, p.filter("ord % 20 = 0"))
+    return near.select("ord", "near_ord", F.col("near_place_name").alias("near_place"), F.round("near_km", 2).alias("km"))
+
+
 # ---- E6 - E8: keys ----
 
 
