@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomeatlas import vocab
@@ -82,7 +82,8 @@ def _salted(df: DataFrame, key: str, salts: int) -> DataFrame:
 
 
 def _over_salts(df: DataFrame, salts: int) -> DataFrame:
-    return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    """Rows repeated over the salts. Spark's size estimate leaves out the repeats here and in cells, so the join is told to shuffle."""
+    return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
 
 
 def within_radius(
@@ -216,7 +217,7 @@ def knn(points: DataFrame, centres: DataFrame, k: int, key: str = "ord", salts:
         "centre_id", "level", F.inline(block)
     )
     enough = (
-        around.join(counts, ["level", "bx", "by"])
+        around.hint("merge").join(counts, ["level", "bx", "by"])
         .groupBy("centre_id", "level")
         .agg(F.sum("n").alias("n"))
         .filter(F.col("n") >= k)
@@ -250,7 +251,7 @@ def knn(points: DataFrame, centres: DataFrame, k: int, key: str = "ord", salts:
         }
     )
     # copies of a point on levels and in cells that nobody asks for go before the shuffle
-    placed = placed.join(wanted.select("level", "cx", "cy").distinct(), ["level", "cx", "cy"], "left_semi")
+    placed = placed.join(wanted.select("level", "cx", "cy").distinct().hint("merge"), ["level", "cx", "cy"], "left_semi")
     joined = _salted(placed, key, salts).join(_over_salts(wanted, salts), ["level", "cx", "cy", "_salt"])
     joined = joined.withColumn(
         "distance_m", haversine("centre_lon", "centre_lat", "lon", "lat", EARTH_M)
@@ -279,18 +280,17 @@ def nearby(
     points: DataFrame, centres: DataFrame, radius_m: float, k: int, min_hits: int = 3, key: str = "ord"
 ) -> DataFrame:
     """Per centre the ``k`` nearest points inside the radius, or, with fewer than ``min_hits``
-    inside, the ``k`` nearest anywhere (``fallback``)."""
-    located = points.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull())
-    thin = top_k_per_group(located, ["lon", "lat"], [key], max(k, min_hits), rank="_copy").drop("_copy")
-    hits = top_k_per_group(
-        within_radius(thin, centres, radius_m, key), ["centre_id"], ["distance_m", key], max(k, min_hits)
-    )
-    hits = materialise(hits, "hits")  # serves three times below
-    served = hits.groupBy("centre_id").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_hits)
-    inside = hits.join(served.select("centre_id"), "centre_id", "left_semi").filter(F.col("rank") <= k)
-    short = centres.join(served.select("centre_id"), "centre_id", "left_anti")
-    anywhere = knn(points, short, k, key)
-    return inside.withColumn("fallback", F.lit(False)).unionByName(anywhere.withColumn("fallback", F.lit(True)))
+    inside, the ``k`` nearest anywhere (``fallback``).
+
+    The nearest ``max(k, min_hits)`` points anywhere say both, so a circle that holds many points is not gone through. A
+    centre without an id is not counted as served.
+    """
+    near = knn(points, centres, max(k, min_hits), key)
+    inside = F.coalesce(F.col("distance_m") <= radius_m, F.lit(False))
+    hits = F.count_if(inside).over(Window.partitionBy("centre_id"))
+    fallback = (hits < max(min_hits, 1)) | F.col("centre_id").isNull()
+    near = near.withColumn("fallback", fallback).filter(F.col("rank") <= k)
+    return near.filter(F.col("fallback") | inside)
 
 
 # ---- bounds, clusters, stacks, density ----
