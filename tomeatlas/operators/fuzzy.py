@@ -16,17 +16,17 @@ NAMES = ("book_title", "author", "place_name")
 
 
 def _ordered(strings: DataFrame, frequency: DataFrame) -> DataFrame:
-    """(value, grams): the trigrams of each string, rarest first; those that no name has come before all others."""
+    """(value, grams): numbers of the trigrams of each string, rarest first; those that no name has come before all others, without number."""
     grams = strings.select("value", F.explode(trigrams("value")).alias("gram")).join(frequency, "gram", "left")
-    by = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")
-    return grams.groupBy("value").agg(F.transform(F.array_sort(F.collect_list(by)), lambda g: g["gram"]).alias("grams"))
+    by = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "number")
+    return grams.groupBy("value").agg(F.transform(F.array_sort(F.collect_list(by)), lambda g: g["number"]).alias("grams"))
 
 
 def _postings(ordered: DataFrame, threshold: float, name: str) -> DataFrame:
-    """One row for each trigram of the prefix: sets alike enough share one of them, whatever the rest is."""
+    """One row, with the whole set, for each trigram of the prefix: sets alike enough share one of them, whatever the rest is."""
     n = F.size("grams")
     prefix = F.slice("grams", 1, (n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int"))
-    return ordered.select(F.col("value").alias(name), n.alias(f"{name}_n"), F.explode(prefix).alias("gram"))
+    return ordered.select(F.col("id").alias(name), n.alias(f"{name}_n"), F.col("grams").alias(f"{name}_grams"), F.explode(prefix).alias("gram")).filter("gram is not null")
 
 
 def similar_strings(asked: DataFrame, names: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -34,19 +34,23 @@ def similar_strings(asked: DataFrame, names: DataFrame, threshold: float = 0.3)
 
     Every string is taken apart once. Its trigrams are sorted rare first, by how many names have them; the first
     n - ceil(threshold * n) + 1 are its postings. Postings of queries and names are joined if the numbers of trigrams allow the
-    similarity, and each pair met is verified once on the whole sets. No pair is made that shares no trigram of both prefixes.
+    similarity. Postings carry their whole set, as numbers: a pair is verified where it meets, at its first shared trigram
+    only, and what is shuffled is postings and pairs that hold, never pairs to verify. No pair is made that shares no trigram of both prefixes.
     """
     frequency = names.select(F.explode(trigrams("value")).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    frequency = materialise(frequency, "trigrams")
-    known, wanted = materialise(_ordered(names, frequency), "names"), materialise(_ordered(asked, frequency), "queries")
+    frequency = materialise(frequency.withColumn("number", F.monotonically_increasing_id()), "trigrams")
+    number = F.monotonically_increasing_id().alias("id")
+    known, wanted = [materialise(_ordered(s, frequency).select(number, "*"), n) for s, n in ((names, "names"), (asked, "queries"))]
     left, right = _postings(wanted, threshold, "query"), _postings(known, threshold, "value")
     a, b = F.col("query_n"), F.col("value_n")
-    near = left.join(right, "gram").where((b >= a * F.lit(threshold) - 1e-9) & (a >= b * F.lit(threshold) - 1e-9))
-    met = near.select("query", "value").distinct()
-    sets = met.join(wanted.select(F.col("value").alias("query"), F.col("grams").alias("_a")), "query").join(known.select("value", F.col("grams").alias("_b")), "value")
-    shared = F.size(F.array_intersect("_a", "_b"))
-    scored = sets.select("query", "value", (shared / (F.size("_a") + F.size("_b") - shared)).alias("similarity"))
-    return scored.where(F.col("similarity") >= threshold)
+    near = left.hint("merge").join(right, "gram").where((b >= a * F.lit(threshold) - 1e-9) & (a >= b * F.lit(threshold) - 1e-9))
+    # sets have the same order, so the first trigram that both have is in both prefixes
+    alike = near.select("query", "value", "gram", "query_n", "value_n", F.array_intersect("query_grams", "value_grams").alias("both"))
+    shared = F.size("both")
+    scored = alike.where(F.get("both", F.lit(0)) == F.col("gram")).select(F.col("query").alias("qid"), F.col("value").alias("vid"), (shared / (a + b - shared)).alias("similarity"))
+    scored = scored.where(F.col("similarity") >= threshold)
+    said = wanted.select(F.col("id").alias("qid"), F.col("value").alias("query")), known.select(F.col("id").alias("vid"), "value")
+    return scored.join(said[0], "qid").join(said[1], "vid").select("query", "value", "similarity")
 
 
 def fuzzy_join(df: DataFrame, queries: DataFrame, k: int = 50, threshold: float = 0.3, names: Sequence[str] = NAMES, order: str = "ord") -> DataFrame:
