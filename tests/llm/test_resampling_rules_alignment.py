@@ -267,3 +267,28 @@ def test_whole_text_tokens_equal_those_of_stretches(monkeypatch):
     cut = [";".join(aligner.text[c] for c in own) for own in aligner.codes(texts)]
     aligner.cuttable = False
     assert [";".join(aligner.text[c] for c in own) for own in aligner.codes(texts)] == cut
+
+
+def test_new_stretches_are_added_at_once():
+    """Few calls for thousands of different stretches, with the tokens of whole texts; blanks, odd signs and null among them."""
+    import sys
+
+    from tomeatlas.llm import cross_tokens
+    from tomeatlas.llm.queries import vocabulary
+
+    words = [f"{w}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{i}" for i in range(1500) for w in ("ren", "éa", "东")]
+    texts = [" ".join(words[i : i + 50]) + "\n" * (i % 3) for i in range(0, len(words), 50)] + ["a  b\n\n c ", "\n", " ", "", None, "ﬁ x", "a\x1fb", "a b", "\t\tx \n"]
+    aligner = cross_tokens.Aligner(vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    want = []
+    for t in texts:
+        aligner._forget()
+        want.append([aligner.text[c] for c in aligner._whole(t)] if t else [])
+    aligner._forget()
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event == "call" else None)
+    try:
+        codes = aligner.codes(texts)
+    finally:
+        sys.setprofile(None)
+    assert len(calls) < len(words)
+    assert [";".join(aligner.text[c] for c in own) for own in codes] == [";".join(w) for w in want]
