@@ -173,3 +173,33 @@ def test_contamination(spark):
     assert {r.n_hit for r in contamination(docs, bench.where("false")).collect()} == {0}
     twice = cases.documents(spark, [whole[0], whole[0], "a"], [1, 1, None])
     assert sorted((r.doc_id or 0, r.n_hit) for r in contamination(twice, bench).collect()) == [(0, 0), (1, 25)]
+
+
+def test_a_task_of_the_similarity_join_holds_few_shingles_at_once(spark):
+    """What a task holds while it deals out shingles, and while shingles meet, stays near the size of what it was given."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tomeatlas.llm import jaccard_join, stored
+
+    rng = random.Random(7)
+    texts = [" ".join(str(rng.randrange(10**6)) for _ in range(400)) for _ in range(2000)]
+    batch = pa.record_batch({"doc_id": pa.array(range(2000)), "text": pa.array(texts)})
+    hashes, classes = [np.arange(i, 10**6, 8, dtype=np.uint64) * np.uint64(77) for i in range(8)], [np.full(125_000, i, np.uint64) for i in range(8)]
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in jaccard_join._dealt_batches(iter([batch]), 5, 16)) > 16
+        assert tracemalloc.get_traced_memory()[1] < 35 << 20
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        assert len(jaccard_join._shared(0, hashes, classes)[0]) == 0 and not hashes and not classes
+        assert tracemalloc.get_traced_memory()[1] - before < 44 << 20
+    finally:
+        tracemalloc.stop()
+    names = [f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes")]
+    was = [spark.conf.get(n) for n in names]
+    with stored.arrow_rows(spark, 500, 2 << 20):
+        assert [spark.conf.get(n) for n in names] == ["500", str(2 << 20)]
+    assert [spark.conf.get(n) for n in names] == was

@@ -19,9 +19,9 @@ STAR_ROUNDS = 2
 #: Bytes of text for each part into which shingles are dealt.
 PART_BYTES = 8 << 20
 #: Shingles that a task deals out at once.
-SENT_SHINGLES = 1 << 19
-#: Texts that come to a task's Python process at once.
-ARROW_ROWS = 2_000
+SENT_SHINGLES = 1 << 17
+#: Texts, and bytes of texts or blocks, that come to a task's Python process at once.
+ARROW_ROWS, ARROW_BYTES = 500, 2 << 20
 #: Ranges of shingles in which documents are counted for the suffix filter.
 RANGES = 16
 _LOW = np.uint64((1 << 48) - 1)
@@ -75,10 +75,43 @@ def _dealt(ids: np.ndarray, sizes, classes, hashes, owners, parts: int) -> Itera
         yield {"part": int(p), "kind": SHINGLES, "x": planes.tobytes(), "y": local.astype(np.uint16).tobytes(), "z": classes[members].tobytes()}
 
 
-def _shared(part: int, hashes: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class, token and frequency of shingles that more than one class has."""
-    order = np.argsort(hashes)
-    h, c = hashes[order], classes[order]
+def _dealt_batches(batches: Iterator[pa.RecordBatch], k: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of the texts of one task, dealt out whenever enough shingles are held."""
+    for batch in batches:
+        ids = batch["doc_id"].to_numpy()
+        held: list[tuple] = []
+
+        def sent():
+            sizes, classes = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+            h, o = np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])
+            order = np.argsort(h, kind="stable")
+            first = held[0][4]
+            return pa.RecordBatch.from_pylist(list(_dealt(ids[first : first + len(sizes)], sizes, classes, h[order], o[order], parts)), _BLOCK)
+
+        for first, size, cls, h, o in _sets(batch["text"], k):
+            before = sum(len(x[0]) for x in held)
+            if held and (before + len(size) > 65_000 or sum(len(x[2]) for x in held) > SENT_SHINGLES):
+                yield sent()
+                held, before = [], 0
+            held.append((size, cls, h, o + before, first))
+        if held:
+            yield sent()
+
+
+def _joined(arrays: list[np.ndarray]) -> np.ndarray:
+    """All arrays of a list as one; the list gives them up, so that a task holds its values once."""
+    whole = np.concatenate(arrays)
+    arrays.clear()
+    return whole
+
+
+def _shared(part: int, hashes: list[np.ndarray], classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class, token and frequency of shingles that more than one class has; the lists are emptied."""
+    h, c = _joined(hashes), _joined(classes)
+    order = np.argsort(h)
+    h = h[order]
+    c = c[order]
+    del order
     same = h[1:] == h[:-1]
     more = np.zeros(len(h), bool)
     more[1:] |= same
@@ -156,27 +189,6 @@ def shingle_sets(docs: DataFrame, k: int, threshold: int, stored: Stored) -> Dat
     few = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts, class_parts = max(few, total // PART_BYTES + 1), max(few, total // (8 * PART_BYTES) + 1)
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch["doc_id"].to_numpy()
-            held: list[tuple] = []
-
-            def sent():
-                sizes, classes = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-                h, o = np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])
-                order = np.argsort(h, kind="stable")
-                first = held[0][4]
-                return pa.RecordBatch.from_pylist(list(_dealt(ids[first : first + len(sizes)], sizes, classes, h[order], o[order], parts)), _BLOCK)
-
-            for first, size, cls, h, o in _sets(batch["text"], k):
-                before = sum(len(x[0]) for x in held)
-                if held and (before + len(size) > 65_000 or sum(len(x[2]) for x in held) > SENT_SHINGLES):
-                    yield sent()
-                    held, before = [], 0
-                held.append((size, cls, h, o + before, first))
-            if held:
-                yield sent()
-
     def met(key: tuple, blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, classes = [], []
         for b in blocks:
@@ -194,11 +206,11 @@ def shingle_sets(docs: DataFrame, k: int, threshold: int, stored: Stored) -> Dat
                 hashes.append(h.view(np.uint64).ravel())
                 classes.append(own[np.frombuffer(y, np.uint16)])
         if hashes:
-            cls, token, freq = _shared(key[0].as_py(), np.concatenate(hashes), np.concatenate(classes))
+            cls, token, freq = _shared(key[0].as_py(), hashes, classes)
             yield from _blocks(SHINGLES, cls, cls, token, freq.astype(np.uint32), class_parts)
 
     def gathered(key: tuple, blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes, shared = [], []
+        sizes, shared = [], ([], [], [])
         for b in blocks:
             for kind, x, y, z in zip(*(b[c].to_pylist() for c in ("kind", "x", "y", "z"))):
                 cls = np.frombuffer(x, np.uint64)
@@ -208,15 +220,16 @@ def shingle_sets(docs: DataFrame, k: int, threshold: int, stored: Stored) -> Dat
                 elif kind == SIZES:
                     sizes.append((cls, np.frombuffer(y, np.int64)))
                 else:
-                    shared.append((cls, np.frombuffer(y, np.uint64), np.frombuffer(z, np.uint32)))
-        if shared:
+                    for held, a in zip(shared, (cls, np.frombuffer(y, np.uint64), np.frombuffer(z, np.uint32))):
+                        held.append(a)
+        if shared[0]:
             cls, n = (np.concatenate(x) for x in zip(*sizes))
             known, at = np.unique(cls, return_index=True)
-            yield _sets_of(*(np.concatenate(x) for x in zip(*shared)), known, n[at], threshold)
+            yield _sets_of(*map(_joined, shared), known, n[at], threshold)
 
-    blocks = plain.where("doc_id is not null").mapInArrow(dealt, _BLOCK_SQL)
+    blocks = plain.where("doc_id is not null").mapInArrow(lambda batches: _dealt_batches(batches, k, parts), _BLOCK_SQL)
     found = blocks.groupBy("part").applyInArrow(met, _BLOCK_SQL).groupBy("part").applyInArrow(gathered, _SET_SQL)
-    with arrow_rows(spark, ARROW_ROWS):
+    with arrow_rows(spark, ARROW_ROWS, ARROW_BYTES):
         return stored.save(found, "sets")
 
 

@@ -37,15 +37,18 @@ class Stored:
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Jobs that run inside send at most ``rows`` rows at a time to Python; the setting is put back afterwards."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    was = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(was)) if int(was) > 0 else rows))
+def arrow_rows(spark: SparkSession, rows: int, size: int | None = None) -> Iterator[None]:
+    """Jobs that run inside send at most ``rows`` rows, and about ``size`` bytes, at a time to Python; the settings are put back afterwards."""
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    was = {name: spark.conf.get(name) for name in names[: 1 if size is None else 2]}
+    for (name, before), most in zip(was.items(), (rows, size)):
+        now = int(before) if before.lstrip("-").isdigit() else spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before)
+        spark.conf.set(name, str(min(most, now) if now > 0 else most))
     try:
         yield
     finally:
-        spark.conf.set(name, was)
+        for name, value in was.items():
+            spark.conf.set(name, value)
 
 
 def remove(spark: SparkSession, path: str) -> None:
