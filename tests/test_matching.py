@@ -127,3 +127,20 @@ def test_related_works_of_a_set_make_no_product(spark):
     from __spark_entry__ import queries
 
     assert "CartesianProduct" not in (plan := _plan(queries()["e11_related_works_set"](spark, SMALL))) and "NestedLoop" not in plan
+
+
+def test_related_works_of_a_set_gather_no_pairs(spark, monkeypatch):
+    """Pairs are scored where they meet, once each, and a task keeps the first of each entry: none are aggregated or sorted before."""
+    import re
+
+    from __spark_entry__ import queries
+    from tomeatlas.operators import profiles
+
+    plan = _plan(queries()["e11_related_works_set"](spark, SMALL))
+    assert "MapInArrow" in plan and not re.search(r"keys=\[qid#\d+L?, pid#\d+L?\]", plan)
+    monkeypatch.setattr(profiles, "PAIRS_HELD", 50)
+    pairs = spark.range(4000).selectExpr("id % 7 as qid", "id as pid", "case when id > 70 then 4000 - id end as ord", "cast(id % 3 as int) as score").repartition(2)
+    got = [tuple(r) for r in profiles._first_pairs(pairs, 3).orderBy("qid", "rank").select("qid", "score", "ord").collect()]
+    rows = sorted(((i % 7, -(i % 3), 4000 - i if i > 70 else -1) for i in range(4000)))
+    want = [r for q in range(7) for r in [r for r in rows if r[0] == q][:3]]
+    assert [(q, -score, -1 if o is None else o) for q, score, o in got] == want
