@@ -43,6 +43,51 @@ def test_tokens_of_every_latin_character():
     assert not wrong
 
 
+def test_words_of_letters_are_merged_by_rank(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from tomeatlas.llm import tokens
+
+    path = vocabulary("word_bpe_49k.json")
+    ranks = tokens.word_ranks(path)
+    t, whole = tokens.WordTokenizer(path, ranks), Tokenizer.from_file(path)
+    rng = random.Random(3)
+    letters = "etaoinshrdluetaoinsh" + "éüßłžøñªºÿǆɏ"
+    made = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 25))) for _ in range(4000)]
+    named = [k.removesuffix("</w>") for k in rng.sample(sorted(whole.get_vocab()), 4000)]
+    latin = [text for c in map(chr, range(0x250)) for text in (c, f"a{c}b", f"?{c}1 {c}{c} x")]
+    long = ["a" * n for n in range(95, 105)] + ["é" * n for n in (49, 50, 51)] + ["aab" * 33]
+    monkeypatch.setattr(tokens, "KNOWN", 50)  # words leave the memory and come again
+    for text in [*made, *named, *latin, *long, " ".join(made[:500] + named[:500] + made[:500])]:
+        assert np.frombuffer(t.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+    assert len(t.known) + len(t.known.older) <= 50
+    fresh, asked = tokens.WordTokenizer(path, ranks), []
+    monkeypatch.setattr(fresh, "_whole", lambda word: asked.append(word) or b"")
+    fresh.encode("Every wørd, ÉTÉ naïve ownwordmade it's 7")
+    assert asked == [",", "'s", "7"]
+
+
+def test_other_tokenizers_have_no_ranks(tmp_path):
+    import json
+
+    from tomeatlas.llm.tokens import word_ranks
+
+    with open(vocabulary("word_bpe_49k.json"), encoding="utf-8") as f:
+        said = json.load(f)
+
+    def ranks_of(**changed):
+        path = tmp_path / f"{len(list(tmp_path.iterdir()))}.json"
+        path.write_text(json.dumps(said | {"model": said["model"] | changed}))
+        return word_ranks(str(path))
+
+    merges, vocab = said["model"]["merges"], said["model"]["vocab"]
+    assert ranks_of()[b"thE"] == vocab["the</w>"]
+    assert ranks_of(merges=merges[1:]) is None  # a token that no merge makes
+    assert ranks_of(merges=[merges[1], merges[0], *merges[2:]]) is None  # ids out of order
+    assert ranks_of(vocab=vocab | {"etz": len(vocab)}) is None
+    assert ranks_of(end_of_word_suffix=None) is None
+
+
 def test_pack(spark):
     from tomeatlas.llm.packing import pack
 

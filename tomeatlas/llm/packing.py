@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomeatlas.llm.stored import Stored, arrow_rows, with_empty_text
-from tomeatlas.llm.tokens import word_tokenizer
+from tomeatlas.llm.tokens import word_ranks, word_tokenizer
 
 #: A bin with at most this many free places is nearly full and leaves the tree.
 NEARLY_FULL = 0
@@ -88,9 +88,10 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     stored = Stored(spark, "packing")
     end = end_id.to_bytes(4, "little")
     cut = capacity * 4
+    ranks = spark.sparkContext.broadcast(word_ranks(tokenizer_path))
 
     def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = word_tokenizer(tokenizer_path)
+        tokens = word_tokenizer(tokenizer_path, ranks)
         items: list[list[dict]] = []
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
