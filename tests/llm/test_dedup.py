@@ -155,6 +155,33 @@ def test_repeated_lines_of_every_length_within_one_and_two_edits(spark):
         repeated_lines(docs, 3)
 
 
+def test_variants_of_lines_are_not_broadcast(spark, monkeypatch):
+    """Spark takes them for as small as the lines; where the other side is large too, both are shuffled, and the rows are the same."""
+    import re
+
+    from tomeatlas.llm import line_dedup
+    from tomeatlas.llm.stored import Stored
+
+    long = "a line that stands in many of the documents, " * 6
+    docs = cases.documents(spark, [long + "a\nshort", "b\n" + long + "b", "short\n" + long + "c"])
+    stored = Stored(spark, "lines")
+    bodies = stored.save(docs.selectExpr("doc_id as doc", "1L as row", "0 as line", "text as chars"), "bodies")
+    for most in (line_dedup.FEW, -1):
+        monkeypatch.setattr(line_dedup, "FEW", most)
+        for made in (line_dedup._within_one, line_dedup._within_two):
+            plan = made(stored, bodies)._jdf.queryExecution().executedPlan().toString()
+            sent, depth = [], None
+            for line in plan.splitlines():
+                at = re.search(r"[A-Za-z]", line)
+                depth = None if at and depth is not None and at.start() <= depth else depth
+                sent += [line] if depth is not None and "MapInArrow" in line else []
+                depth = at.start() if at and depth is None and "BroadcastExchange" in line else depth
+            assert "MapInArrow" in plan and not sent
+            assert most > 0 or "BroadcastHashJoin" not in plan
+    got = {r.doc_id: (r.n_lines, r.n_kept, r.text) for r in line_dedup.without_repeated_lines(docs).collect()}
+    assert got == cases.kept_lines(pairs(docs)) and sum(n for _, n, _ in got.values()) == 3
+
+
 def test_contamination(spark):
     from tomeatlas.llm.winnowing import contamination
 

@@ -10,13 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomeatlas.llm.stored import NO_ID, Stored, keyed_text
+from tomeatlas.llm.stored import NO_ID, Stored, few, keyed_text
 from tomeatlas.llm.words import mixed
 
 #: Characters from which on a line may differ by one edit, and by two, and still count as repeated; shorter ones must be equal.
 LEAST_CHARS = (8, 40)
 #: Characters taken at once; a longer line is taken alone.
 PIECE = 1 << 20
+#: Rows (places of lines, at most 200 bytes each in memory) that a join broadcasts at most, and bytes of lines. Spark goes by
+#: the size of compressed files, and takes the variants of lines for as small as the lines.
+FEW, FEW_BYTES = 250_000, 1 << 24
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -122,9 +125,9 @@ def _within_one(stored: Stored, bodies: DataFrame) -> DataFrame:
     firsts = variants.groupBy("variant", "place").agg(F.min("at").alias("first"), F.max("at").alias("last"))
     firsts = stored.save(firsts, "variants")
     several = firsts.where("first <> last").select("variant", "place", "first")
-    same_place = variants.join(several, ["variant", "place"]).where("at <> first").select("at", "first")
+    same_place = variants.join(few(several, FEW), ["variant", "place"]).where("at <> first").select("at", "first")
     whole = firsts.where("place = -1").select("variant", F.col("first").alias("whole"))
-    cut = variants.where("place >= 0").join(whole, "variant").where("at <> whole")
+    cut = variants.where("place >= 0").join(few(whole, FEW), "variant").where("at <> whole")
     lacking = cut.select(F.greatest("at", "whole").alias("at"), F.least("at", "whole").alias("first"))
     return same_place.unionByName(lacking)
 
@@ -168,7 +171,7 @@ def _within_two(stored: Stored, bodies: DataFrame) -> DataFrame:
     firsts = rows.groupBy("variant", "gaps").agg(*[F.min(F.when(F.col("side") == i, F.col("at"))).alias(f"s{i}") for i in range(3)], F.max("at").alias("last"))
     firsts = stored.save(firsts.where("s0 <> last or (s1 is not null and s2 is not null)"), "variants-two")
     other = F.when(F.col("side") == 0, F.col("s0")).when(F.col("side") == 1, F.col("s2")).otherwise(F.col("s1"))
-    met = rows.join(firsts, ["variant", "gaps"]).select("at", other.alias("other")).where("at <> other")
+    met = rows.join(few(firsts, FEW), ["variant", "gaps"]).select("at", other.alias("other")).where("at <> other")
     return met.select(F.greatest("at", "other").alias("at"), F.least("at", "other").alias("first"))
 
 
@@ -210,9 +213,10 @@ def repeated_lines(docs: DataFrame, edits: int = 1, least: tuple[int, ...] = LEA
     distinct = stored.save(all_lines.groupBy("h1", "h2").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys")), "distinct")
     keys = distinct.select("at", F.explode("keys").alias("key")).distinct()
     often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    near = keys.join(often, "key", "left_semi").select("at").distinct()
+    near = keys.join(often.hint("merge"), "key", "left_semi").select("at").distinct()
     wanted = stored.save(near.groupBy("at.doc", "at.row").agg(F.collect_list("at.line").alias("lines")), "wanted")
-    bodies = texts.join(wanted, ["doc", "row"]).select("doc", "row", "lines", F.split("text", "\n").alias("all"))
+    asked = wanted.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
+    bodies = texts.join(F.broadcast(wanted) if asked <= FEW else wanted.hint("merge"), ["doc", "row"]).select("doc", "row", "lines", F.split("text", "\n").alias("all"))
     bodies = bodies.select("doc", "row", F.explode("lines").alias("line"), "all").select("doc", "row", "line", F.get("all", "line").alias("chars")).dropDuplicates(["doc", "row", "line"])
     bodies = stored.save(bodies, "bodies")
 
@@ -220,14 +224,17 @@ def repeated_lines(docs: DataFrame, edits: int = 1, least: tuple[int, ...] = LEA
     if edits == 2:
         pairs = pairs.unionByName(_within_two(stored, bodies.where(F.char_length("chars") >= least[1])))
     pairs = pairs.distinct()
+    if bodies.agg(F.coalesce(F.sum(F.octet_length("chars")), F.lit(0))).first()[0] > FEW_BYTES or asked > FEW:
+        bodies = bodies.hint("merge")
     one = bodies.select(place.alias("at"), F.col("chars").alias("x"))
     two = bodies.select(place.alias("first"), F.col("chars").alias("y"))
     bound = F.lit(1) if edits == 1 else F.when(F.least(F.char_length("x"), F.char_length("y")) >= least[1], 2).otherwise(1)
     apart = F.levenshtein("x", "y", edits)
     close = pairs.join(one, "at").join(two, "first").where((apart >= 0) & (apart <= bound))
     nearest = stored.save(close.groupBy("at").agg(F.min("first").alias("near")), "close")
-    judged = distinct.join(nearest, "at", "left").where("n > 1 or near is not null").select("h1", "h2", "at", "near")
-    lines = all_lines.select("h1", "h2", "doc", "row", "line").join(judged, ["h1", "h2"])
+    judged = distinct.join(few(nearest, FEW), "at", "left").where("n > 1 or near is not null").select("h1", "h2", "at", "near")
+    judged = stored.save(judged, "judged")
+    lines = all_lines.select("h1", "h2", "doc", "row", "line").join(few(judged, FEW), ["h1", "h2"])
     first = F.when(F.col("at") == place, F.col("near")).otherwise(F.coalesce(F.least("at", "near"), "at"))
     out = lines.select("doc", "row", "line", first.alias("f")).where("f is not null").distinct()
     out = stored.save(out.select("doc", "row", "line", F.col("f.doc").alias("first_doc"), F.col("f.row").alias("first_row"), F.col("f.line").alias("first_line")), "repeated")
@@ -242,7 +249,10 @@ def without_repeated_lines(docs: DataFrame, edits: int = 1, least: tuple[int, ..
 
     A null text stays null, with no lines. An empty table gives no rows.
     """
-    dropped = repeated_lines(docs, edits, least).groupBy("doc", "row").agg(F.collect_set("line").alias("dropped"))
+    repeated = repeated_lines(docs, edits, least)
+    dropped = repeated.groupBy("doc", "row").agg(F.collect_set("line").alias("dropped"))
+    rows, texts = repeated.agg(F.count(F.lit(1)), F.count_distinct("doc", "row")).first()
+    dropped = dropped if rows <= 8 * FEW and texts <= FEW else dropped.hint("merge")
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), "text")
     lines = own.join(dropped, ["doc", "row"], "left").select("doc", "text", F.split("text", "\n").alias("all"), F.map_from_entries(F.transform(F.coalesce("dropped", F.array().cast("array<int>")), lambda i: F.struct(i, F.lit(True)))).alias("dropped"))
     kept = lines.withColumn("kept", F.filter("all", lambda x, i: F.col("dropped")[i].isNull()))

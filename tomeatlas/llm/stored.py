@@ -61,9 +61,9 @@ def remove(spark: SparkSession, path: str) -> None:
 BROADCAST_ROWS = 1_000_000
 
 
-def few(numbers: DataFrame) -> DataFrame:
+def few(numbers: DataFrame, most: int | None = None) -> DataFrame:
     """A side of a join that has a few numbers in each row: to be broadcast behind a check of its size, else shuffled."""
-    return F.broadcast(numbers) if numbers.count() <= BROADCAST_ROWS else numbers.hint("merge")
+    return F.broadcast(numbers) if numbers.count() <= (BROADCAST_ROWS if most is None else most) else numbers.hint("merge")
 
 
 def by_number(rows: DataFrame, numbers: DataFrame, how: str, number: str = "nth") -> DataFrame:
