@@ -59,6 +59,31 @@ def test_fuzzy_join_makes_no_product(spark):
     assert pairs == {(a, b) for a in ("abc", "abx") for b in ("abc", "abx")} | {("zzz", "zzz")}
 
 
+def test_fuzzy_join_counts_by_blocks_and_sends_few_pairs(spark, monkeypatch):
+    """Null comes first, two rows may share an ord; a query that resembles all names brings few pairs, and no trigram is joined on."""
+    from tomeatlas.operators import fuzzy
+
+    monkeypatch.setattr(fuzzy, "BLOCK_ROWS", (2, 3))
+    monkeypatch.setattr(fuzzy, "PART_ROWS", (5, 20))
+    monkeypatch.setattr(fuzzy, "GATHERED", 30)
+    rng = random.Random(3)
+    rows = [(None if i == 77 else i, f"old town {i % 40}", "Old Town", rng.choice(["New Town", "𝒜𝒷𝒸 Town", f"town {i}", None])) for i in range(160)]
+    queries = [(0, "old town 7"), (1, "old town"), (2, "𝒜𝒷𝒸 town"), (3, "town"), (4, "x" * 300 + "old town"), (5, " ".join(f"{i:03}" for i in range(400)))]
+    rows += [(900, "x" * 200, None, " ".join(f"{i:03}" for i in range(390))), (900, "town of old", "old", None)]
+    df = spark.createDataFrame(rows, "ord long, book_title string, author string, place_name string").repartition(3)
+    asked = spark.createDataFrame(queries, "query_id long, query string")
+    by_ord = defaultdict(list)
+    for o, *names in rows:
+        by_ord[-1 if o is None else o] += names
+    for k in (2, 500):
+        got = {(r.query_id, r.rank): (-1 if r.ord is None else r.ord, round(r.match_rank, 9)) for r in fuzzy.fuzzy_join(df, asked, k, 0.2).collect()}
+        assert got == best_rows([(o, *names) for o, names in by_ord.items()], queries, k, 0.2)
+    names = spark.createDataFrame([(i, f"old town {i:03}") for i in range(300)], "ord long, value string")
+    pairs = fuzzy.similar_strings(asked.selectExpr("query as value"), names, 0.2, 2)
+    assert "[gram" not in _plan(pairs) and "FlatMapGroupsInArrow" in _plan(pairs)
+    assert pairs.where("query = 'old town'").count() == 2 and fuzzy.similar_strings(asked.selectExpr("query as value"), names, 0.2).where("query = 'old town'").count() == 300
+
+
 @pytest.mark.parametrize("clustered", [False, True])
 def test_vector_index_recall(spark, clustered):
     """Against the exact answer for the queries whose id is divisible by 20."""

@@ -1,10 +1,12 @@
-"""Fuzzy match of many query strings at once: trigram sets joined on their rare trigrams."""
+"""Fuzzy match of many query strings at once: trigram sets counted block by block."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomeatlas.functions.expr import text
@@ -13,44 +15,146 @@ from tomeatlas.operators.dedup import top_k_per_group
 from tomeatlas.plans.scratch import materialise
 
 NAMES = ("book_title", "author", "place_name")
+#: Blocks of queries and parts of names that tables are dealt into at most, as long as these stay below the largest size.
+MOST_BLOCKS, MOST_PARTS = 4, 16
+BLOCK_ROWS, PART_ROWS = (1_024, 32_768), (8_192, 131_072)
+#: Trigrams that more than one in so many names of a part have are kept as a row of flags.
+OFTEN = 16
+#: Pairs that a task holds until it sends on a batch, and gathers of some queries from all parts.
+PAIRS, GATHERED = 1 << 16, 1 << 18
+PAIR = ("qid", "vid", "similarity", "owner")
 
 
-def _ordered(strings: DataFrame, frequency: DataFrame) -> DataFrame:
-    """(value, grams): numbers of the trigrams of each string, rarest first; those that no name has come before all others, without number."""
-    grams = strings.select("value", F.explode(trigrams("value")).alias("gram")).join(frequency, "gram", "left")
-    by = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "number")
-    return grams.groupBy("value").agg(F.transform(F.array_sort(F.collect_list(by)), lambda g: g["number"]).alias("grams"))
+def _numbers(grams: Column) -> Column:
+    """Each trigram as one number: its three code points."""
+    return F.transform(grams, lambda g: F.ascii(g).cast("bigint") * (1 << 42) + F.ascii(F.substring(g, 2, 1)).cast("bigint") * (1 << 21) + F.ascii(F.substring(g, 3, 1)))
 
 
-def _postings(ordered: DataFrame, threshold: float, name: str) -> DataFrame:
-    """One row, with the whole set, for each trigram of the prefix: sets alike enough share one of them, whatever the rest is."""
-    n = F.size("grams")
-    prefix = F.slice("grams", 1, (n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int"))
-    return ordered.select(F.col("id").alias(name), n.alias(f"{name}_n"), F.col("grams").alias(f"{name}_grams"), F.explode(prefix).alias("gram")).filter("gram is not null")
+class _Part:
+    """Names of one part, in the order of their ids, by trigram."""
 
+    def __init__(self, ids: np.ndarray, owners: np.ndarray, sets: tuple[np.ndarray, np.ndarray]):
+        flat, self.size = sets
+        row = np.argsort(ids, kind="stable")
+        place = np.empty_like(row)
+        place[row] = np.arange(len(row))
+        of = np.repeat(place, self.size)
+        self.ids, self.owners, self.size = ids[row], owners[row], self.size[row]
+        by = np.argsort(flat, kind="stable")
+        self.gram, starts = np.unique(flat[by], return_index=True)
+        self.post, self.starts = of[by], np.append(starts, len(flat))
+        often = np.flatnonzero(np.diff(self.starts) * OFTEN > len(ids))
+        self.flags = {}
+        for g in often.tolist():
+            flags = self.flags[g] = np.zeros(len(ids), np.uint8)
+            flags[self.post[self.starts[g] : self.starts[g + 1]]] = 1
 
-def similar_strings(asked: DataFrame, names: DataFrame, threshold: float = 0.3) -> DataFrame:
+    def alike(self, grams: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """Names (as places in the part) whose similarity with a set reaches the threshold, and the similarities."""
+        at = np.searchsorted(self.gram, grams)
+        at = at[np.take(self.gram, at, mode="clip") == grams]
+        shared = np.zeros(len(self.ids), np.uint8 if len(grams) < 256 else np.int32)
+        for g in at.tolist():
+            if g in self.flags:
+                shared += self.flags[g]
+            else:  # a name is there once at most
+                shared[self.post[self.starts[g] : self.starts[g + 1]]] += 1
+        found = np.flatnonzero(shared >= max(int(np.ceil(threshold * len(grams) - 1e-9)), 1))
+        both = shared[found].astype(np.int64)
+        similarity = both / (len(grams) + self.size[found] - both)
+        enough = similarity >= threshold
+        return found[enough], similarity[enough]
+
+
+def _best(pairs: dict[str, np.ndarray], k: int) -> dict[str, np.ndarray]:
+    """Of all pairs of some queries those that may bring one of the first k owners: with fewer than k owners of the query before them."""
+    order = np.lexsort((pairs["vid"], -pairs["similarity"], pairs["qid"]))
+    pairs = {c: x[order] for c, x in pairs.items()}
+    query, owner = pairs["qid"], pairs["owner"]
+    by = np.lexsort((np.arange(len(query)), owner, query))
+    new = np.ones(len(query), np.int64)
+    new[by[1:]] = (query[by][1:] != query[by][:-1]) | (owner[by][1:] != owner[by][:-1])
+    before = np.cumsum(new) - new
+    before -= before[np.searchsorted(query, query)]
+    return {c: x[before < k] for c, x in pairs.items()}
+
+
+def _sets(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The trigram numbers of all rows, one after the other, and how many each row has."""
+    grams = rows["grams"].combine_chunks()
+    return grams.flatten().to_numpy(), grams.value_lengths().to_numpy().astype(np.int64)
+
+
+def _matched(rows: pa.Table, threshold: float, k: int | None) -> Iterator[pa.RecordBatch]:
+    """Pairs of a block of queries with a part of names."""
+    asked = rows["asked"].to_numpy()
+    wanted, known = rows.filter(pa.array(asked)), rows.filter(pa.array(~asked))
+    if not len(wanted) or not len(known):
+        return
+    part = _Part(known["id"].to_numpy(), known["owner"].to_numpy(), _sets(known))
+    flat, size = _sets(wanted)
+    ends = np.cumsum(size)
+    out, held = [], 0
+
+    def batch() -> pa.RecordBatch:
+        pairs = {c: np.concatenate(x) for c, x in zip(PAIR, zip(*out))}
+        return pa.record_batch(pairs if k is None else _best(pairs, k))
+
+    for qid, first, last in zip(wanted["id"].to_numpy().tolist(), (ends - size).tolist(), ends.tolist()):
+        found, similarity = part.alike(flat[first:last], threshold)
+        out.append((np.full(len(found), qid), part.ids[found], similarity, part.owners[found]))
+        held += len(found)
+        if held >= PAIRS:
+            yield batch()
+            out, held = [], 0
+    if held:
+        yield batch()
+
+
+def similar_strings(asked: DataFrame, names: DataFrame, threshold: float = 0.3, k: int | None = None, order: str = "ord") -> DataFrame:
     """(query, value, similarity) of all pairs of different strings (columns ``value``) whose trigram similarity reaches the threshold.
 
-    Every string is taken apart once. Its trigrams are sorted rare first, by how many names have them; the first
-    n - ceil(threshold * n) + 1 are its postings. Postings of queries and names are joined if the numbers of trigrams allow the
-    similarity. Postings carry their whole set, as numbers: a pair is verified where it meets, at its first shared trigram
-    only, and what is shuffled is postings and pairs that hold, never pairs to verify. No pair is made that shares no trigram of both prefixes.
+    With ``k``, each name also has ``order``, the first row that has it, and pairs that cannot bring a query one of its first
+    ``k`` rows, by similarity and ``order``, may be left out: k other rows come before.
+
+    Every string is taken apart once, into numbers. Queries are dealt into blocks and names into parts; each block meets each
+    part in one task, which counts shared trigrams by the lists of names that have one, and as flags for frequent ones. So
+    no pair is sent before it is verified; with ``k``, a part sends few pairs of each query, and those of all parts are cut
+    again. Memory is bounded by the sizes of a block and a part; time still grows with queries times names.
     """
-    frequency = names.select(F.explode(trigrams("value")).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    frequency = materialise(frequency.withColumn("number", F.monotonically_increasing_id()), "trigrams")
-    number = F.monotonically_increasing_id().alias("id")
-    known, wanted = [materialise(_ordered(s, frequency).select(number, "*"), n) for s, n in ((names, "names"), (asked, "queries"))]
-    left, right = _postings(wanted, threshold, "query"), _postings(known, threshold, "value")
-    a, b = F.col("query_n"), F.col("value_n")
-    near = left.hint("merge").join(right, "gram").where((b >= a * F.lit(threshold) - 1e-9) & (a >= b * F.lit(threshold) - 1e-9))
-    # sets have the same order, so the first trigram that both have is in both prefixes
-    alike = near.select("query", "value", "gram", "query_n", "value_n", F.array_intersect("query_grams", "value_grams").alias("both"))
-    shared = F.size("both")
-    scored = alike.where(F.get("both", F.lit(0)) == F.col("gram")).select(F.col("query").alias("qid"), F.col("value").alias("vid"), (shared / (a + b - shared)).alias("similarity"))
-    scored = scored.where(F.col("similarity") >= threshold)
+    owner = F.xxhash64(order) if k is not None else F.lit(0).cast("bigint")
+    sets = F.col("value"), _numbers(trigrams("value")).alias("grams")
+    listed = (names.select("value").distinct() if k is None else names.orderBy(order)).select(F.monotonically_increasing_id().alias("id"), owner.alias("owner"), *sets)
+    wanted = asked.select("value").distinct().select(F.monotonically_increasing_id().alias("id"), F.lit(0).cast("bigint").alias("owner"), *sets)
+    known, wanted = [materialise(s, name).where(F.size("grams") > 0) for s, name in ((listed, "names"), (wanted, "queries"))]
+
+    def pieces(df: DataFrame, rows: tuple[int, int], most: int) -> int:
+        n = df.count()
+        return max(-(-n // min(max(-(-n // most), rows[0]), rows[1])), 1)
+
+    blocks, parts = pieces(wanted, BLOCK_ROWS, MOST_BLOCKS), pieces(known, PART_ROWS, MOST_PARTS)
+
+    def dealt(df: DataFrame, is_asked: bool) -> DataFrame:
+        own, others = (blocks, parts) if is_asked else (parts, blocks)
+        mine = F.pmod(F.xxhash64("id"), F.lit(own)).cast("int")
+        each = F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
+        return df.select("id", "owner", "grams", F.lit(is_asked).alias("asked"), *((mine.alias("x"), each.alias("y")) if is_asked else (each.alias("x"), mine.alias("y"))))
+
+    met = dealt(wanted, True).unionByName(dealt(known, False)).repartition(min(blocks * parts, 4_096), "x", "y")
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _matched(pa.Table.from_batches(batches), threshold, k)
+
+    def first(rows: pa.Table) -> pa.Table:
+        return pa.table(_best({c: rows[c].to_numpy() for c in PAIR}, k))
+
+    found = met.groupBy("x", "y").applyInArrow(match, kinds := "qid bigint, vid bigint, similarity double, owner bigint")
+    if k is not None and parts > 1:
+        some = -(-wanted.count() * parts * k // GATHERED)
+        bucket = F.pmod(F.xxhash64("qid"), F.lit(some)).alias("x")
+        found = found.select(*PAIR, bucket).repartition(min(some, 4_096), "x").groupBy("x").applyInArrow(first, kinds)
     said = wanted.select(F.col("id").alias("qid"), F.col("value").alias("query")), known.select(F.col("id").alias("vid"), "value")
-    return scored.join(said[0], "qid").join(said[1], "vid").select("query", "value", "similarity")
+    return found.join(said[0], "qid").join(said[1], "vid").select("query", "value", "similarity")
 
 
 def fuzzy_join(df: DataFrame, queries: DataFrame, k: int = 50, threshold: float = 0.3, names: Sequence[str] = NAMES, order: str = "ord") -> DataFrame:
@@ -64,9 +168,8 @@ def fuzzy_join(df: DataFrame, queries: DataFrame, k: int = 50, threshold: float
     """
     asked = queries.select("query_id", text("query").alias("query"))
     long = df.select(order, F.explode(F.array_distinct(F.array(*[text(c) for c in names]))).alias("value"))
-    first = top_k_per_group(long, ["value"], [order], k).select("value", order)
-    first = materialise(first, "first-rows")
-    found = similar_strings(asked.select(F.col("query").alias("value")).distinct(), first.select("value").distinct(), threshold)
-    rows = found.join(first, "value").groupBy("query", order).agg(F.max("similarity").alias("match_rank"))
+    first = materialise(top_k_per_group(long, ["value"], [order], k).select("value", order, "rank"), "first-rows")
+    found = similar_strings(asked.select(F.col("query").alias("value")), first.where("rank = 1").select("value", order), threshold, k, order)
+    rows = found.join(first.drop("rank"), "value").groupBy("query", order).agg(F.max("similarity").alias("match_rank"))
     best = top_k_per_group(rows, ["query"], [F.col("match_rank").desc(), order], k)
     return best.join(asked, "query").select("query_id", "query", "rank", order, "match_rank")
