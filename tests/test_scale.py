@@ -29,6 +29,45 @@ def test_nearby_of_a_centre_without_id_or_with_two_places(spark):
     assert got == [(0, i + 1, i, True) for i in range(4)] + [(1, i + 1, i // 2, False) for i in range(4)]
 
 
+def test_pairs_beyond_the_nearest_are_dropped_where_they_meet(spark):
+    """The farthest corner of a centre's block bounds its k nearest, at poles and the antimeridian too; the bound comes before any sort of pairs."""
+    import math
+    import re
+
+    rng = np.random.default_rng(6)
+    at = [(-180.0, 0.0), (180.0, 10.0), (0.0, 90.0), (12.0, -90.0), (179.99, 89.9), (-0.001, 0.001)] + [(float(x), float(y)) for x, y in zip(rng.uniform(-180, 180, 40), rng.uniform(-90, 90, 40))]
+    corners = []
+    for i, (lon, lat) in enumerate(at):
+        for fit in range(1, 11):
+            w = 360 / 2**fit
+            x, y = min(math.floor((lon + 180) / w), 2**fit - 1), math.floor((lat + 90) / w)
+            for u, v in rng.uniform(0, 1, (20, 2)).round().tolist():
+                corners.append((lon, lat, fit, (x - 1 + 3 * u) * w - 180, float(np.clip((y - 1 + 3 * v) * w - 90, -90, 90))))
+    df = spark.createDataFrame(corners, "lon double, lat double, fit int, x double, y double")
+    far = spatial.haversine("lon", "lat", "x", "y")
+    assert df.where(far > spatial._reach(F.col("lon"), F.col("lat"), F.col("fit"))).count() == 0
+
+    points = [(i, float(x), float(y)) for i, (x, y) in enumerate(zip(rng.uniform(-180, 180, 400), rng.uniform(-90, 90, 400)))] + [(400 + i, 180.0 - i % 2 * 360, 0.0) for i in range(6)]
+    centres = [(i, lon, lat) for i, (lon, lat) in enumerate(at)] + [(500, 10.0, 10.0), (500, 11.0, 80.0), (501, None, 1.0)]
+    near = spatial.knn(spark.createDataFrame(points, "ord bigint, lon double, lat double"), spark.createDataFrame(centres, "centre_id bigint, centre_lon double, centre_lat double"), 3)
+    plan = _plan(near)
+    first = plan.splitlines().index(next(x for x in reversed(plan.splitlines()) if re.search(r"Window.*distance_m", x)))
+    assert "_reach" in "".join(plan.splitlines()[first:])
+    got = {}
+    for r in near.collect():
+        got.setdefault(r.centre_id, []).append((r["rank"], r.ord, r.distance_m))
+
+    def metres(a, b):
+        s1, s2 = math.sin(math.radians(b[1] - a[1]) / 2), math.sin(math.radians(b[0] - a[0]) / 2)
+        h = s1 * s1 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * s2 * s2
+        return 2 * 6_371_000 * math.atan2(math.sqrt(h), math.sqrt(max(1 - h, 0)))
+
+    for i in {i for i, *_ in centres[:-1]}:
+        want = sorted(metres(c[1:], p[1:]) for c in centres if c[0] == i for p in points)[:3]
+        assert np.allclose([m for *_, m in sorted(got[i])], want, atol=0.01)
+    assert [o for _, o, _ in sorted(got[501])] == [0, 1, 2]  # a centre without a place has the first rows, as before
+
+
 def test_bundles_of_full_texts(spark, tmp_path):
     texts = {1: "a\nb", 2: "", 3: "\\n\n\\\\\n\\", 4: "x\r\ny\t\\t\\\t", 5: "\n", 6: "\n\n\\r"}
     rows = [(str(i), t) for i, t in texts.items()] + [("7", None), (None, "no id"), ("1", "again")]

@@ -73,8 +73,8 @@ def wrapped_lon_cell(lon: ColumnLike, degrees: float) -> Column:
     return F.pmod(F.floor((col(lon) + 180.0) / F.lit(360.0 / n)), F.lit(n))
 
 
-def neighbour_cells(lon: ColumnLike, lat: ColumnLike, radius_m: float, degrees: float) -> Column:
-    """Array of ``struct(cx, cy)`` that covers the circle of ``radius_m`` around a point.
+def neighbour_cells(lon: ColumnLike, lat: ColumnLike, radius_m: float | Column, degrees: float) -> Column:
+    """Array of ``struct(cx, cy)`` that covers the circle of ``radius_m``, a number or a column, around a point.
 
     The longitude span widens with latitude and takes the whole ring where the circle reaches a
     pole; columns wrap at the antimeridian.
@@ -82,10 +82,12 @@ def neighbour_cells(lon: ColumnLike, lat: ColumnLike, radius_m: float, degrees:
     lon, lat = col(lon), col(lat)
     n = lon_cells(degrees)
     width = 360.0 / n
-    dlat = math.degrees(radius_m / EARTH_M) * 1.000001 + 1e-9
+    given = isinstance(radius_m, Column)
+    dlat = (F.degrees(radius_m / EARTH_M) if given else math.degrees(radius_m / EARTH_M)) * 1.000001 + 1e-9
     low, high = F.greatest(lat - dlat, F.lit(-90.0)), F.least(lat + dlat, F.lit(90.0))
     # half width of the circle's bounding box in longitude: asin(sin(r) / cos(lat))
-    ratio = F.lit(math.sin(min(math.radians(dlat), math.pi / 2))) / F.cos(F.radians(lat))
+    sine = F.sin(F.least(F.radians(dlat), F.lit(math.pi / 2))) if given else F.lit(math.sin(min(math.radians(dlat), math.pi / 2)))
+    ratio = sine / F.cos(F.radians(lat))
     polar = (F.abs(lat) + dlat >= 90.0) | (ratio >= 1.0)
     dlon = F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) * 1.000001 + 1e-9
     first = F.floor((lon - dlon + 180.0) / width)

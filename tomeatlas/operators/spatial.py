@@ -175,7 +175,7 @@ def _block_counts(points: DataFrame) -> DataFrame:
     """Number of points per grid cell on every level, rolled up from the finest one."""
     finest = max(_LEVELS)
     level = F.lit(finest)
-    columns = F.least(_cell(F.col("lon"), level, 180.0), F.lit(2**finest - 1))
+    columns = F.pmod(_cell(F.col("lon"), level, 180.0), F.lit(2**finest))
     fine = points.groupBy(columns.alias("fx"), _cell(F.col("lat"), level, 90.0).alias("fy")).count()
     rolled = fine.withColumn("level", F.explode(F.sequence(F.lit(0), level)))
     shift = F.lit(finest) - F.col("level")
@@ -186,17 +186,34 @@ def _block_counts(points: DataFrame) -> DataFrame:
     return rolled.groupBy("level", up("fx").alias("bx"), up("fy").alias("by")).agg(F.sum("count").alias("n"))
 
 
+def _reach(lon: Column, lat: Column, fit: Column) -> Column:
+    """Metres within which all points of the 3 x 3 block of level ``fit`` around a point lie."""
+    width, across = _width(fit), F.least(_cell(lon, fit, 180.0), F.pow(F.lit(2.0), fit).cast("bigint") - 1)
+
+    def farthest(c: Column, offset: float, cell: Column) -> Column:
+        inside = c + offset - cell * width
+        return F.least(width + F.greatest(inside, width - inside), F.lit(180.0))
+
+    dlon, dlat = farthest(lon, 180.0, across), farthest(lat, 90.0, _cell(lat, fit, 90.0))
+    # longitudes are closest together at the latitude of the block that is nearest to a pole; the widest one counts
+    widest = F.cos(F.radians(F.greatest(F.abs(lat) - dlat, F.lit(0.0))))
+    narrowing = F.when(F.abs(lat) > 90, F.lit(1.0)).otherwise(F.greatest(F.cos(F.radians(lat)) * widest, F.lit(0.0)))
+    s1, s2 = F.sin(F.radians(dlat / 2)), F.sin(F.radians(dlon / 2))
+    return F.lit(2 * EARTH_M) * F.asin(F.sqrt(F.least(s1 * s1 + narrowing * s2 * s2, F.lit(1.0)))) * 1.000001 + 0.01
+
+
 def knn(points: DataFrame, centres: DataFrame, k: int, key: str = "ord", salts: int = 8) -> DataFrame:
     """The ``k`` nearest points of every centre, ties in list order, with rank and distance.
 
-    For each centre the finest grid level is found whose 3 x 3 block holds k points. No point of
-    that block is further than four cell widths, which bounds the k-th distance; a radius join with
-    that bound then yields the exact answer. Points sharing a coordinate beyond the first k in list
+    For each centre the finest grid level is found whose 3 x 3 block holds k points. The farthest
+    corner of that block bounds the k-th distance; a radius join with that bound then yields the
+    exact answer: only cells that the circle meets are asked for, and pairs beyond it are dropped
+    where they meet, before any is sorted or shuffled. Points sharing a coordinate beyond the first k in list
     order can never be chosen and are dropped first, so crowded coordinates stay small.
     """
     located = points.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull())
     located = top_k_per_group(located, ["lon", "lat"], [key], k, rank="_copy").drop("_copy")
-    counts = _block_counts(located.select("lon", "lat"))
+    counts = _block_counts(located.select("lon", "lat").filter((F.abs("lat") <= 90) & (F.abs("lon") < math.inf)))
 
     level = F.col("level")
     ring = F.pow(F.lit(2.0), level).cast("bigint")
@@ -224,21 +241,22 @@ def knn(points: DataFrame, centres: DataFrame, k: int, key: str = "ord", salts:
         .groupBy("centre_id")
         .agg(F.max("level").alias("fit"))
     )
-    # join level: two above, where one cell is as wide as the bound; level 0 is the whole globe
+    # join level: two above, where one cell is wider than the bound; level 0 is the whole globe
     join_level = F.greatest(F.coalesce(F.col("fit"), F.lit(0)) - 2, F.lit(0))
-    asked = centres.join(enough, "centre_id", "left").withColumn("level", join_level)
+    reach = F.coalesce(_reach(F.col("centre_lon"), F.col("centre_lat"), F.col("fit")), F.lit(math.inf))
+    # centres that share an id are answered together
+    together = F.max(reach).over(Window.partitionBy("centre_id"))
+    asked = centres.join(enough, "centre_id", "left").withColumns({"level": join_level, "_reach": together})
     covering = F.when(
         level == 0, F.array(F.struct(F.lit(0).cast("bigint").alias("cx"), F.lit(0).cast("bigint").alias("cy")))
     )
     for m in range(1, max(_LEVELS) - 1):
-        width = 360.0 / 2**m
-        radius = min(math.radians(width), math.pi) * EARTH_M
-        cells = neighbour_cells("centre_lon", "centre_lat", radius, width)
+        cells = neighbour_cells("centre_lon", "centre_lat", F.col("_reach"), 360.0 / 2**m)
         covering = covering.when(
             level == m,
             F.transform(cells, lambda c: F.struct(c["cx"].alias("cx"), c["cy"].alias("cy"))),
         )
-    wanted = asked.select("centre_id", "centre_lon", "centre_lat", "level", F.inline(covering))
+    wanted = asked.select("centre_id", "centre_lon", "centre_lat", "level", "_reach", F.inline(covering))
     used = F.array(*[F.lit(m) for m in range(0, max(_LEVELS) - 1)])
     placed = located.withColumn("level", F.explode(used)).withColumns(
         {
@@ -253,9 +271,9 @@ def knn(points: DataFrame, centres: DataFrame, k: int, key: str = "ord", salts:
     # copies of a point on levels and in cells that nobody asks for go before the shuffle
     placed = placed.join(wanted.select("level", "cx", "cy").distinct().hint("merge"), ["level", "cx", "cy"], "left_semi")
     joined = _salted(placed, key, salts).join(_over_salts(wanted, salts), ["level", "cx", "cy", "_salt"])
-    joined = joined.withColumn(
-        "distance_m", haversine("centre_lon", "centre_lat", "lon", "lat", EARTH_M)
-    ).drop("level", "cx", "cy", "_salt")
+    joined = joined.withColumn("distance_m", haversine("centre_lon", "centre_lat", "lon", "lat", EARTH_M))
+    # pairs whose distance is unknown stay
+    joined = joined.filter(F.coalesce((F.col("distance_m") <= F.col("_reach")) | F.isnan("distance_m"), F.lit(True))).drop("level", "cx", "cy", "_salt", "_reach")
     return top_k_per_group(joined, ["centre_id"], ["distance_m", key], k)
 
 
